@@ -43,17 +43,42 @@ EDITORS = {"1": "JOSM/1.5", "2": "iD 2.20", "3": "StreetComplete 50", "4": "Vesp
 EDIT_KINDS = {"AF": "CREATION", "AO": "DELETION", "NF": "TAG", "NO": "GEOMETRY", "RF": "TAG_GEOMETRY", "RO": ""}
 
 
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "part": "p_partkey bigint, p_name string",
+    "nation": "n_nationkey int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that is stored as fewer pieces than there are cores.
+
+    The small test files hold a single row group, which one task would read alone.  A
+    table with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _nation_code(key: str) -> Column:
     return F.concat(F.lit("N"), F.lpad(F.col(key).cast("string"), 2, "0"))
 
 
-def _tag_set(index: Column) -> Column:
-    sets = [F.create_map(*(F.lit(part) for pair in tags.items() for part in pair)) for tags in TAG_SETS]
-    return F.element_at(F.array(*sets), (index + 1).cast("int"))
+def _tag_set(index: str) -> Column:
+    sets = ", ".join(
+        "map(" + ", ".join(f"'{key}', '{value}'" for key, value in tags.items()) + ")" for tags in TAG_SETS
+    )
+    return F.expr(f"element_at(array({sets}), cast({index} + 1 AS int))")
 
 
 def _lookup(value: Column, choices: dict[str, str]) -> Column:
@@ -64,11 +89,11 @@ def _lookup(value: Column, choices: dict[str, str]) -> Column:
 
 
 def contributions(spark: SparkSession, sf_dir: str, profile: str = "sparse") -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     orders = table(spark, sf_dir, "orders")
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    suppliers = table(spark, sf_dir, "supplier")
+    customers = table(spark, sf_dir, "customer")
+    parts = table(spark, sf_dir, "part")
     rows = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -88,7 +113,7 @@ def contributions(spark: SparkSession, sf_dir: str, profile: str = "sparse") ->
     valid_from = F.col("l_shipdate") + F.make_dt_interval(hours=number)
     before = F.when(
         kind == "AF", F.when(number % 2 == 1, F.create_map().cast("map<string,string>"))
-    ).otherwise(_tag_set((part + amount) % 20))
+    ).otherwise(_tag_set("(l_partkey + cast(floor(l_quantity) AS int)) % 20"))
     west = F.lit(-120) + F.lit(10) * F.col("s_nationkey") + F.col("l_quantity") / 10
     return rows.select(
         countries.alias("countries"),
@@ -97,7 +122,7 @@ def contributions(spark: SparkSession, sf_dir: str, profile: str = "sparse") ->
         F.struct(F.col(PROFILES[profile]).alias("id")).alias("user"),
         valid_from.alias("valid_from"),
         F.when(F.col("l_returnflag") != "N", valid_from + F.make_dt_interval(days=amount)).alias("valid_to"),
-        _tag_set(part % 20).alias("tags"),
+        _tag_set("l_partkey % 20").alias("tags"),
         before.alias("tags_before"),
         _lookup(kind, EDIT_KINDS).alias("contrib_type"),
         F.struct(

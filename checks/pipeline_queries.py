@@ -59,9 +59,13 @@ def activity(spark: SparkSession, sf_dir: str, profile: str = "medium") -> DataF
     return enriched(spark, sf_dir, profile).groupBy(*D.DAY_KEY).agg(F.count(F.lit(1)).alias("edit_count"))
 
 
+def staged_inputs(spark: SparkSession, sf_dir: str, profile: str = "sparse") -> DataFrame:
+    return stage(D.daily_inputs(enriched(spark, sf_dir, profile)), "daily-inputs")
+
+
 def staged_daily(spark: SparkSession, sf_dir: str, profile: str = "sparse") -> DataFrame:
     """The daily table as written between the two stages, with the columns the summaries read."""
-    daily = D.daily_user_activity(enriched(spark, sf_dir, profile))
+    daily = D.daily_user_activity(staged_inputs(spark, sf_dir, profile))
     return stage(daily.select(*D.DAY_KEY, *U.TOTALS), "daily")
 
 
@@ -84,7 +88,7 @@ def _log_rows(rows: DataFrame) -> DataFrame:
 def _filter_query(name: str, code: str, condition: str) -> None:
     def build(spark, sf_dir):
         rows = E.in_time_range(view.contributions(spark, sf_dir), view.RANGE_START, view.RANGE_END)
-        return _log_rows(rows.where(X.country_member(F.col("countries"), code)))
+        return _log_rows(rows.where(X.country_member(code)))
 
     build.__name__ = name
     register(
@@ -222,7 +226,7 @@ _tag_change_query("daily_removed_categories", D.REMOVED_COLUMNS.values())
     with_parts("sparse", "daily"),
 )
 def daily_user_activity(spark, sf_dir):
-    return D.daily_user_activity(enriched(spark, sf_dir))
+    return D.daily_user_activity(staged_inputs(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ user operators

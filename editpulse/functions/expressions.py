@@ -20,65 +20,56 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
-def _value_matches(value: Column, test: TagTest) -> Column:
+def sql_list(values: Iterable[str]) -> str:
+    return ", ".join(f"'{value}'" for value in values)
+
+
+def _condition(value: str, test: TagTest) -> str:
+    """SQL condition of one tag test on the text expression ``value``."""
     if test.values is not None:
-        return value.isin(*test.values)
+        return f"{value} IN ({sql_list(test.values)})"
     if test.excluded is not None:
-        return value.isNotNull() & (value != test.excluded)
-    return value.isNotNull()
+        return f"({value} IS NOT NULL AND {value} <> '{test.excluded}')"
+    return f"{value} IS NOT NULL"
 
 
-def feature_flag(tags: Column, tests: Iterable[TagTest]) -> Column:
-    """TRUE when any of the tests holds on the tag map."""
-    flag = None
-    for test in tests:
-        hit = _value_matches(tags[test.key], test)
-        flag = hit if flag is None else flag | hit
-    return flag
+def feature_flag(tags: str, tests: Iterable[TagTest]) -> Column:
+    """TRUE when any of the tests holds on the tag map column named ``tags``."""
+    return F.expr(" OR ".join(_condition(f"{tags}['{test.key}']", test) for test in tests))
 
 
-def feature_flags(tags: Column) -> dict[str, Column]:
+def feature_flags(tags: str) -> dict[str, Column]:
     return {name: feature_flag(tags, tests) for name, tests in rules.FEATURE_FLAGS.items()}
 
 
-def _entry_category(entry: Column, branches: Iterable[tuple[str, TagTest]]) -> Column:
-    key, value = entry["key"], entry["value"]
-    chosen = None
-    for category, test in branches:
-        hit = key == test.key
-        if test.values is not None:
-            hit = hit & value.isin(*test.values)
-        elif test.excluded is not None:
-            hit = hit & (value != test.excluded)
-        chosen = F.when(hit, category) if chosen is None else chosen.when(hit, category)
-    return chosen.otherwise(rules.OTHER)
+def _entry_category(entry: str, branches: Iterable[tuple[str, TagTest]]) -> str:
+    """First matching category of a map entry, as a CASE expression."""
+    cases = "".join(
+        f" WHEN {entry}.key = '{test.key}' AND {_condition(f'{entry}.value', test)} THEN '{category}'"
+        if test.values or test.excluded
+        else f" WHEN {entry}.key = '{test.key}' THEN '{category}'"
+        for category, test in branches
+    )
+    return f"CASE{cases} ELSE '{rules.OTHER}' END"
 
 
-def keys_only_in(tags: Column, other: Column) -> Column:
+def keys_only_in(tags: str, other: str) -> Column:
     """Keys of ``tags`` that ``other`` lacks; an empty list when ``other`` is NULL."""
-    return F.filter(F.map_keys(tags), lambda key: ~F.array_contains(F.map_keys(other), key))
+    return F.expr(f"filter(map_keys({tags}), k -> NOT array_contains(map_keys({other}), k))")
 
 
-def categories_only_in(tags: Column, other: Column, branches: Iterable[tuple[str, TagTest]]) -> Column:
+def categories_only_in(tags: str, other: str, branches: Iterable[tuple[str, TagTest]]) -> Column:
     """Category of every entry of ``tags`` whose key ``other`` lacks, one per entry."""
-    branches = tuple(branches)
-    return F.transform(
-        F.filter(F.map_entries(tags), lambda entry: ~F.map_contains_key(other, entry["key"])),
-        lambda entry: _entry_category(entry, branches),
+    return F.expr(
+        f"transform(filter(map_entries({tags}), e -> NOT map_contains_key({other}, e.key)), "
+        f"e -> {_entry_category('e', branches)})"
     )
 
 
-def occurrences(values: Column, item: str) -> Column:
-    """How often ``item`` occurs in an array (NULL array gives NULL)."""
-    return F.size(values) - F.size(F.array_remove(values, item))
-
-
-def editor_category(editor: Column) -> Column:
-    chosen = None
-    for pattern, label in rules.EDITOR_PATTERNS:
-        hit = editor.ilike(pattern)
-        chosen = F.when(hit, label) if chosen is None else chosen.when(hit, label)
-    return chosen.otherwise(rules.OTHER)
+def editor_category(editor: str) -> Column:
+    """Editor family by case-insensitive pattern; a missing editor is ``other``."""
+    cases = "".join(f" WHEN {editor} ILIKE '{pattern}' THEN '{label}'" for pattern, label in rules.EDITOR_PATTERNS)
+    return F.expr(f"CASE{cases} ELSE '{rules.OTHER}' END")
 
 
 def micros_between(start: Column, end: Column) -> Column:
@@ -90,12 +81,12 @@ def timestamp(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def country_member(countries: Column, code: str) -> Column:
+def country_member(code: str, countries: str = "countries") -> Column:
     """Row filter for one country code or pseudo country."""
     if code == rules.STATELESS:
-        return F.size(countries) == 0
+        return F.expr(f"size({countries}) = 0")
     if code == rules.SPECIAL_REGIONS:
-        return F.arrays_overlap(countries, F.array(*map(F.lit, rules.SPECIAL_REGION_CODES)))
+        return F.expr(f"arrays_overlap({countries}, array({sql_list(rules.SPECIAL_REGION_CODES)}))")
     return F.array_contains(countries, code)
 
 

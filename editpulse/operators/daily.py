@@ -7,12 +7,9 @@ has its raw rows gathered in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from editpulse.functions import expressions as X
 from editpulse.functions import rules
 
 DAY_KEY = ("user_id", "country", "edit_date")
@@ -50,39 +47,133 @@ DAILY_COLUMNS = (
 )
 
 
-def _count_if(condition: Column, weight: Column) -> Column:
-    return F.sum(F.when(condition, weight).otherwise(F.lit(0).cast("long"))).cast("long")
+def _flag_code() -> Column:
+    """The states of all flags (FALSE 0, TRUE 1, NULL 2) as one integer, two bits each."""
+    states = (
+        f"shiftleft(CASE WHEN {name} THEN 1 WHEN NOT {name} THEN 0 ELSE 2 END, {2 * place})"
+        for place, name in enumerate(rules.FEATURES)
+    )
+    return F.expr(" | ".join(states))
 
 
-def _flag_code(columns: list[str]) -> Column:
-    """The states of all flags (FALSE 0, TRUE 1, NULL 2) as one integer, two bits each."""
-    states = [
-        F.shiftleft(F.when(F.col(name), 1).when(~F.col(name), 0).otherwise(2), 2 * place)
-        for place, name in enumerate(columns)
+def _sum_if(condition: str, value: str, name: str) -> Column:
+    return F.expr(f"sum(CASE WHEN {condition} THEN {value} ELSE 0L END) AS {name}")
+
+
+# Labels in text order, so the smallest position is the smallest label.  Numbers keep the
+# aggregation hash-based; a minimum over strings would make Spark sort instead.
+_EDITOR_LABELS = sorted(rules.EDITOR_COLUMNS)
+
+
+def _emitted(branches: tuple) -> list[str]:
+    """Categories the branches can produce, in column order."""
+    produced = {rules.OTHER, *(category for category, _ in branches)}
+    return [name for name in rules.CATEGORY_SUFFIX if name in produced]
+
+
+def _category_counts() -> dict[str, str]:
+    """Row-level number of added and removed keys per category, as SQL."""
+    counts = {}
+    for array, columns, branches in (
+        ("new_feature_categories", ADDED_COLUMNS, rules.ADDED_KEY_CATEGORIES),
+        ("removed_feature_categories", REMOVED_COLUMNS, rules.REMOVED_KEY_CATEGORIES),
+    ):
+        for name in _emitted(branches):
+            counts[columns[name]] = (
+                f"CASE WHEN size({array}) > 0 THEN size({array}) - size(array_remove({array}, '{name}')) ELSE 0 END"
+            )
+    return counts
+
+
+_CATEGORY_COUNTS = _category_counts()
+
+
+def _tag_sums() -> list[Column]:
+    """Sums of changed keys, in total and by the categories that can occur."""
+    return [
+        F.sum("length_new_keys").alias("total_new_keys_per_day"),
+        F.sum("length_removed_keys").alias("total_removed_keys_per_day"),
+        *(F.expr(f"sum({sql}) AS {column}") for column, sql in _CATEGORY_COUNTS.items()),
     ]
-    return reduce(lambda left, right: left.bitwiseOR(right), states)
 
 
-def _flag_set(place: int) -> Column:
-    return F.shiftright("flag_code", 2 * place).bitwiseAND(F.lit(3)) == 1
+def _tag_columns() -> list[Column]:
+    """Final tag-change columns: categories are NULL on days without any such key, and
+    categories that never occur are zero otherwise."""
+    categories = [
+        F.expr(f"CASE WHEN {total} > 0 THEN {column if column in _CATEGORY_COUNTS else '0L'} END AS {column}")
+        for total, columns in (("total_new_keys_per_day", ADDED_COLUMNS), ("total_removed_keys_per_day", REMOVED_COLUMNS))
+        for column in columns.values()
+    ]
+    return [*(F.col(name) for name in KEY_COLUMNS), *categories]
+
+
+def daily_inputs(enriched: DataFrame) -> DataFrame:
+    """The narrow columns the daily rollup reads, one row per contribution.
 
+    This is what is worth writing between enrichment and rollup: tag maps and key lists
+    are gone, flags are one integer.
+    """
+    return enriched.select(
+        *DAY_KEY,
+        "contrib_type",
+        "osm_type",
+        "validity_duration",
+        _flag_code().alias("flag_code"),
+        "length_new_keys",
+        "length_removed_keys",
+        "new_feature_categories",
+        "removed_feature_categories",
+        "changeset_id",
+        "changeset_edit_duration",
+        "length_comment",
+        F.expr(f"array_position(array({', '.join(map(repr, _EDITOR_LABELS))}), editor_category)").alias("editor_rank"),
+    )
 
-def fine_counts(enriched: DataFrame) -> DataFrame:
+
+def _as_inputs(rows: DataFrame) -> DataFrame:
+    return rows if "flag_code" in rows.columns else daily_inputs(rows)
+
+
+def fine_counts(rows: DataFrame, *extra: Column) -> DataFrame:
     """Contributions counted per day, flag states, edit type, object type and validity."""
     return (
-        enriched.select(
-            *DAY_KEY,
-            "contrib_type",
-            "osm_type",
-            "validity_duration",
-            _flag_code(list(rules.FEATURES)).alias("flag_code"),
-        )
+        _as_inputs(rows)
         .groupBy(*DAY_KEY, "contrib_type", "osm_type", "validity_duration", "flag_code")
-        .agg(F.count(F.lit(1)).alias("contrib_count"))
+        .agg(F.count(F.lit(1)).alias("contrib_count"), *extra)
+    )
+
+
+def _rollup(rows: DataFrame, weighted_validity: bool, with_tags: bool) -> DataFrame:
+    tag_names = [*KEY_COLUMNS, *_CATEGORY_COUNTS] if with_tags else []
+    carried = [F.expr(f"sum({name}) AS {name}") for name in tag_names]
+    counted = "validity_duration * contrib_count" if weighted_validity else "validity_duration"
+    per_type = (
+        fine_counts(rows, *(_tag_sums() if with_tags else ()))
+        .groupBy(*DAY_KEY, "contrib_type")
+        .agg(
+            F.expr(f"sum({counted}) AS valid_micros"),
+            F.sum("contrib_count").alias("edits"),
+            *(_sum_if(f"osm_type = '{kind}'", "contrib_count", kind) for kind in rules.OBJECT_TYPES),
+            *(
+                _sum_if(f"(shiftright(flag_code, {2 * place}) & 3) = 1", "contrib_count", feature)
+                for place, feature in enumerate(rules.FEATURES)
+            ),
+            *carried,
+        )
+    )
+    return per_type.groupBy(*DAY_KEY).agg(
+        F.expr(f"sum(valid_micros) / {MICROS_PER_DAY}D AS total_days_valid"),
+        *(F.expr(f"sum({kind}) AS {out}") for kind, out in OBJECT_COLUMNS.items()),
+        F.sum("edits").alias("edit_count"),
+        *(_sum_if(f"contrib_type = '{kind}'", "edits", out) for kind, out in TYPE_COLUMNS.items()),
+        *(F.expr(f"sum({feature}) AS {out}") for feature, out in FEATURE_COLUMNS.items()),
+        *(_sum_if(f"contrib_type = '{kind}'", feature, out) for (feature, kind), out in MATRIX_COLUMNS.items()),
+        *carried,
     )
 
 
-def daily_core(enriched: DataFrame, weighted_validity: bool = False) -> DataFrame:
+def daily_core(rows: DataFrame, weighted_validity: bool = False) -> DataFrame:
     """Edit counts of a user-country-day, by object type, edit type and feature.
 
     ``total_days_valid`` adds each distinct (flags, edit type, object type, duration)
@@ -93,51 +184,35 @@ def daily_core(enriched: DataFrame, weighted_validity: bool = False) -> DataFram
     types.  The wide 112-column rows therefore only appear once rows are already down to
     a handful per day.
     """
-    count = F.col("contrib_count")
-    duration = F.col("validity_duration")
-    per_type = (
-        fine_counts(enriched)
-        .groupBy(*DAY_KEY, "contrib_type")
-        .agg(
-            F.sum(duration * count if weighted_validity else duration).alias("valid_micros"),
-            F.sum(count).alias("edits"),
-            *(_count_if(F.col("osm_type") == kind, count).alias(kind) for kind in rules.OBJECT_TYPES),
-            *(_count_if(_flag_set(place), count).alias(name) for place, name in enumerate(rules.FEATURES)),
-        )
-    )
-    kind = F.col("contrib_type")
-    totals = [
-        (F.sum("valid_micros") / MICROS_PER_DAY).alias("total_days_valid"),
-        *(F.sum(name).alias(out) for name, out in OBJECT_COLUMNS.items()),
-        F.sum("edits").alias("edit_count"),
-        *(_count_if(kind == value, F.col("edits")).alias(out) for value, out in TYPE_COLUMNS.items()),
-        *(F.sum(name).alias(out) for name, out in FEATURE_COLUMNS.items()),
-        *(_count_if(kind == value, F.col(name)).alias(out) for (name, value), out in MATRIX_COLUMNS.items()),
-    ]
-    return per_type.groupBy(*DAY_KEY).agg(*totals)
+    return _rollup(rows, weighted_validity, with_tags=False)
+
+
+def daily_tag_changes(rows: DataFrame) -> DataFrame:
+    """Added and removed keys of a user-country-day, in total and by category.
+
+    The categories of a row are counted in place rather than exploded, so key totals and
+    all category counts come from one aggregation with one narrow shuffle.
+    """
+    return _as_inputs(rows).groupBy(*DAY_KEY).agg(*_tag_sums()).select(*DAY_KEY, *_tag_columns())
 
 
-def changeset_days(enriched: DataFrame, per_day: bool = False) -> DataFrame:
+def changeset_days(rows: DataFrame, per_day: bool = False) -> DataFrame:
     """One row per changeset and day it touches, with the values of the changeset.
 
     By the published definition the edits, comment length and duration of a changeset
     count in full on each of its days; only the editor is taken from the day itself.
     With ``per_day`` a day only gets its own edits.
 
-    Rows are first condensed to (changeset, day, duration), so the join below pairs one
-    row per changeset with its days; a changeset with a huge number of edits is
-    condensed before the shuffle like any other.
+    Both sides of the join are aggregates: one row per changeset, and one per changeset
+    and day.  A changeset with a huge number of edits is therefore condensed before any
+    shuffle, and no pairs of its rows are formed.
     """
+    rows = _as_inputs(rows)
     changeset = ("user_id", "country", "changeset_id")
-    condensed = enriched.groupBy(*changeset, "edit_date", "changeset_edit_duration").agg(
-        F.count(F.lit(1)).alias("edits"),
-        F.max("length_comment").alias("length_comment"),
-        F.min("editor_category").alias("editor_category"),
-    )
     scope = (*changeset, "edit_date") if per_day else changeset
     totals = (
-        condensed.groupBy(*scope, "changeset_edit_duration")
-        .agg(F.sum("edits").alias("edits"), F.max("length_comment").alias("length_comment"))
+        rows.groupBy(*scope, "changeset_edit_duration")
+        .agg(F.count(F.lit(1)).alias("edits"), F.max("length_comment").alias("length_comment"))
         .groupBy(*scope)
         .agg(
             F.sum("edits").alias("edits"),
@@ -146,74 +221,45 @@ def changeset_days(enriched: DataFrame, per_day: bool = False) -> DataFrame:
             F.sum("changeset_edit_duration").alias("duration_micros"),
         )
     )
-    days = condensed.groupBy(*changeset, "edit_date").agg(F.min("editor_category").alias("editor_category"))
+    days = rows.groupBy(*changeset, "edit_date").agg(F.min("editor_rank").alias("editor_rank"))
     return days.join(totals, list(scope))
 
 
-def daily_changesets(enriched: DataFrame, per_day: bool = False) -> DataFrame:
+def daily_changesets(rows: DataFrame, per_day: bool = False) -> DataFrame:
     """Changeset statistics of a user-country-day.
 
     A changeset with several distinct durations counts once per duration.
     """
-    changesets = F.col("changesets")
     return (
-        changeset_days(enriched, per_day)
+        changeset_days(rows, per_day)
         .groupBy(*DAY_KEY)
         .agg(
             F.sum("comment_length").alias("total_comment_length_per_day"),
-            (F.sum("edits") / F.sum(changesets)).alias("avg_edits_per_changeset_per_day"),
+            F.expr("sum(edits) / sum(changesets) AS avg_edits_per_changeset_per_day"),
             *(
-                _count_if(F.col("editor_category") == label, changesets).alias(f"count_{name}_changesets_per_day")
+                _sum_if(
+                    f"editor_rank = {_EDITOR_LABELS.index(label) + 1}", "changesets", f"count_{name}_changesets_per_day"
+                )
                 for label, name in rules.EDITOR_COLUMNS.items()
             ),
-            F.sum(changesets).alias("total_changesets_per_day"),
-            (F.sum("duration_micros") / 1e6).alias("total_changeset_duration_per_day_in_sec"),
+            F.sum("changesets").alias("total_changesets_per_day"),
+            F.expr("sum(duration_micros) / 1e6D AS total_changeset_duration_per_day_in_sec"),
         )
     )
 
 
-def _category_sums(array: str, columns: dict[str, str], emitted: set[str]) -> list[Column]:
-    """Sums per category, NULL on days without any entry in ``array``."""
-    entries = F.sum(F.size(array))
-    zero = F.lit(0).cast("long")
-    return [
-        F.when(
-            entries > 0,
-            F.sum(F.when(F.size(array) > 0, X.occurrences(F.col(array), name)).otherwise(0)) if name in emitted else zero,
-        ).alias(column)
-        for name, column in columns.items()
-    ]
-
-
-def _emitted(branches: tuple) -> set[str]:
-    return {rules.OTHER, *(category for category, _ in branches)}
-
-
-def daily_tag_changes(enriched: DataFrame) -> DataFrame:
-    """Added and removed keys of a user-country-day, in total and by category.
-
-    The categories of a row are counted in place rather than exploded, so key totals and
-    all category counts come from one aggregation with one narrow shuffle.
-    """
-    return enriched.groupBy(*DAY_KEY).agg(
-        F.sum("length_new_keys").alias("total_new_keys_per_day"),
-        F.sum("length_removed_keys").alias("total_removed_keys_per_day"),
-        *_category_sums("new_feature_categories", ADDED_COLUMNS, _emitted(rules.ADDED_KEY_CATEGORIES)),
-        *_category_sums("removed_feature_categories", REMOVED_COLUMNS, _emitted(rules.REMOVED_KEY_CATEGORIES)),
-    )
-
-
 def daily_user_activity(
-    enriched: DataFrame, per_day_changesets: bool = False, weighted_validity: bool = False
+    rows: DataFrame, per_day_changesets: bool = False, weighted_validity: bool = False
 ) -> DataFrame:
     """The full daily table.
 
-    The three parts are each aggregated by the same key, so they are already hashed
-    alike and the joins add no shuffle.
+    ``rows`` are enriched contributions or, better at scale, the staged ``daily_inputs``
+    of them.  Counts and tag changes share one pass.  The changeset statistics are
+    aggregated by the same key, so the join adds no shuffle; hashing their narrow rows
+    (one per key, hence evenly spread) saves sorting the 130-column rows.
     """
-    joined = (
-        daily_core(enriched, weighted_validity)
-        .join(daily_changesets(enriched, per_day_changesets), list(DAY_KEY), "left")
-        .join(daily_tag_changes(enriched), list(DAY_KEY), "left")
+    rows = _as_inputs(rows)
+    joined = _rollup(rows, weighted_validity, with_tags=True).join(
+        daily_changesets(rows, per_day_changesets).hint("shuffle_hash"), list(DAY_KEY), "left"
     )
-    return joined.select(*DAILY_COLUMNS)
+    return joined.select(*DAY_KEY, *CORE_COLUMNS, *CHANGESET_COLUMNS, *_tag_columns())

@@ -59,23 +59,19 @@ def country_contributions(
     """Contributions of one country: membership, box containment and time range."""
     code, *bounds = box
     limits = F.struct(*(F.lit(v).alias(n) for n, v in zip(BOX_FIELDS, bounds)))
-    rows = in_time_range(contributions, start, end).where(X.country_member(F.col("countries"), code))
+    rows = in_time_range(contributions, start, end).where(X.country_member(code))
     return rows.where(X.inside_box(F.col("bbox"), limits)).withColumn("country", F.lit(code))
 
 
-def _labels(countries: Column, codes: Sequence[str]) -> Column:
+def _labels(codes: Sequence[str]) -> Column:
     """All requested labels of a row, each once; NULL country lists carry none."""
     plain = [c for c in codes if c not in (rules.STATELESS, rules.SPECIAL_REGIONS)]
-    groups = []
-    if plain:
-        groups.append(F.array_intersect(countries, F.array(*map(F.lit, plain))))
-    for code in (rules.STATELESS, rules.SPECIAL_REGIONS):
-        if code in codes:
-            groups.append(
-                F.when(X.country_member(countries, code), F.array(F.lit(code))).otherwise(
-                    F.array().cast("array<string>")
-                )
-            )
+    groups = [F.expr(f"array_intersect(countries, array({X.sql_list(plain)}))")] if plain else []
+    groups += [
+        F.when(X.country_member(code), F.array(F.lit(code))).otherwise(F.expr("cast(array() AS array<string>)"))
+        for code in (rules.STATELESS, rules.SPECIAL_REGIONS)
+        if code in codes
+    ]
     return F.concat(*groups) if len(groups) > 1 else groups[0]
 
 
@@ -101,7 +97,7 @@ def assign_countries(
         [(code, tuple(map(float, bounds))) for code, *bounds in boxes],
         "country string, country_box struct<xmin: double, ymin: double, xmax: double, ymax: double>",
     )
-    labelled = rows.withColumn("country", F.explode(_labels(F.col("countries"), codes)))
+    labelled = rows.withColumn("country", F.explode(_labels(codes)))
     return (
         labelled.join(F.broadcast(box_table), "country")  # at most MAX_COUNTRY_CODES rows
         .where(X.inside_box(F.col("bbox"), F.col("country_box")))
@@ -115,7 +111,6 @@ def enrich(contributions: DataFrame, snapshot: str = rules.VALIDITY_SNAPSHOT) ->
     Durations are whole microseconds.  A missing end of validity means still valid, so
     it is clamped to the snapshot.
     """
-    tags, before = F.col("tags"), F.col("tags_before")
     change = F.col("changeset")
     passed_on = [F.col(c) for c in ("country",) if c in contributions.columns]
     base = contributions.select(
@@ -126,21 +121,21 @@ def enrich(contributions: DataFrame, snapshot: str = rules.VALIDITY_SNAPSHOT) ->
         "valid_to",
         F.to_date("valid_from").alias("edit_date"),
         "contrib_type",
-        F.map_keys(tags).alias("tag_keys"),
-        X.keys_only_in(tags, before).alias("new_keys"),
-        X.keys_only_in(before, tags).alias("removed_keys"),
-        X.categories_only_in(tags, before, rules.ADDED_KEY_CATEGORIES).alias("new_feature_categories"),
-        X.categories_only_in(before, tags, rules.REMOVED_KEY_CATEGORIES).alias("removed_feature_categories"),
+        F.map_keys("tags").alias("tag_keys"),
+        X.keys_only_in("tags", "tags_before").alias("new_keys"),
+        X.keys_only_in("tags_before", "tags").alias("removed_keys"),
+        X.categories_only_in("tags", "tags_before", rules.ADDED_KEY_CATEGORIES).alias("new_feature_categories"),
+        X.categories_only_in("tags_before", "tags", rules.REMOVED_KEY_CATEGORIES).alias("removed_feature_categories"),
         "tags",
         "tags_before",
         change["id"].alias("changeset_id"),
         change["editor"].alias("editor"),
         F.length(change["tags"]["comment"]).alias("length_comment"),
         X.micros_between(change["created_at"], change["closed_at"]).alias("changeset_edit_duration"),
-        X.editor_category(change["editor"]).alias("editor_category"),
+        X.editor_category("changeset.editor").alias("editor_category"),
         X.micros_between(F.col("valid_from"), F.least("valid_to", X.timestamp(snapshot))).alias("validity_duration"),
         "osm_type",
-        *(flag.alias(name) for name, flag in X.feature_flags(tags).items()),
+        *(flag.alias(name) for name, flag in X.feature_flags("tags").items()),
         *passed_on,
     )
     return base.withColumns(
