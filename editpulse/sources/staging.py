@@ -54,10 +54,15 @@ def named_table(df: DataFrame, name: str) -> Iterator[DataFrame]:
         staged.sparkSession.catalog.dropTempView(name)
 
 
+def holds_at_most(df: DataFrame, max_rows: int) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for broadcasting if it holds at most ``max_rows`` rows.
 
     A larger table comes back without the hint, so the join shuffles instead (and AQE
-    may split skewed partitions).  The check reads at most ``max_rows + 1`` rows.
+    may split skewed partitions).
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if holds_at_most(df, max_rows) else df
