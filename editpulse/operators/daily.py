@@ -60,7 +60,12 @@ def _sum_if(condition: str, value: str, name: str) -> Column:
     return F.expr(f"sum(CASE WHEN {condition} THEN {value} ELSE 0L END) AS {name}")
 
 
-# Labels in text order, so the smallest position is the smallest label.  Numbers keep the
+# Group keys as small numbers: fixed-width keys hash and compare faster than strings in
+# the 100-odd conditional sums.
+_TYPE_CODES = {kind: place for place, kind in enumerate(rules.EDIT_TYPES, 1)}
+_OBJECT_CODES = {kind: place for place, kind in enumerate(rules.OBJECT_TYPES, 1)}
+
+# Editor labels in text order, so the smallest position is the smallest label.  Numbers keep the
 # aggregation hash-based; a minimum over strings would make Spark sort instead.
 _EDITOR_LABELS = sorted(rules.EDITOR_COLUMNS)
 
@@ -88,6 +93,12 @@ def _category_counts() -> dict[str, str]:
 _CATEGORY_COUNTS = _category_counts()
 
 
+def _code(column: str, codes: dict[str, int]) -> str:
+    """Number of a known value; values outside the domain keep a number of their own."""
+    known = " ".join(f"WHEN '{value}' THEN {code}L" for value, code in codes.items())
+    return f"CASE {column} {known} ELSE 100 + pmod(xxhash64({column}), 9007199254740881L) END"
+
+
 def _tag_sums() -> list[Column]:
     """Sums of changed keys, in total and by the categories that can occur."""
     return [
@@ -116,8 +127,8 @@ def daily_inputs(enriched: DataFrame) -> DataFrame:
     """
     return enriched.select(
         *DAY_KEY,
-        "contrib_type",
-        "osm_type",
+        F.expr(_code("contrib_type", _TYPE_CODES)).alias("type_code"),
+        F.expr(_code("osm_type", _OBJECT_CODES)).alias("object_code"),
         "validity_duration",
         _flag_code().alias("flag_code"),
         "length_new_keys",
@@ -139,7 +150,7 @@ def fine_counts(rows: DataFrame, *extra: Column) -> DataFrame:
     """Contributions counted per day, flag states, edit type, object type and validity."""
     return (
         _as_inputs(rows)
-        .groupBy(*DAY_KEY, "contrib_type", "osm_type", "validity_duration", "flag_code")
+        .groupBy(*DAY_KEY, "type_code", "object_code", "validity_duration", "flag_code")
         .agg(F.count(F.lit(1)).alias("contrib_count"), *extra)
     )
 
@@ -150,11 +161,11 @@ def _rollup(rows: DataFrame, weighted_validity: bool, with_tags: bool) -> DataFr
     counted = "validity_duration * contrib_count" if weighted_validity else "validity_duration"
     per_type = (
         fine_counts(rows, *(_tag_sums() if with_tags else ()))
-        .groupBy(*DAY_KEY, "contrib_type")
+        .groupBy(*DAY_KEY, "type_code")
         .agg(
             F.expr(f"sum({counted}) AS valid_micros"),
             F.sum("contrib_count").alias("edits"),
-            *(_sum_if(f"osm_type = '{kind}'", "contrib_count", kind) for kind in rules.OBJECT_TYPES),
+            *(_sum_if(f"object_code = {code}", "contrib_count", kind) for kind, code in _OBJECT_CODES.items()),
             *(
                 _sum_if(f"(shiftright(flag_code, {2 * place}) & 3) = 1", "contrib_count", feature)
                 for place, feature in enumerate(rules.FEATURES)
@@ -166,9 +177,9 @@ def _rollup(rows: DataFrame, weighted_validity: bool, with_tags: bool) -> DataFr
         F.expr(f"sum(valid_micros) / {MICROS_PER_DAY}D AS total_days_valid"),
         *(F.expr(f"sum({kind}) AS {out}") for kind, out in OBJECT_COLUMNS.items()),
         F.sum("edits").alias("edit_count"),
-        *(_sum_if(f"contrib_type = '{kind}'", "edits", out) for kind, out in TYPE_COLUMNS.items()),
+        *(_sum_if(f"type_code = {_TYPE_CODES[kind]}", "edits", out) for kind, out in TYPE_COLUMNS.items()),
         *(F.expr(f"sum({feature}) AS {out}") for feature, out in FEATURE_COLUMNS.items()),
-        *(_sum_if(f"contrib_type = '{kind}'", feature, out) for (feature, kind), out in MATRIX_COLUMNS.items()),
+        *(_sum_if(f"type_code = {_TYPE_CODES[kind]}", feature, out) for (feature, kind), out in MATRIX_COLUMNS.items()),
         *carried,
     )
 

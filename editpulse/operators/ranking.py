@@ -74,7 +74,9 @@ def as_series(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Median of every column, NULLs left out."""
+    """Median of every column, NULLs left out; a column without values has none."""
+    if not columns:
+        return {}
     ranked = running_sums(as_series(df, columns), "value", {"n": F.lit(1)}, "feature")
     lower = F.floor((F.col("n_all") + 1) / 2)
     upper = F.floor(F.col("n_all") / 2) + 1

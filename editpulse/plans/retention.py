@@ -169,7 +169,7 @@ def make_forest(setting: dict) -> RandomForestClassifier:
 
 def make_linear(setting: dict) -> LogisticRegression:
     params = {name: value for name, value in setting.items() if name != "class_weight"}
-    return LogisticRegression(weightCol="class_weight", standardization=False, maxIter=100, **params)
+    return LogisticRegression(weightCol="class_weight", standardization=False, maxIter=100, tol=1e-4, **params)
 
 
 # ------------------------------------------------------------------ fitted models

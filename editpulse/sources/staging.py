@@ -19,13 +19,12 @@ def staging_root(spark: SparkSession) -> str:
     A machine-local folder is chosen only for a local master without the setting.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="editpulse-")
-    spark.conf.set(CHECKPOINT_SETTING, root)
-    return root
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="editpulse-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
