@@ -138,9 +138,11 @@ def enrich(contributions: DataFrame, snapshot: str = rules.VALIDITY_SNAPSHOT) ->
         *(flag.alias(name) for name, flag in X.feature_flags("tags").items()),
         *passed_on,
     )
+    # Every changed key has exactly one category, so counting categories counts keys; the
+    # rollup then never has to build the key lists.
     return base.withColumns(
         {
-            "length_new_keys": F.size("new_keys"),
-            "length_removed_keys": F.size("removed_keys"),
+            "length_new_keys": F.size("new_feature_categories"),
+            "length_removed_keys": F.size("removed_feature_categories"),
         }
     )

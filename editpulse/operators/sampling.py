@@ -42,8 +42,9 @@ def _cut_hashes(df: DataFrame, key: str, seed: int, wanted: Column, by: Column)
         candidates = hashed.where(
             F.col("class").eqNullSafe(F.lit(place["class"])) & (F.col("prefix") == place["prefix"])
         )
-        ranked = candidates.withColumn("rank", F.row_number().over(W.partitionBy("prefix").orderBy("hash")))
-        row = ranked.where(F.col("rank") == place["place"]).select("hash").first()
+        upto = F.sum("n").over(W.partitionBy("prefix").orderBy("hash").rowsBetween(W.unboundedPreceding, W.currentRow))
+        counted = candidates.groupBy("prefix", "hash").agg(F.count(F.lit(1)).alias("n"))  # copies of an id collapse
+        row = counted.withColumn("upto", upto).where(F.col("upto") >= place["place"]).agg(F.min("hash").alias("hash")).first()
         cuts[place["class"]] = row["hash"]
     return cuts
 
