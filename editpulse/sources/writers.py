@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def write_daily_activity(daily: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
     """One directory per country.
 
-    Rows are spread by user inside each country before writing: a country holding a third of the
-    table becomes many files written by many tasks instead of one, and small countries
-    stay at one file per task that holds any of their rows.
+    Rows are rebalanced by country before writing: adaptive execution gathers small
+    countries in few files and splits a country holding a third of the table over many
+    tasks.
     """
     (
-        daily.repartition("country", F.pmod(F.xxhash64("user_id"), F.lit(64)))
+        daily.hint("rebalance", F.col("country"))
         .write.partitionBy("country")
         .option("maxRecordsPerFile", rows_per_file)
         .option("compression", "zstd")
