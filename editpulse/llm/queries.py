@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from editpulse.llm import oracles
 from editpulse.llm.bpe import encode_decode
 from editpulse.llm.decontaminate import find_leaks
 from editpulse.llm.line_dedup import drop_common_lines
 from editpulse.llm.near_dups import near_duplicates
+from editpulse.llm.quality_classifier import THRESHOLD, held_out, score_quality
 from editpulse.llm.quality_rules import COUNTS, judge
 
 
@@ -51,6 +53,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from labels outside the held-out fifth."""
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"]).select("row.doc_id", "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and whether base rules and robust distance keep it."""
     judged = judge(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -62,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = oracles.STATEMENTS
