@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -14,6 +14,7 @@ from editpulse.llm.bpe import encode_decode
 from editpulse.llm.decontaminate import find_leaks
 from editpulse.llm.line_dedup import drop_common_lines
 from editpulse.llm.near_dups import near_duplicates
+from editpulse.llm.pii import KINDS, find_personal_data
 from editpulse.llm.quality_classifier import THRESHOLD, held_out, score_quality
 from editpulse.llm.quality_rules import COUNTS, judge
 
@@ -22,6 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _joined(spans: str) -> Column:
+    """kind:start:end of every span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _counted(spans: str, kinds: tuple[str, ...]) -> list[Column]:
+    return [F.expr(f"cast(size(filter({spans}, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in kinds]
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of personal data and all spans that the trees select, for every document."""
+    found = find_personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", *_counted("base", KINDS), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and survivor of every document; four words a shingle, similarity 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -66,6 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_decontaminate": op6_decontaminate,

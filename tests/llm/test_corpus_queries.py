@@ -40,3 +40,17 @@ def test_byte_bpe_digests(spark):
         data = b"".join(i.to_bytes(4, "little") for i in ids)
         expected = (len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == expected
+
+
+def test_span_digests(spark):
+    import hashlib
+
+    from .test_pii import brute as personal
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for r in queries.QUERIES["op2_pii"](spark, SMALL).collect():
+        base = personal(texts[r.doc_id])
+        joined = ",".join(f"{kind}:{a}:{b}" for kind, a, b in base)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(kind == k for k, _, _ in base) for kind in ("email", "ip", "card", "phone"))
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
