@@ -39,3 +39,17 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def long_lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
+SALTS = 16
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: str, spread: str, how: str = "inner") -> DataFrame:
+    """Joins ``few``, a small share of the distinct keys of ``many``, on a column that may have hot values.
+
+    Rows of one key are spread over ``SALTS`` tasks by a hash of the column ``spread``; the rows of
+    ``few`` are repeated that often.
+    """
+    left = many.withColumn("join_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    right = few.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [on, "join_salt"], how).drop("join_salt")

@@ -17,6 +17,7 @@ from editpulse.llm.near_dups import near_duplicates
 from editpulse.llm.pii import KINDS, find_personal_data
 from editpulse.llm.quality_classifier import THRESHOLD, held_out, score_quality
 from editpulse.llm.quality_rules import COUNTS, judge
+from editpulse.llm.secret_scan import BASE_KINDS, find_secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of secrets and all spans kept after counting owners, for every document."""
+    found = find_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    verdicts = [F.expr(f"cast(size(filter(spans, s -> s.verdict = '{v}')) as long)").alias(f"n_{v}") for v in ("live", "example", "weak")]
+    return found.select("row.doc_id", *_counted("base", BASE_KINDS), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), *verdicts)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document from labels outside the held-out fifth."""
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"]).select("row.doc_id", "score")
@@ -87,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
     "pipeline": corpus_pipeline.run,

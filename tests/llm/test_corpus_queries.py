@@ -46,6 +46,7 @@ def test_span_digests(spark):
     import hashlib
 
     from .test_pii import brute as personal
+    from .test_secret_scan import brute as secret
 
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in queries.QUERIES["op2_pii"](spark, SMALL).collect():
@@ -54,3 +55,9 @@ def test_span_digests(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(kind == k for k, _, _ in base) for kind in ("email", "ip", "card", "phone"))
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
+    for r in queries.QUERIES["op8_secret_scan"](spark, SMALL).collect():
+        base = secret(texts[r.doc_id])
+        joined = ",".join(f"{kind}:{a}:{b}" for kind, a, b in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(kind == k for k, _, _ in base) for kind in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
