@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editpulse.llm import words as w
+from editpulse.llm.frames import kind_of
 from editpulse.llm.graph import components
 from editpulse.sources.staging import stage
 
@@ -22,7 +23,7 @@ SIMILARITY_PERCENT = 80
 #: values among the 64 smallest of the union is hypergeometric with mean 51 or more; 27 or fewer
 #: have a probability below 2e-9 for one pair at the very threshold, and less above it.
 LEAST_SHARED = 28
-LIST_BLOCK = 64
+LIST_BLOCK = 1024
 
 
 def shingle_sets(texts: w.Texts, size: int) -> Iterator[np.ndarray]:
@@ -74,11 +75,12 @@ def _least_shared(n: Column, k: int, percent: int, least: int) -> Column:
 
 
 def inverted_lists(classes: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """Entries (``value``, ``rep``) that any two similar sets have in common.
+    """Entries (``value``, ``rep``, ``closeness``), of which any two similar sets share a value.
 
     Values are ordered by the number of sets that retain them, rarest first, so of two sets with t
     shared values one is among the first (all - t + 1) of either. Values in no other set need no
-    list; a set that keeps fewer than t others' values is similar to none.
+    list; a set that keeps fewer than t others' values is similar to none. ``closeness`` is the
+    share of a set's retained values that other sets retain too.
     """
     rows = classes.where("rep IS NOT NULL").select("rep", "n_shingles", F.explode("kept_values").alias("value"))
     common = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -89,8 +91,9 @@ def inverted_lists(classes: DataFrame, k: int, percent: int, least: int) -> Data
         .agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
         .withColumn("need", need.cast("int"))
         .where("size(shared) >= need")
-        .select("rep", F.explode(F.expr("slice(shared, 1, size(shared) - need + 1)")).alias("s"))
-        .select("rep", F.col("s.value").alias("value"))
+        .withColumn("closeness", F.size("shared") / F.least("n_shingles", F.lit(k)))
+        .select("rep", "closeness", F.explode(F.expr("slice(shared, 1, size(shared) - need + 1)")).alias("s"))
+        .select("rep", "closeness", F.col("s.value").alias("value"))
     )
 
 
@@ -104,8 +107,8 @@ def _may_be_similar(k: int, percent: int, least: int) -> Column:
     return F.when(whole, F.size(both) * 100 >= F.size(union) * percent).otherwise(sketched)
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (``u``, ``v``) whose full shingle sets are similar."""
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (``u``, ``v``) whose full shingle sets are similar; ``texts`` holds rep and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,17 +121,76 @@ def confirmed(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int
                     keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = documents.select("doc_id", "text")
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    kind = kind_of(texts, "rep")
     return (
-        pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
-        .join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
+        pairs.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("tu")), "u")
+        .join(texts.select(F.col("rep").alias("v"), F.col("text").alias("tv")), "v")
         .select("u", "v", "tu", "tv")
         .mapInArrow(run, f"u {kind}, v {kind}")
         .distinct()
     )
 
 
+def _full_entries(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Rarest-first prefixes of full sets among ``texts`` (rep, text): value, rep, n, pos, leads.
+
+    With N shingles in the smaller of two similar sets, at least 2p / (100 + p) * N are shared, and
+    p / 100 of the larger set's. So their first common value, in rarest-first order, is among the
+    first N - ceil(2p / (100 + p) * N) + 1 of the smaller set (``leads``) and, with N now the larger
+    set's size, among the first N - ceil(p / 100 * N) + 1 of the larger one.
+    """
+    kind = kind_of(texts, "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in w.slices(batches, "text", 1 << 20):
+            sets = list(shingle_sets(w.text_bytes(part.column("text")), shingle))
+            sizes = np.array([len(x) for x in sets])
+            columns = [pa.array(np.concatenate(sets)), part.column("rep").take(pa.array(np.repeat(np.arange(len(sets)), sizes)))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(sizes, sizes))], names=["value", "rep", "n"])
+
+    rows = texts.select("rep", "text").mapInArrow(run, f"value long, rep {kind}, n long")
+    common = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    n = F.col("n")
+    most = (n - F.ceil(n * percent / 100) + 1).cast("int")
+    leading = n - F.ceil(n * 2 * percent / (100 + percent)) + 1
+    alone = n - F.size("shared")
+    return (
+        rows.join(common, "value")
+        .groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
+        .where(alone < most)
+        .select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), (most - alone).cast("int"))).alias("k", "s"))
+        .select(F.col("s.value").alias("value"), "rep", "n", (F.col("alone") + F.col("k")).alias("pos"))
+        .withColumn("leads", F.col("pos") < leading)
+    )
+
+
+def _across_components(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``u``, ``v``) from lists of several components ``c`` that sizes and positions allow.
+
+    The members of a list's largest component meet only the others of that list. A list is dealt out
+    over blocks of its members, so a long one is spread over tasks.
+    """
+    counts = entries.groupBy("value", "c").agg(F.count("*").alias("m")).groupBy("value").agg(
+        F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("kinds"),
+        F.ceil(F.sum("m") / LIST_BLOCK).cast("int").alias("blocks"),
+    )
+    placed = entries.join(counts.where("kinds > 1"), "value").withColumn("is_main", F.col("c") == F.col("main"))
+    names = ["rep", "n", "pos", "leads", "c"]
+    one = placed.where("NOT is_main").select("value", *(F.col(x).alias(f"{x}1") for x in names), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    two = placed.select("value", *(F.col(x).alias(f"{x}2") for x in names), "is_main", F.expr("cast(pmod(xxhash64(rep), blocks) as int)").alias("block"))
+    first_is_smaller = F.struct("n1", "rep1") < F.struct("n2", "rep2")
+    need = F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent))
+    return (
+        one.join(two, ["value", "block"])
+        .where((F.col("c1") != F.col("c2")) & (F.col("is_main") | (F.col("rep1") < F.col("rep2"))))
+        .where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+        .where(F.when(first_is_smaller, F.col("leads1")).otherwise(F.col("leads2")))
+        .where(F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need)
+        .select(F.greatest("rep1", "rep2").alias("u"), F.least("rep1", "rep2").alias("v"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     documents: DataFrame,
     shingle: int = SHINGLE_WORDS,
@@ -144,10 +206,12 @@ def near_duplicates(
 
     1. Equal sets are one class, represented by its smallest doc_id, so copies never pair up.
     2. Inverted lists of retained values hold candidates only (see ``inverted_lists``).
-    3. Each class is compared with one class of each of its lists, the smallest, and of these the
-       pair with the largest estimate is verified. Groups of near copies fuse without pairing up.
-    4. Only lists that still hold more than one component pair their members, block against block.
-       The union sketch filters, full sets decide, and the components are joined again.
+    3. Each class is compared with one class of each of its lists, the one closest to the others,
+       and of these the pair with the largest overlap is verified. A group of near copies fuses
+       around its centre without pairing up.
+    4. Lists that still hold more than one component name the classes left to compare. Among these,
+       prefixes of the full sets, sizes and positions leave few pairs across components (see
+       ``_full_entries``). The union sketch filters, full sets decide, and components are joined again.
 
     Null and empty texts have no shingles and are linked with nothing. Texts under one repeated
     doc_id count as one document. A row without doc_id takes the component of an equal set that has
@@ -166,37 +230,31 @@ def near_duplicates(
     lists = stage(inverted_lists(classes, k, percent, least), "lists")
     kept = classes.where("rep IS NOT NULL").join(lists.select("rep").distinct(), "rep", "left_semi")
     kept = stage(kept.select("rep", "n_shingles", "kept_values"), "candidates")
+    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(kept.select("rep"), "rep", "left_semi")
+    texts = stage(texts, "candidate-texts")
     left = kept.select(F.col("rep").alias("u"), F.col("kept_values").alias("x"), F.col("n_shingles").alias("nx"))
     right = kept.select(F.col("rep").alias("v"), F.col("kept_values").alias("y"), F.col("n_shingles").alias("ny"))
     similar = _may_be_similar(k, percent, least)
 
-    hubs = lists.groupBy("value").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1")
-    stars = lists.join(hubs, "value").where("rep > v").select(F.col("rep").alias("u"), "v").distinct()
+    centre = F.max_by("rep", F.struct("closeness", -F.col("rep")))
+    hubs = lists.groupBy("value").agg(centre.alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = lists.join(hubs, "value").where("rep != v").select(F.col("rep").alias("u"), "v").distinct()
     overlap = F.size(F.array_intersect("x", "y")) / F.sqrt(F.col("nx") * F.col("ny").cast("double"))
     best = (
         stars.join(left, "u").join(right, "v").where(similar)
         .groupBy("u").agg(F.max_by("v", F.struct(overlap, -F.col("v"))).alias("v"))
     )
-    first = stage(confirmed(best, documents, shingle, percent), "links")
-
-    roots = components(first)
-    placed = lists.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("root", "rep").alias("c"))
-    placed = stage(placed, "placed")
-    mixed = placed.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    entries = placed.join(mixed.select("value", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")), "value").withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    )
-    one = entries.select("value", "rep", "c", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"))
-    two = entries.select("value", F.col("rep").alias("rep2"), F.col("c").alias("c2"), F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"))
-    one = one.join(left.withColumnRenamed("u", "rep"), "rep")
-    two = two.join(right.withColumnRenamed("v", "rep2"), "rep2")
-    rest = (
-        one.join(two, ["value", "i", "j"])
-        .where((F.col("c") != F.col("c2")) & ((F.col("i") < F.col("j")) | (F.col("rep") < F.col("rep2"))) & similar)
-        .select(F.greatest("rep", "rep2").alias("u"), F.least("rep", "rep2").alias("v"))
-        .distinct()
-    )
-    second = confirmed(stage(rest, "rest"), documents, shingle, percent)
+    first = stage(confirmed(best, texts, shingle, percent), "links")
+
+    roots = stage(components(first), "roots")
+    of_rep = roots.select(F.col("node").alias("rep"), "root")
+    placed = lists.select("value", "rep").join(of_rep, "rep", "left").withColumn("c", F.coalesce("root", "rep"))
+    mixed = placed.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    open_reps = stage(lists.join(mixed, "value", "left_semi").select("rep").distinct(), "open")
+    entries = _full_entries(texts.join(open_reps, "rep", "left_semi"), shingle, percent).join(of_rep, "rep", "left")
+    entries = stage(entries.withColumn("c", F.coalesce("root", "rep")).drop("root"), "entries")
+    rest = _across_components(entries, percent).join(left, "u").join(right, "v").where(similar).select("u", "v")
+    second = confirmed(rest, texts, shingle, percent)
     roots = components(first.unionByName(second)).withColumnRenamed("node", "rep")
     by_class = classes.select("sig", "rep").join(roots, "rep", "left").select("sig", F.coalesce("root", "rep").alias("component"))
     return (
