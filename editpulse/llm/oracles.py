@@ -80,8 +80,55 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+WARC_REVISITS = """
+WITH each AS (
+    SELECT page_id, url, html, unnest(range(0, page_id % 4 + 1)) AS k FROM pages
+), kinds AS (
+    SELECT *, (k = 0 AND page_id % 13 = 0) OR (k > 0 AND (page_id + k) % 5 <> 0) AS revisit,
+           CASE WHEN k = 0 THEN 0 WHEN (page_id + k) % 5 = 0 THEN k WHEN (page_id + k - 1) % 5 = 0 THEN k - 1 ELSE 0 END AS version
+    FROM each
+), captures AS (
+    SELECT page_id * 4 + k AS record_id, revisit, k, page_id, html, version,
+           CASE k % 3 WHEN 1 THEN url || '#k' || k WHEN 2 THEN replace(url, '.example.', '.EXAMPLE.') ELSE url END AS url,
+           1700000000 + page_id * 37 % 86400 + k * 86400 * (1 + page_id % 3) AS ts,
+           CASE WHEN revisit AND (page_id + k) % 7 = 0 THEN 'other' WHEN revisit AND (page_id + k) % 11 < 2 THEN NULL
+                ELSE left(md5(html || version), 16) END AS tag,
+           CASE WHEN revisit AND (page_id + k) % 11 = 1 THEN NULL ELSE (page_id % 28) || ' ' || version END AS modified,
+           CASE WHEN NOT revisit THEN sha256(html || version) END AS payload
+    FROM kinds
+), split AS (
+    SELECT *, regexp_replace(trim(url), '#.*$', '') AS plain FROM captures
+), parts AS (
+    SELECT *, lower(split_part(plain, '://', 1)) AS scheme,
+           lower(split_part(split_part(split_part(plain, '://', 2), '/', 1), '?', 1)) AS host,
+           regexp_extract(split_part(plain, '://', 2), '^[^/?]*([^?]*)', 1) AS path,
+           array_to_string(list_sort(list_filter(string_split(regexp_extract(plain, '[?](.*)$', 1), '&'), lambda x: x <> '')), '&') AS query
+    FROM split
+), named AS (
+    SELECT *, scheme || '://' || host || CASE path WHEN '' THEN '/' ELSE path END || CASE query WHEN '' THEN '' ELSE '?' || query END AS canonical_url FROM parts
+), dated AS (
+    SELECT *, last_value(CASE WHEN NOT revisit THEN record_id END IGNORE NULLS) OVER (
+        PARTITION BY canonical_url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS candidate
+    FROM named
+), matched AS (
+    SELECT a.*, r.record_id AS served, r.html AS r_html, r.payload AS r_payload,
+           CASE WHEN NOT a.revisit THEN 'full' WHEN r.record_id IS NULL THEN 'no_earlier_response'
+                WHEN a.tag IS NOT NULL AND r.tag IS NOT NULL THEN CASE WHEN a.tag = r.tag THEN 'resolved' ELSE 'validator_mismatch' END
+                WHEN a.modified IS NOT NULL AND r.modified IS NOT NULL THEN CASE WHEN a.modified = r.modified THEN 'resolved' ELSE 'validator_mismatch' END
+                ELSE 'no_validator' END AS outcome
+    FROM dated a LEFT JOIN dated r ON r.record_id = a.candidate AND a.revisit
+)
+SELECT record_id, canonical_url, outcome, CASE outcome WHEN 'full' THEN record_id ELSE served END AS response_id,
+       CASE outcome WHEN 'full' THEN payload WHEN 'resolved' THEN r_payload END AS payload_sha256,
+       CASE WHEN outcome IN ('full', 'resolved') THEN
+           'content-length=' || length(CASE outcome WHEN 'full' THEN html ELSE r_html END) || ';content-type=text/html;date=day ' || k || ';x-version=' || version
+       END AS fields
+FROM matched
+"""
+
 STATEMENTS: dict[str, str] = {
     "op3_minhash_near_dedup": NEAR_DEDUP,
+    "op4_warc_revisits": WARC_REVISITS,
     "op6_decontaminate": DECONTAMINATE,
     "op7_line_dedup": LINE_DEDUP,
 }

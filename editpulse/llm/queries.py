@@ -18,6 +18,7 @@ from editpulse.llm.pii import KINDS, find_personal_data
 from editpulse.llm.quality_classifier import THRESHOLD, held_out, score_quality
 from editpulse.llm.quality_rules import COUNTS, judge
 from editpulse.llm.secret_scan import BASE_KINDS, find_secrets
+from editpulse.llm.warc_revisits import captures_of_pages, resolve_revisits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,13 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome, response, payload digest and merged header fields of every capture derived from the pages."""
+    resolved = resolve_revisits(captures_of_pages(table(spark, sf_dir, "pages")))
+    fields = F.array_join(F.transform("fields", lambda h: F.concat_ws("=", h["name"], h["value"])), ";")
+    return resolved.select("record_id", "canonical_url", "outcome", "response_id", "payload_sha256", fields.alias("fields"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to."""
     coded = encode_decode(
@@ -92,6 +100,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_warc_revisits": op4_warc_revisits,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
