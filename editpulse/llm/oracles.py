@@ -5,6 +5,38 @@ from __future__ import annotations
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TEXT = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
+LM_SCORING = f"""
+WITH spoken AS (
+    SELECT doc_id, regexp_extract_all({TEXT}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), places AS (
+    SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM spoken
+), grams AS (
+    SELECT doc_id, i, n, array_to_string(words[i - n + 1:i], ' ') AS gram, array_to_string(words[i - n + 1:i - 1], ' ') AS context
+    FROM places, (SELECT unnest([1, 2, 3]) AS n) WHERE i >= n
+), own AS (
+    SELECT doc_id, n, gram, count(*) AS c FROM grams GROUP BY ALL
+), everywhere AS (
+    SELECT n, gram, sum(c) AS c FROM own GROUP BY ALL
+), elsewhere AS (
+    SELECT o.doc_id, o.n, o.gram, e.c - o.c AS c FROM own o JOIN everywhere e ON e.n = o.n AND e.gram = o.gram WHERE e.c > o.c
+), other_words AS (
+    SELECT doc_id, greatest(1, (SELECT sum(len(words)) FROM spoken) - len(words)) AS m FROM spoken
+), options AS (
+    SELECT g.doc_id, g.i, g.n, e.c / CASE g.n WHEN 1 THEN m ELSE x.c END AS share
+    FROM grams g JOIN elsewhere e ON e.doc_id = g.doc_id AND e.n = g.n AND e.gram = g.gram
+    LEFT JOIN elsewhere x ON x.doc_id = g.doc_id AND x.n = g.n - 1 AND x.gram = g.context
+    JOIN other_words o ON o.doc_id = g.doc_id
+), best AS (
+    SELECT doc_id, i, max(n) AS n, arg_max(share, n) AS share FROM options GROUP BY ALL
+), scored AS (
+    SELECT p.doc_id, ln(CASE WHEN b.n IS NULL THEN pow(0.4, least(3, p.i)) / m ELSE pow(0.4, least(3, p.i) - b.n) * share END) AS score
+    FROM places p LEFT JOIN best b ON b.doc_id = p.doc_id AND b.i = p.i JOIN other_words o ON o.doc_id = p.doc_id
+), summed AS (
+    SELECT doc_id, sum(score) AS total FROM scored GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, round(coalesce(total, 0), 4) AS log_score FROM spoken LEFT JOIN summed USING (doc_id)
+"""
+
 NEAR_DEDUP = f"""
 WITH RECURSIVE spoken AS (
     SELECT doc_id, regexp_extract_all({TEXT}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents
@@ -127,6 +159,7 @@ FROM matched
 """
 
 STATEMENTS: dict[str, str] = {
+    "op1_lm_scoring": LM_SCORING,
     "op3_minhash_near_dedup": NEAR_DEDUP,
     "op4_warc_revisits": WARC_REVISITS,
     "op6_decontaminate": DECONTAMINATE,

@@ -13,6 +13,7 @@ from editpulse.llm import oracles
 from editpulse.llm.bpe import encode_decode
 from editpulse.llm.decontaminate import find_leaks
 from editpulse.llm.line_dedup import drop_common_lines
+from editpulse.llm.lm_scoring import score_texts
 from editpulse.llm.near_dups import near_duplicates
 from editpulse.llm.pii import KINDS, find_personal_data
 from editpulse.llm.quality_classifier import THRESHOLD, held_out, score_quality
@@ -25,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram stupid-backoff score of every document against all others."""
+    scored = score_texts(table(spark, sf_dir, "documents"), ["doc_id"])
+    return scored.select("row.doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def _joined(spans: str) -> Column:
     """kind:start:end of every span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -98,6 +105,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_pii": op2_pii,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_warc_revisits": op4_warc_revisits,
