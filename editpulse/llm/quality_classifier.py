@@ -108,7 +108,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     rows = _with_length(documents, "doc_id").join(F.broadcast(sample), "doc_id").select("label", "text", "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in w.slices(batches, "text"):
+        for batch in w.slices(batches, "text", 1 << 20):
             index, value, bounds = features(w.text_bytes(batch.column("text")), _stated(batch))
             offsets = pa.array(bounds.astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(value))]
@@ -138,7 +138,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, carry: Iterable[str]
     machine = fit(documents, labels, train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in w.slices(batches, "text"):
+        for batch in w.slices(batches, "text", 1 << 20):
             if machine is None:
                 scores = np.full(batch.num_rows, 0.5)
             else:
