@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -321,7 +321,26 @@ silhouettes AS (
 
 @register(shape(num="silhouette"), "SELECT silhouette FROM silhouettes", _points_sql())
 def silhouette_exact(spark, sf_dir):
-    return Q.silhouette(_points(spark, sf_dir))
+    return Q.silhouette(_points(spark, sf_dir), None)
+
+
+@register(
+    shape(num="silhouette"),
+    "SELECT silhouette FROM silhouettes",
+    _points_sql().replace("FROM embeddings", "FROM (SELECT * FROM embeddings ORDER BY md5(vec_id || '|42') LIMIT 300)"),
+)
+def silhouette_sampled(spark, sf_dir):
+    """A sample is this operator's feature: 300 points in hash order."""
+    return Q.silhouette(_points(spark, sf_dir), 300)
+
+
+@register(
+    shape(num="silhouette"),
+    "SELECT silhouette FROM silhouettes",
+    _points_sql().replace("sum(list_distance(a.p, b.p))", "sum(list_distance(a.p, b.p) ** 2)"),
+)
+def silhouette_squared(spark, sf_dir):
+    return Q.squared_silhouette(_points(spark, sf_dir))
 
 
 @register(
@@ -382,7 +401,7 @@ _TRIED_SQL = _points_sql(quoted(TRIED).replace("'", "")) + ", curve AS (SELECT k
     shape(int="best_k"),
     "SELECT k AS best_k FROM curve, (SELECT min(k) AS k1, max(k) AS k2, max(inertia) FILTER (k = 2) AS y1, "
     "max(inertia) FILTER (k = 10) AS y2 FROM curve) "
-    "ORDER BY abs((y2 - y1) * k - (k2 - k1) * inertia + k2 * y1 - y2 * k1) DESC, k LIMIT 1",
+    "ORDER BY abs((k - k1) * (y2 - y1) - (inertia - y1) * (k2 - k1)) DESC, k LIMIT 1",  # area of the triangle with the chord
     _TRIED_SQL,
 )
 def elbow_choice(spark, sf_dir):
@@ -405,7 +424,7 @@ def improvement_choice(spark, sf_dir):
     _points_sql("2, 5, 10"),
 )
 def silhouette_choice(spark, sf_dir):
-    return Q.best_by_score(_tried(spark, sf_dir, Q.silhouette, "silhouette", (2, 5, 10)))
+    return Q.best_by_score(_tried(spark, sf_dir, lambda points: Q.silhouette(points, None), "silhouette", (2, 5, 10)))
 
 
 # ------------------------------------------------------------------ models (checked by rows and invariants)
@@ -464,6 +483,33 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir).select(F.col("key").alias("user_id"), array_to_vector("point").alias("features"))
 
 
+@register(
+    shape(int="n_features", num="total"),
+    "SELECT count(*) AS n_features, sum(v) AS total FROM (SELECT feature, var_samp(scaled) AS v FROM scaled GROUP BY feature)",
+    with_parts("medium", "profile"),
+)
+def pca_total_variance(spark, sf_dir):
+    """The eigenvalues of the fitted components sum up to the variance of all scaled features."""
+    scaled = _scaled(spark, sf_dir)
+    model, names, _ = G.fit_components(scaled)
+    rows, _ = G._assembled(scaled)
+    centred = model.transform(rows).select(vector_to_array("components").alias("c"))
+    spread = centred.agg(*(F.var_samp(F.col("c")[k]).alias(f"v{k}") for k in range(len(names))))
+    return spread.select(F.lit(len(names)).alias("n_features"), sum((F.col(f"v{k}") for k in range(len(names))), F.lit(0.0)).alias("total"))
+
+
+@register(
+    shape(str="label", int="support"),
+    "SELECT label::VARCHAR AS label, floor(0.2 * count(*) + 0.5) AS support FROM (SELECT left_early AS label FROM pred_model) GROUP BY label",
+    with_parts("sparse", "pred_model"),
+)
+def forest_test_support(spark, sf_dir):
+    """Held-out rows per class that a fitted forest is judged on."""
+    fitted = M.fit_forest(M.training_table(prediction_table(spark, sf_dir), "tree"), FOREST)
+    report = Q.classification_report(fitted.test_predictions(), M.TARGET, "predicted")
+    return report.where(F.col("label").isin("true", "false")).select("label", "support")
+
+
 @register(shape(int="component", num="variance cumulative", bool="kept"))
 def pca_components(spark, sf_dir):
     return G.explained_variance(_scaled(spark, sf_dir))
@@ -474,9 +520,9 @@ def pca_loadings(spark, sf_dir):
     return G.loadings(_scaled(spark, sf_dir))
 
 
-@register(shape(int="k", num="silhouette davies_bouldin calinski_harabasz inertia"))
+@register(shape(int="k", num="silhouette squared_silhouette davies_bouldin calinski_harabasz inertia"))
 def kmeans_sweep(spark, sf_dir):
-    return G.kmeans_sweep(_vectors(spark, sf_dir), (2, 5, 8), restarts=2)
+    return G.kmeans_sweep(G.components(_scaled(spark, sf_dir)), G.SILHOUETTE_SAMPLE, restarts=2)
 
 
 @register(shape(int="user_id cluster_kmeans"))

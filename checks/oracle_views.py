@@ -184,27 +184,33 @@ core AS (SELECT * FROM counted JOIN validity USING (user_id, country, edit_date)
 
 
 CHANGESETS = """
-set_days AS (
-  SELECT user_id, country, changeset_id, edit_date, min(editor_category) AS day_editor
+bundles AS (
+  SELECT user_id, country, changeset_id, list({'day': edit_date, 'editor': editor_category}) AS touches,
+         list({'took': coalesce(duration_micros, -1), 'words': length_comment}) AS edits
   FROM enriched GROUP BY ALL
 ),
-set_parts AS (
-  SELECT r.user_id, r.country, d.edit_date, r.changeset_id, r.duration_micros, d.day_editor,
-         count(*) AS n, max(r.length_comment) AS comment_length
-  FROM enriched r JOIN set_days d USING (user_id, country, changeset_id)
-  GROUP BY ALL
+spans AS (
+  SELECT user_id, country, touches, edits, unnest(list_distinct(list_transform(edits, lambda e: e.took))) AS took
+  FROM bundles
+),
+spread_days AS (
+  SELECT user_id, country, touches, took, list_filter(edits, lambda e: e.took = took) AS same,
+         unnest(list_distinct(list_transform(touches, lambda t: t.day))) AS edit_date
+  FROM spans
+),
+touched AS (
+  SELECT user_id, country, edit_date, nullif(took, -1) AS took, len(same) AS n, list_max(list_transform(same, lambda e: e.words)) AS words,
+         list_min(list_transform(list_filter(touches, lambda t: t.day = edit_date), lambda t: t.editor)) AS editor
+  FROM spread_days
 ),
 changesets AS (
   SELECT user_id, country, edit_date,
-         sum(comment_length) AS total_comment_length_per_day,
-         avg(n) AS avg_edits_per_changeset_per_day,
-         count(*) FILTER (day_editor = 'JOSM') AS count_josm_changesets_per_day,
-         count(*) FILTER (day_editor = 'iD') AS count_id_changesets_per_day,
-         count(*) FILTER (day_editor = 'Streetcomplete') AS count_streetcomplete_changesets_per_day,
-         count(*) FILTER (day_editor = 'other') AS count_other_id_changesets_per_day,
-         count(*) AS total_changesets_per_day,
-         sum(duration_micros)::DOUBLE / 1000000 AS total_changeset_duration_per_day_in_sec
-  FROM set_parts GROUP BY ALL
+         sum(words) AS total_comment_length_per_day, avg(n) AS avg_edits_per_changeset_per_day,
+         sum((editor = 'JOSM')::INT) AS count_josm_changesets_per_day, sum((editor = 'iD')::INT) AS count_id_changesets_per_day,
+         sum((editor = 'Streetcomplete')::INT) AS count_streetcomplete_changesets_per_day,
+         sum((editor = 'other')::INT) AS count_other_id_changesets_per_day,
+         count(*) AS total_changesets_per_day, sum(took)::DOUBLE / 1000000 AS total_changeset_duration_per_day_in_sec
+  FROM touched GROUP BY ALL
 )"""
 
 

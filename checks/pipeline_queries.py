@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,7 +18,9 @@ from editpulse.functions import rules
 from editpulse.operators import daily as D
 from editpulse.operators import enrich as E
 from editpulse.operators import summary as U
-from editpulse.sources.staging import stage
+from editpulse.sources.readers import read_daily_activity
+from editpulse.sources.staging import stage, staging_root
+from editpulse.sources.writers import write_daily_activity
 
 
 @dataclass(frozen=True)
@@ -315,13 +318,23 @@ _times_query("pause_after_first_day", shape(int="pause_after_first_editing_day")
 _times_query("observed_span", shape(day="first_edit last_in_window"), profile="sparse")
 
 
+@register(DAY_SHAPE, "SELECT DISTINCT user_id, country, edit_date FROM enriched", with_parts("medium", "enriched"))
+def distinct_days(spark, sf_dir):
+    return enriched(spark, sf_dir, "medium").select("user_id", "country", "edit_date").distinct()
+
+
 @register(
     DAY_SHAPE | shape(int="edit_count"),
-    "SELECT DISTINCT user_id, country, edit_date, edit_count FROM activity",
+    "SELECT user_id, country, edit_date, edit_count FROM activity",
     with_parts("medium", "activity"),
 )
-def distinct_days(spark, sf_dir):
-    return activity(spark, sf_dir).dropDuplicates(["user_id", "country", "edit_date"])
+def daily_table_on_disk(spark, sf_dir):
+    """Written by country in two goes, the second of which leaves the first one's countries, and read again."""
+    days = stage(activity(spark, sf_dir), "activity")
+    path = f"{staging_root(spark)}/editpulse-countries-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        write_daily_activity(days.where(F.pmod(F.crc32("country"), F.lit(2)) == half), path)
+    return read_daily_activity(spark, path)
 
 
 def _country_spread(spark, sf_dir, profile="medium"):

@@ -266,11 +266,10 @@ def daily_user_activity(
 
     ``rows`` are enriched contributions or, better at scale, the staged ``daily_inputs``
     of them.  Counts and tag changes share one pass.  The changeset statistics are
-    aggregated by the same key, so the join adds no shuffle; hashing their narrow rows
-    (one per key, hence evenly spread) saves sorting the 130-column rows.
+    aggregated by the same key, so the join adds no shuffle.
     """
     rows = _as_inputs(rows)
     joined = _rollup(rows, weighted_validity, with_tags=True).join(
-        daily_changesets(rows, per_day_changesets).hint("shuffle_hash"), list(DAY_KEY), "left"
+        daily_changesets(rows, per_day_changesets), list(DAY_KEY), "left"
     )
     return joined.select(*DAY_KEY, *CORE_COLUMNS, *CHANGESET_COLUMNS, *_tag_columns())

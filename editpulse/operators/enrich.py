@@ -4,44 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editpulse.functions import expressions as X
 from editpulse.functions import rules
+from editpulse.sources.staging import stage
 
-MAX_COUNTRY_CODES = 1_000
 BOX_FIELDS = ("xmin", "ymin", "xmax", "ymax")
+BOX_TABLE = "country string, country_box struct<xmin: double, ymin: double, xmax: double, ymax: double>"
+PSEUDO = (rules.STATELESS, rules.SPECIAL_REGIONS)
 
 
-def country_boxes(boundaries: DataFrame, codes: Sequence[str] | None = None) -> list[tuple]:
-    """Bounding box ``(iso, xmin, ymin, xmax, ymax)`` per country code.
+def box_table(spark: SparkSession, boxes: Sequence[tuple]) -> DataFrame:
+    """Box table ``country, country_box`` from ``(iso, xmin, ymin, xmax, ymax)`` tuples."""
+    return spark.createDataFrame([(code, tuple(map(float, bounds))) for code, *bounds in boxes], BOX_TABLE)
+
+
+def country_boxes(boundaries: DataFrame, codes: Sequence[str] | None = None) -> DataFrame:
+    """``country, country_box``: one bounding box per country code, written once.
 
     A country may consist of several parts; its box spans all of them.  The two pseudo
-    countries get the whole world.  Unknown codes raise ``ValueError``.  The box list is
-    part of the query text (the code list of the world), so it is small by nature; the
-    row limit guards against a wrong input table.
+    countries get the whole world.  Unknown codes raise ``ValueError``.
     """
+    spark = boundaries.sparkSession
     wanted = None if codes is None else list(dict.fromkeys(code.upper() for code in codes))
-    pseudo = (rules.STATELESS, rules.SPECIAL_REGIONS)
-    parts = boundaries.where(F.length("iso") > 1)
+    parts = boundaries.where((F.length("iso") > 1) & ~F.col("iso").isin(*PSEUDO))
     if wanted is not None:
         parts = parts.where(F.col("iso").isin(*wanted))
-    rows = (
-        parts.groupBy("iso")
-        .agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax"))
-        .limit(MAX_COUNTRY_CODES + 1)
-        .collect()
-    )
-    if len(rows) > MAX_COUNTRY_CODES:
-        raise ValueError(f"more than {MAX_COUNTRY_CODES} country codes in the boundary table")
-    boxes = [tuple(row) for row in rows if row["iso"] not in pseudo]
-    known = {box[0] for box in boxes} | set(pseudo)
-    unknown = sorted(set(wanted or ()) - known)
-    if unknown:
-        raise ValueError(f"no boundary for country codes {unknown}")
-    boxes += [(code, *rules.WORLD_BOUNDS) for code in pseudo if wanted is None or code in wanted]
-    return sorted(boxes)
+    bounds = [F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax")]
+    spanned = parts.groupBy("iso").agg(*bounds).select(F.col("iso").alias("country"), F.struct(*BOX_FIELDS).alias("country_box"))
+    world = [(code, *rules.WORLD_BOUNDS) for code in PSEUDO if wanted is None or code in wanted]
+    boxes = stage(spanned.unionByName(box_table(spark, world)), "country-boxes")
+    if wanted is not None:
+        known = {row["country"] for row in boxes.select("country").collect()}  # at most the wanted codes
+        unknown = sorted(set(wanted) - known)
+        if unknown:
+            raise ValueError(f"no boundary for country codes {unknown}")
+    return boxes
 
 
 def in_time_range(contributions: DataFrame, start: str, end: str) -> DataFrame:
@@ -63,46 +63,36 @@ def country_contributions(
     return rows.where(X.inside_box(F.col("bbox"), limits)).withColumn("country", F.lit(code))
 
 
-def _labels(codes: Sequence[str]) -> Column:
-    """All requested labels of a row, each once; NULL country lists carry none."""
-    plain = [c for c in codes if c not in (rules.STATELESS, rules.SPECIAL_REGIONS)]
-    groups = [F.expr(f"array_intersect(countries, array({X.sql_list(plain)}))")] if plain else []
-    groups += [
-        F.when(X.country_member(code), F.array(F.lit(code))).otherwise(F.expr("cast(array() AS array<string>)"))
-        for code in (rules.STATELESS, rules.SPECIAL_REGIONS)
-        if code in codes
+def _labels() -> Column:
+    """All labels of a row, each once; NULL country lists carry none."""
+    own = F.array_except("countries", F.array(*map(F.lit, PSEUDO)))
+    groups = [
+        F.when(X.country_member(code), F.array(F.lit(code))).otherwise(F.expr("cast(array() AS array<string>)")) for code in PSEUDO
     ]
-    return F.concat(*groups) if len(groups) > 1 else groups[0]
+    return F.concat(own, *groups)
 
 
 def assign_countries(
     contributions: DataFrame,
-    boxes: Sequence[tuple],
+    boxes: DataFrame,
     start: str = rules.RANGE_START,
     end: str = rules.RANGE_END,
 ) -> DataFrame:
-    """Label contributions with every requested country in one scan.
+    """Label contributions with every country in ``boxes`` in one scan.
 
     A contribution listed for n countries yields up to n rows, one per country whose box
     holds it.  The time range and the envelope of all boxes reach the Parquet scan as
-    filters; the per-country box test is a map lookup on the row, so nothing is shuffled
-    and no country needs a task of its own.
+    filters.  Labels are exploded first and the join drops those without a box; the box
+    table is a written or local one, so Spark knows its size and broadcasts it while small.
     """
-    codes = [box[0] for box in boxes]
-    lows = [min(box[i] for box in boxes) for i in (1, 2)]
-    highs = [max(box[i] for box in boxes) for i in (3, 4)]
-    envelope = F.struct(*(F.lit(v).alias(n) for n, v in zip(BOX_FIELDS, (*lows, *highs))))
-    rows = in_time_range(contributions, start, end).where(X.inside_box(F.col("bbox"), envelope))
-    box_table = contributions.sparkSession.createDataFrame(
-        [(code, tuple(map(float, bounds))) for code, *bounds in boxes],
-        "country string, country_box struct<xmin: double, ymin: double, xmax: double, ymax: double>",
-    )
-    labelled = rows.withColumn("country", F.explode(_labels(codes)))
-    return (
-        labelled.join(F.broadcast(box_table), "country")  # at most MAX_COUNTRY_CODES rows
-        .where(X.inside_box(F.col("bbox"), F.col("country_box")))
-        .drop("country_box")
-    )
+    field = lambda name: F.col("country_box")[name]
+    envelope = boxes.agg(
+        F.min(field("xmin")).alias("xmin"), F.min(field("ymin")).alias("ymin"), F.max(field("xmax")).alias("xmax"), F.max(field("ymax")).alias("ymax")
+    ).first()
+    limits = F.struct(*(F.lit(envelope[name]).alias(name) for name in BOX_FIELDS))
+    rows = in_time_range(contributions, start, end).where(X.inside_box(F.col("bbox"), limits))
+    labelled = rows.withColumn("country", F.explode(_labels()))
+    return labelled.join(boxes, "country").where(X.inside_box(F.col("bbox"), F.col("country_box"))).drop("country_box")
 
 
 def enrich(contributions: DataFrame, snapshot: str = rules.VALIDITY_SNAPSHOT) -> DataFrame:

@@ -6,16 +6,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from editpulse.operators.ranking import running_sums
 from editpulse.operators.sampling import sample_rows
-from editpulse.sources.staging import broadcast_within, stage
+from editpulse.sources.staging import stage
 
-MAX_CLUSTERS = 1_000
-SAMPLE_ROWS = 10_000
 BLOCK_ROWS = 2_000
 
 
@@ -120,8 +120,8 @@ def centroids(points: DataFrame, dimensions: int) -> DataFrame:
 
 def _spreads(points: DataFrame, dimensions: int) -> DataFrame:
     """``cluster, n, center, mean_distance, squares`` per cluster."""
-    centers = centroids(points, dimensions)
-    squared = points.join(broadcast_within(centers, MAX_CLUSTERS), "cluster").withColumn(
+    centers = stage(centroids(points, dimensions), "centers")
+    squared = points.join(centers, "cluster").withColumn(
         "squared", F.expr(_squared_distance("point", "center"))
     )
     return squared.groupBy("cluster").agg(
@@ -197,16 +197,26 @@ def _block_distances(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def silhouette(
-    points: DataFrame, sample_size: int = SAMPLE_ROWS, seed: int = 42, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Mean Euclidean silhouette over a sample of at most ``sample_size`` points.
+def squared_silhouette(points: DataFrame) -> DataFrame:
+    """Mean silhouette by squared Euclidean distance, over all points in linear time.
 
-    The measure needs every distance within the sample.  The sample is cut into blocks
-    by hashed key and each pair of blocks is one small task, which returns only the
-    distance sums per point and cluster, never the pairs.
+    Squared distances to a whole cluster follow from its size, sum and sum of squares, so no pairs
+    are compared.
     """
-    sample = stage(sample_rows(points, sample_size, "key", seed), "silhouette-sample")
+    rows = points.select("key", F.col("cluster").cast("double"), array_to_vector("point").alias("features"))
+    score = ClusteringEvaluator(predictionCol="cluster", featuresCol="features", metricName="silhouette").evaluate(rows)
+    return points.sparkSession.createDataFrame([(float(score),)], "silhouette double")
+
+
+def silhouette(points: DataFrame, sample_size: int | None, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Mean Euclidean silhouette over a hashed sample of ``sample_size`` points, or over all points for None.
+
+    The measure needs every distance within the sample, so its cost grows with the square of the
+    sample; for a full table of any size use ``squared_silhouette``.  The sample is cut into blocks
+    by hashed key and each pair of blocks is one small task, which returns only the distance sums
+    per point and cluster, never the pairs.
+    """
+    sample = stage(points if sample_size is None else sample_rows(points, sample_size, "key", seed), "silhouette-sample")
     blocks = max(1, -(-sample.count() // block_rows))
     block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

@@ -10,9 +10,7 @@ from pyspark.sql.types import NumericType
 
 from editpulse.functions import rules
 from editpulse.operators.ranking import as_series, exact_medians, running_sums
-from editpulse.sources.staging import broadcast_within
-
-MAX_BROADCAST_CATEGORIES = 100_000
+from editpulse.sources.staging import stage
 
 
 def class_balance(df: DataFrame, target: str = "left_early") -> DataFrame:
@@ -22,9 +20,10 @@ def class_balance(df: DataFrame, target: str = "left_early") -> DataFrame:
 def class_weights(df: DataFrame, target: str = "left_early", weights: dict | None = None) -> DataFrame:
     """Add ``class_weight``: given weights, or n / (classes x n of the class) by default."""
     if weights is None:
-        counts = {row[target]: row["n_users"] for row in class_balance(df, target).collect()}
-        total = sum(counts.values())
-        weights = {value: total / (len(counts) * n) for value, n in counts.items()}
+        counts = stage(class_balance(df, target), "classes").withColumnRenamed(target, "weighted_class")
+        total, classes = counts.agg(F.sum("n_users"), F.count(F.lit(1))).first()
+        balanced = counts.select("weighted_class", (F.lit(float(total or 0)) / (F.lit(classes) * F.col("n_users"))).alias("class_weight"))
+        return df.join(balanced, F.col(target).eqNullSafe(F.col("weighted_class")), "left").drop("weighted_class")
     weight = F.lit(None).cast("double")
     for value, number in weights.items():
         weight = F.when(F.col(target) == value, F.lit(float(number))).otherwise(weight)
@@ -33,9 +32,9 @@ def class_weights(df: DataFrame, target: str = "left_early", weights: dict | Non
 
 def category_frequency(df: DataFrame, column: str) -> DataFrame:
     """Share of every category among the rows that have one."""
-    present = df.where(F.col(column).isNotNull())
-    total = present.count()
-    return present.groupBy(column).agg((F.count(F.lit(1)) / F.lit(total)).alias("frequency"))
+    counts = stage(df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")), "categories")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    return counts.select(column, (F.col("n") / F.lit(total)).alias("frequency"))
 
 
 def frequency_encode(df: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
@@ -43,7 +42,7 @@ def frequency_encode(df: DataFrame, columns: dict[str, str] | None = None) -> Da
     for column, encoded in (columns or rules.ENCODED_CATEGORIES).items():
         if column in df.columns:
             shares = category_frequency(df, column).withColumnRenamed("frequency", encoded)
-            df = df.join(broadcast_within(shares, MAX_BROADCAST_CATEGORIES), column, "left").drop(column)
+            df = df.join(shares, column, "left").drop(column)
     return df
 
 
@@ -53,9 +52,9 @@ def _with_missing_flag(df: DataFrame, fills: dict[str, float]) -> DataFrame:
     return df.withColumns(flags | filled) if fills else df
 
 
-def impute_sentinels(df: DataFrame) -> DataFrame:
+def impute_sentinels(df: DataFrame, columns: Sequence[str] = rules.SENTINEL_COLUMNS) -> DataFrame:
     """Fill values whose absence has a meaning with a sentinel, plus a missing flag."""
-    present = [name for name in rules.SENTINEL_COLUMNS if name in df.columns]
+    present = [name for name in columns if name in df.columns]
     return _with_missing_flag(df, dict.fromkeys(present, rules.SENTINEL_VALUE))
 
 

@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from editpulse.sources.staging import holds_at_most, stage
+from editpulse.sources.staging import stage
 
-MAX_SERIES = 2_000
+SLICE_VALUES = 1_000_000
 
 
 def running_sums(
-    df: DataFrame, order: str, sums: dict[str, Column], series: str | None = None, slices: int = 64
+    df: DataFrame, order: str, sums: dict[str, Column], series: str | None = None, slices: int | None = None
 ) -> DataFrame:
     """Running sums in ascending ``order``, one row per distinct value.
 
@@ -36,14 +36,13 @@ def running_sums(
         .agg(*(F.sum(value).alias(name) for name, value in sums.items())),
         "distinct-values",
     )
-    few_series = holds_at_most(distinct.select("series").distinct(), MAX_SERIES) if series else True
-
-    def small(table: DataFrame) -> DataFrame:  # at most ``slices`` rows per series
-        return F.broadcast(table) if few_series else table
-
+    if slices is None:  # about SLICE_VALUES distinct values in each
+        largest = distinct.groupBy("series").count().agg(F.max("count")).first()[0] or 0
+        slices = max(64, -(-largest // SLICE_VALUES))
     shares = [place / slices for place in range(1, slices)]
-    cuts = distinct.groupBy("series").agg(F.percentile_approx(order, shares, 1_000).alias("cuts"))
-    sliced = distinct.join(small(cuts), "series").select(
+    # Written once: both readers below must see the same cut points.
+    cuts = stage(distinct.groupBy("series").agg(F.percentile_approx(order, shares, 1_000).alias("cuts")), "cut-points")
+    sliced = distinct.join(cuts, "series").select(
         "series", order, *sums, F.expr(f"size(filter(cuts, cut -> cut < {order}))").alias("slice")
     )
     # at most ``slices`` rows per series from here to the join
@@ -57,7 +56,7 @@ def running_sums(
         *(F.sum(name).over(every).alias(f"{name}_all") for name in sums),
     )
     inside = W.partitionBy("series", "slice").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    result = sliced.join(small(offsets), ["series", "slice"]).select(
+    result = sliced.join(offsets, ["series", "slice"]).select(
         F.col("series").alias(series or "series"),
         order,
         *sums,

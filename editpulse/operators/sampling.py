@@ -11,65 +11,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_CLASSES = 1_000
-PREFIX_LENGTH = 3  # 4096 prefixes
+from editpulse.sources.staging import stage
+
+PREFIX_LENGTH = 3  # 4096 prefixes a step
 
 
 def row_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def _cut_hashes(df: DataFrame, key: str, seed: int, wanted: Column, by: Column) -> dict:
-    """Hash of the ``wanted``-th row of each class in hash order; ``wanted`` may use ``total``."""
-    hashed = df.select(by.alias("class"), row_hash(key, seed).alias("hash")).withColumn(
-        "prefix", F.substring("hash", 1, PREFIX_LENGTH)
-    )
-    in_order = W.partitionBy("class").orderBy("prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
-    located = (
-        hashed.groupBy("class", "prefix")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumns({"upto": F.sum("n").over(in_order), "total": F.sum("n").over(W.partitionBy("class"))})
-        .withColumn("wanted", wanted)
-        .where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-        .select("class", "prefix", (F.col("wanted") - F.col("upto") + F.col("n")).alias("place"))
-    )
-    places = located.limit(MAX_CLASSES + 1).collect()
-    if len(places) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes to split by")
-    cuts = {}
-    for place in places:
-        # Hashes are uniform, so one prefix holds about 1/4096 of a class.
-        candidates = hashed.where(
-            F.col("class").eqNullSafe(F.lit(place["class"])) & (F.col("prefix") == place["prefix"])
-        )
-        upto = F.sum("n").over(W.partitionBy("prefix").orderBy("hash").rowsBetween(W.unboundedPreceding, W.currentRow))
-        counted = candidates.groupBy("prefix", "hash").agg(F.count(F.lit(1)).alias("n"))  # copies of an id collapse
-        row = counted.withColumn("upto", upto).where(F.col("upto") >= place["place"]).agg(F.min("hash").alias("hash")).first()
-        cuts[place["class"]] = row["hash"]
-    return cuts
+def _cut_hashes(df: DataFrame, key: str, seed: int, wanted: Column, by: Column) -> DataFrame:
+    """``class`` and ``cut``: the hash of the ``wanted``-th row of each class in hash order.
+
+    ``wanted`` may use ``total``, the rows of the class.  Counts per prefix find the prefix that holds
+    the row, counts per longer prefix narrow it down, and only rows of that one, about one in 16
+    million of a class, are ranked; all classes go through together.
+    """
+    rows = df.select(by.alias("class"), row_hash(key, seed).alias("hash"))
+    everywhere = W.partitionBy("class")
+    places = None
+    for step in (1, 2):
+        prefix = F.substring("hash", 1, step * PREFIX_LENGTH)
+        counts = (rows if places is None else _within(rows, places)).groupBy("class", prefix.alias("prefix"), *(["place"] if places is not None else []))
+        counts = counts.agg(F.count(F.lit(1)).alias("n"))
+        if places is None:
+            counts = counts.withColumn("total", F.sum("n").over(everywhere)).withColumn("place", wanted).drop("total")
+        upto = F.sum("n").over(everywhere.orderBy("prefix").rowsBetween(W.unboundedPreceding, W.currentRow))
+        counts = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place")))
+        places = counts.select("class", "prefix", (F.col("place") - F.col("upto") + F.col("n")).alias("place"))
+    candidates = _within(rows, places).groupBy("class", "place", "hash").agg(F.count(F.lit(1)).alias("n"))  # copies of an id collapse
+    upto = F.sum("n").over(everywhere.orderBy("hash").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return candidates.withColumn("upto", upto).where(F.col("upto") >= F.col("place")).groupBy("class").agg(F.min("hash").alias("cut"))
+
+
+def _within(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of each class whose hash begins with the located prefix."""
+    located = places.withColumnRenamed("class", "located")
+    return rows.join(located, F.col("class").eqNullSafe(F.col("located")) & F.col("hash").startswith(F.col("prefix"))).select("class", "hash", "place")
 
 
 def stratified_split(df: DataFrame, target: str, share: float = 0.2, key: str = "user_id", seed: int = 42) -> DataFrame:
     """Add ``is_test``: the given share of every class, rounded to whole rows."""
     wanted = F.floor(F.col("total") * share + 0.5)
-    cuts = _cut_hashes(df, key, seed, wanted, F.col(target))
-    is_test = F.lit(False)
-    for value, cut in cuts.items():
-        in_class = F.col(target).eqNullSafe(F.lit(value))
-        is_test = F.when(in_class, row_hash(key, seed) <= cut).otherwise(is_test)
-    return df.withColumn("is_test", is_test)
+    cuts = stage(_cut_hashes(df, key, seed, wanted, F.col(target)), "cuts").withColumnsRenamed({"class": "split_class", "cut": "split_cut"})
+    joined = df.join(cuts, F.col(target).eqNullSafe(F.col("split_class")), "left")
+    is_test = F.coalesce(row_hash(key, seed) <= F.col("split_cut"), F.lit(False))
+    return joined.withColumn("is_test", is_test).drop("split_class", "split_cut")
 
 
 def sample_rows(df: DataFrame, n: int, key: str = "user_id", seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows without replacement (all rows if there are fewer)."""
-    cuts = _cut_hashes(df, key, seed, F.lit(n), F.lit(0))
-    return df.where(row_hash(key, seed) <= cuts[0]) if cuts else df
+    cut = _cut_hashes(df, key, seed, F.lit(n), F.lit(0)).first()
+    return df.where(row_hash(key, seed) <= cut["cut"]) if cut else df
+
 
+def resample_rows(df: DataFrame, n: int, key: str = "user_id", seed: int = 42) -> DataFrame:
+    """Exactly ``n`` draws with replacement, the same on every run.
 
-def resample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """About ``n`` rows drawn with replacement."""
+    Each of ``n`` draws picks a place in hash order; places come from the rows' own counts per prefix,
+    so a row drawn m times appears m times.
+    """
     total = df.count()
-    return df.sample(withReplacement=True, fraction=n / total, seed=seed) if total else df
+    if not total:
+        return df
+    draws = df.sparkSession.range(n).select((F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(total)) + 1).alias("place"))
+    drawn = draws.groupBy("place").agg(F.count(F.lit(1)).alias("times"))
+    placed = with_places(df, key, seed)
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return placed.join(drawn, "place").withColumn("again", F.explode(F.expr("sequence(1L, times)"))).select(*names)
+
+
+def with_places(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows with ``place``, their number in hash order, counted per prefix and shifted by earlier ones."""
+    hashed = df.withColumn("place_hash", row_hash(key, seed)).withColumn("place_prefix", F.substring("place_hash", 1, PREFIX_LENGTH))
+    earlier = W.orderBy("place_prefix").rowsBetween(W.unboundedPreceding, -1)
+    shifts = hashed.groupBy("place_prefix").agg(F.count(F.lit(1)).alias("n")).select("place_prefix", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+    inside = F.row_number().over(W.partitionBy("place_prefix").orderBy("place_hash"))
+    return hashed.join(F.broadcast(shifts), "place_prefix").withColumn("place", inside + F.col("shift")).drop("place_hash", "place_prefix", "shift")  # 4096 prefixes at most
 
 
 def fold_number(folds: int, key: str = "user_id", seed: int = 42) -> Column:

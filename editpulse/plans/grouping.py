@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
@@ -19,18 +20,25 @@ SEED = 42
 VARIANCE_SHARE = 0.9
 CLUSTER_RANGE = range(2, 16)
 RESTARTS = 20
+SILHOUETTE_SAMPLE = 10_000
 MIXTURE_RANGE = range(2, 20)
 IMPROVEMENT_LIMIT = 0.015
+PARALLEL_FITS = 4
 
 
 def scaled_users(summary: DataFrame) -> DataFrame:
-    """Scaled features of established users, written once for the many fits on them."""
-    return stage(scale_features(grouping_input(summary)), "scaled-users")
+    """Scaled features of all established users, written once for the many fits on them.
+
+    A feature that is still missing after ``grouping_input`` takes 0, the mean of the scaled feature,
+    so no user is left out.
+    """
+    scaled = scale_features(grouping_input(summary))
+    return stage(scaled.fillna(0.0, [name for name in scaled.columns if name != "user_id"]), "scaled-users")
 
 
 def _assembled(scaled: DataFrame, key: str = "user_id") -> tuple[DataFrame, list[str]]:
     names = [name for name in scaled.columns if name != key]
-    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(scaled), names
+    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error").transform(scaled), names
 
 
 def fit_components(scaled: DataFrame, share: float = VARIANCE_SHARE) -> tuple[PCAModel, list[str], int]:
@@ -45,9 +53,12 @@ def fit_components(scaled: DataFrame, share: float = VARIANCE_SHARE) -> tuple[PC
     return model, names, kept
 
 
-def explained_variance(scaled: DataFrame) -> DataFrame:
+Reduction = tuple[PCAModel, list[str], int]
+
+
+def explained_variance(scaled: DataFrame, fitted: Reduction | None = None) -> DataFrame:
     """Variance share per component, its running sum and whether the component is kept."""
-    model, _, kept = fit_components(scaled)
+    model, _, kept = fitted or fit_components(scaled)
     total, rows = 0.0, []
     for place, variance in enumerate(model.explainedVariance.toArray(), 1):
         total += float(variance)
@@ -55,17 +66,17 @@ def explained_variance(scaled: DataFrame) -> DataFrame:
     return scaled.sparkSession.createDataFrame(rows, "component int, variance double, cumulative double, kept boolean")
 
 
-def loadings(scaled: DataFrame) -> DataFrame:
+def loadings(scaled: DataFrame, fitted: Reduction | None = None) -> DataFrame:
     """Weight of every feature in every kept component, one row per feature and component."""
-    model, names, kept = fit_components(scaled)
+    model, names, kept = fitted or fit_components(scaled)
     weights = model.pc.toArray()
     rows = [(name, f"PC{c + 1}", float(weights[f, c])) for f, name in enumerate(names) for c in range(kept)]
     return scaled.sparkSession.createDataFrame(rows, "feature string, component string, loading double")
 
 
-def components(scaled: DataFrame) -> DataFrame:
+def components(scaled: DataFrame, fitted: Reduction | None = None) -> DataFrame:
     """``user_id, features`` with the kept components, written once for the sweeps."""
-    model, _, kept = fit_components(scaled)
+    model, _, kept = fitted or fit_components(scaled)
     rows, _ = _assembled(scaled)
     projected = model.transform(rows).withColumn("kept", F.slice(vector_to_array("components"), 1, kept))
     return stage(as_vectors(projected.select("user_id", "kept"), "kept"), "components")
@@ -77,13 +88,15 @@ def as_vectors(df: DataFrame, array: str) -> DataFrame:
 
 
 def fit_kmeans(rows: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED) -> KMeansModel:
-    """Best of several restarts by inertia."""
-    best = None
-    for attempt in range(restarts):
-        model = KMeans(k=k, seed=seed + attempt, featuresCol="features").fit(rows)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    """Best of several restarts by inertia; restarts run side by side and the earliest wins ties."""
+    fits = side_by_side(lambda attempt: KMeans(k=k, seed=seed + attempt, featuresCol="features").fit(rows), range(restarts))
+    return min(fits, key=lambda model: model.summary.trainingCost)
+
+
+def side_by_side(fit: Callable, settings: Sequence) -> list:
+    """Independent fits from a few driver threads, so that small jobs share the cluster."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(fit, settings))
 
 
 def assign(model: KMeansModel | GaussianMixtureModel, rows: DataFrame, column: str, key: str = "user_id") -> DataFrame:
@@ -91,9 +104,13 @@ def assign(model: KMeansModel | GaussianMixtureModel, rows: DataFrame, column: s
 
 
 def kmeans_sweep(
-    rows: DataFrame, ks: Sequence[int] = CLUSTER_RANGE, restarts: int = RESTARTS, sample_size: int = Q.SAMPLE_ROWS, key: str = "user_id"
+    rows: DataFrame, sample_size: int | None, ks: Sequence[int] = CLUSTER_RANGE, restarts: int = RESTARTS, key: str = "user_id"
 ) -> DataFrame:
-    """Inertia on all rows and quality measures on a sample, per number of clusters."""
+    """Quality measures per number of clusters, over all rows.
+
+    ``silhouette`` compares all pairs of a sample of ``sample_size`` rows (all rows for None);
+    ``squared_silhouette`` and the other measures are linear and read every row.
+    """
     dimensions = rows.select(F.size(vector_to_array("features"))).first()[0]
     results = []
     for k in ks:
@@ -101,18 +118,19 @@ def kmeans_sweep(
         labelled = model.transform(rows).select(
             F.col(key).alias("key"), F.col("prediction").alias("cluster"), vector_to_array("features").alias("point")
         )
-        sample = stage(Q.sample_rows(labelled, sample_size, "key"), "cluster-sample")
+        labelled = stage(labelled, "labelled")
         results.append(
             (
                 k,
-                Q.silhouette(sample, sample_size).first()[0],
-                Q.davies_bouldin(sample, dimensions).first()[0],
-                Q.calinski_harabasz(sample, dimensions).first()[0],
+                Q.silhouette(labelled, sample_size).first()[0],
+                Q.squared_silhouette(labelled).first()[0],
+                Q.davies_bouldin(labelled, dimensions).first()[0],
+                Q.calinski_harabasz(labelled, dimensions).first()[0],
                 float(model.summary.trainingCost),
             )
         )
     return rows.sparkSession.createDataFrame(
-        results, "k int, silhouette double, davies_bouldin double, calinski_harabasz double, inertia double"
+        results, "k int, silhouette double, squared_silhouette double, davies_bouldin double, calinski_harabasz double, inertia double"
     )
 
 
@@ -124,10 +142,8 @@ def mixture_sweep(rows: DataFrame, counts: Sequence[int] = MIXTURE_RANGE) -> Dat
     """BIC and AIC per number of mixture components."""
     total = rows.count()
     dimensions = rows.select(F.size(vector_to_array("features"))).first()[0]
-    results = []
-    for n in counts:
-        likelihood = fit_mixture(rows, n).summary.logLikelihood
-        results.append((n, *Q.information_criteria(likelihood, n, dimensions, total)))
+    fits = side_by_side(lambda n: fit_mixture(rows, n).summary.logLikelihood, counts)
+    results = [(n, *Q.information_criteria(likelihood, n, dimensions, total)) for n, likelihood in zip(counts, fits)]
     return rows.sparkSession.createDataFrame(results, "n_components int, bic double, aic double")
 
 
@@ -144,13 +160,15 @@ def group_users(
     fixed_k: int | None = None,
     fixed_n: int | None = None,
     criterion: str = "bic",
+    sample_size: int | None = SILHOUETTE_SAMPLE,
 ) -> dict[str, DataFrame]:
     """The whole grouping job; numbers of groups are chosen unless given."""
     scaled = scaled_users(summary)
-    rows = components(scaled)
-    tables = {"loadings": loadings(scaled)}
+    fitted = fit_components(scaled)
+    rows = components(scaled, fitted)
+    tables = {"loadings": loadings(scaled, fitted)}
     if fixed_k is None:
-        tables["kmeans_metrics"] = kmeans_sweep(rows, ks, restarts)
+        tables["kmeans_metrics"] = kmeans_sweep(rows, sample_size, ks, restarts)
         tables["elbow"] = Q.elbow_choice(tables["kmeans_metrics"])
         fixed_k = Q.best_by_score(tables["kmeans_metrics"]).first()["best_k"]
     if fixed_n is None:

@@ -11,7 +11,7 @@ from editpulse.operators.daily import daily_inputs, daily_user_activity
 from editpulse.operators.enrich import assign_countries, country_boxes, enrich
 from editpulse.operators.summary import categorization_summary, prediction_summary
 from editpulse.sources.readers import read_daily_activity
-from editpulse.sources.staging import stage
+from editpulse.sources.staging import drop_staged, stage
 from editpulse.sources.writers import write_daily_activity, write_user_summary
 
 
@@ -22,6 +22,8 @@ def daily_activity(
     start: str = rules.RANGE_START,
     end: str = rules.RANGE_END,
     validity_snapshot: str = rules.VALIDITY_SNAPSHOT,
+    per_day_changesets: bool = False,
+    weighted_validity: bool = False,
 ) -> DataFrame:
     """Daily table of all requested countries (all known ones by default).
 
@@ -30,17 +32,29 @@ def daily_activity(
     """
     boxes = country_boxes(boundaries, codes)
     enriched = enrich(assign_countries(contributions, boxes, start, end), validity_snapshot)
-    return daily_user_activity(stage(daily_inputs(enriched), "daily-inputs"))
+    return daily_user_activity(stage(daily_inputs(enriched), "daily-inputs"), per_day_changesets, weighted_validity)
 
 
 def build_daily_activity(contributions: DataFrame, boundaries: DataFrame, path: str, **options) -> None:
+    """Writes the daily table of the requested countries; other countries at ``path`` stay."""
     write_daily_activity(daily_activity(contributions, boundaries, **options), path)
+    drop_staged(contributions.sparkSession)
 
 
 def build_user_summaries(
-    spark: SparkSession, daily_path: str, prediction_path: str, categorization_path: str, **options
+    spark: SparkSession,
+    daily_path: str,
+    prediction_path: str,
+    categorization_path: str,
+    snapshot: str = rules.COHORT_SNAPSHOT,
+    **shared,
 ) -> None:
-    """Both summary tables from the daily table on disk."""
+    """Both summary tables from the daily table on disk.
+
+    ``snapshot`` limits the cohort of the first table; all other options (horizon, milestones, early)
+    hold for both.
+    """
     daily = read_daily_activity(spark, daily_path)
-    write_user_summary(prediction_summary(daily, **options), prediction_path)
-    write_user_summary(categorization_summary(daily), categorization_path)
+    write_user_summary(prediction_summary(daily, snapshot=snapshot, **shared), prediction_path)
+    write_user_summary(categorization_summary(daily, **shared), categorization_path)
+    drop_staged(spark)

@@ -14,12 +14,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from editpulse.functions import rules
 from editpulse.operators import features as P
 from editpulse.operators.evaluate import classification_report, confusion_matrix
-from editpulse.operators.sampling import PREFIX_LENGTH, fold_number, row_hash, sample_rows, stratified_split
+from editpulse.operators.sampling import fold_number, row_hash, sample_rows, stratified_split, with_places
 from editpulse.sources.staging import stage
 
 TARGET = "left_early"
@@ -45,6 +45,7 @@ LINEAR_MIX = (0.1, 1.0)
 LINEAR_WEIGHTS = [{False: 4.0, True: 1.0}, {False: 5.0, True: 1.0}, {False: 6.0, True: 1.0}]
 LINEAR_DRAWS = 50
 LINEAR_FEATURES = 35
+LINEAR_SENTINELS = ["burstiness"]  # missing with fewer than three editing days
 THRESHOLD = 0.25
 FOLDS = 3
 LEARNING_SHARES = [0.1 + 0.9 * step / 7 for step in range(8)]
@@ -55,15 +56,20 @@ def training_table(summary: DataFrame, missing: str) -> DataFrame:
     """Encoded, imputed summary with target, ``is_test`` and ``fold``, written once for all fits.
 
     ``missing`` is ``"tree"`` (one out-of-range fill) or ``"linear"`` (sentinels, medians
-    and missing flags).
+    and missing flags); a value still missing after these is an error, never a silent zero.
     """
     table = P.frequency_encode(summary)
     if missing == "linear":
-        table = P.impute_medians(P.impute_sentinels(table))
+        table = P.impute_medians(P.impute_sentinels(table, [*rules.SENTINEL_COLUMNS, *LINEAR_SENTINELS]))
     table = stratified_split(table, TARGET).withColumn("fold", fold_number(FOLDS))
-    fill = TREE_FILL if missing == "tree" else 0.0
-    filled = {name: F.coalesce(F.col(name).cast("double"), F.lit(fill)) for name in P.model_features(table)}
-    return stage(table.withColumns(filled), f"training-{missing}")
+    names = P.model_features(table)
+    if missing == "tree":
+        table = table.withColumns({name: F.coalesce(F.col(name).cast("double"), F.lit(TREE_FILL)) for name in names})
+    table = stage(table.withColumns({name: F.col(name).cast("double") for name in names}), f"training-{missing}")
+    gaps = table.agg(*(F.count_if(F.col(name).isNull()).alias(name) for name in names)).first().asDict()
+    if any(gaps.values()):
+        raise ValueError(f"no fill for missing values of {sorted(name for name, n in gaps.items() if n)}")
+    return table
 
 
 def with_vector(table: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -286,23 +292,6 @@ def learning_curve(
 
 
 # ------------------------------------------------------------------ permutation importance
-def _positions(rows: DataFrame, seed: int) -> DataFrame:
-    """Rows with their ``place`` in hash order, numbered per hash prefix and shifted by the earlier prefixes."""
-    hashed = rows.withColumn("hash", row_hash("user_id", seed)).withColumn("prefix", F.substring("hash", 1, PREFIX_LENGTH))
-    earlier = W.orderBy("prefix").rowsBetween(W.unboundedPreceding, -1)
-    shifts = (  # one row per prefix, 4096 at most
-        hashed.groupBy("prefix")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("prefix", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
-    )
-    inside = F.row_number().over(W.partitionBy("prefix").orderBy("hash"))
-    return (
-        hashed.join(F.broadcast(shifts), "prefix")
-        .withColumn("place", inside + F.col("shift"))
-        .drop("hash", "prefix", "shift")
-    )
-
-
 def permutation_importance(fitted: Fitted, rows: DataFrame | None = None, seed: int = SEED) -> DataFrame:
     """Drop of macro F1 when one feature is exchanged between users.
 
@@ -314,8 +303,8 @@ def permutation_importance(fitted: Fitted, rows: DataFrame | None = None, seed:
     base = stage(
         with_vector(rows, fitted.features).select("user_id", TARGET, vector_to_array("features").alias("own")), "permuted"
     )
-    left = _positions(base, seed)
-    right = _positions(base, seed + 1).select("place", F.col("own").alias("donor"))
+    left = with_places(base, "user_id", seed)
+    right = with_places(base, "user_id", seed + 1).select("place", F.col("own").alias("donor"))
     paired = left.join(right, "place")
     copies = paired.withColumn("feature_index", F.explode(F.sequence(F.lit(-1), F.lit(len(fitted.features) - 1)))).select(
         "user_id",

@@ -1,4 +1,4 @@
-"""Tables written between two stages, and size-checked broadcasts."""
+"""Tables written between two stages."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_staged: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -31,11 +31,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage to recompute when an executor is lost, and readers get
-    column pruning and filter pushdown on it.
+    column pruning and filter pushdown on it; a small one is broadcast by its file size.
+    ``drop_staged`` deletes all of them.
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/editpulse-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,15 +55,9 @@ def named_table(df: DataFrame, name: str) -> Iterator[DataFrame]:
         staged.sparkSession.catalog.dropTempView(name)
 
 
-def holds_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcasting if it holds at most ``max_rows`` rows.
-
-    A larger table comes back without the hint, so the join shuffles instead (and AQE
-    may split skewed partitions).
-    """
-    return F.broadcast(df) if holds_at_most(df, max_rows) else df
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables that this application has staged; call it when a job's results are written."""
+    jvm = spark._jvm
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

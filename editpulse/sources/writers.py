@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def write_daily_activity(daily: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
-    """One directory per country.
+    """One directory per country; only the countries in ``daily`` are replaced.
 
     Rows are rebalanced by country before writing: adaptive execution gathers small
     countries in few files and splits a country holding a third of the table over many
@@ -18,6 +18,7 @@ def write_daily_activity(daily: DataFrame, path: str, rows_per_file: int = 2_000
         .write.partitionBy("country")
         .option("maxRecordsPerFile", rows_per_file)
         .option("compression", "zstd")
+        .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .parquet(path)
     )

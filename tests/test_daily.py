@@ -8,7 +8,7 @@ from editpulse.operators import enrich as E
 
 
 def daily(rows, **options):
-    labelled = E.assign_countries(rows, [("AAA", -180.0, -90.0, 180.0, 90.0), ("BBB", -180.0, -90.0, 180.0, 90.0)])
+    labelled = E.assign_countries(rows, E.box_table(rows.sparkSession, [("AAA", -180.0, -90.0, 180.0, 90.0), ("BBB", -180.0, -90.0, 180.0, 90.0)]))
     result = D.daily_user_activity(E.enrich(labelled), **options).collect()
     return {(r["user_id"], r["country"], str(r["edit_date"])): r for r in result}
 
@@ -87,7 +87,7 @@ def test_staged_inputs_give_the_same_table(spark, contribution):
     from editpulse.sources.staging import stage
 
     rows = contribution({}, {"user": 2, "tags": {"shop": "x"}, "tags_before": {"name": "y"}}, {"editor": None})
-    enriched = E.enrich(E.assign_countries(rows, [("AAA", -180.0, -90.0, 180.0, 90.0)]))
+    enriched = E.enrich(E.assign_countries(rows, E.box_table(rows.sparkSession, [("AAA", -180.0, -90.0, 180.0, 90.0)])))
     direct = D.daily_user_activity(enriched).collect()
     staged = D.daily_user_activity(stage(D.daily_inputs(enriched), "test")).collect()
     assert sorted(map(str, direct)) == sorted(map(str, staged))

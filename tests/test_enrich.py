@@ -85,13 +85,13 @@ def labels(df):
 def test_row_in_two_countries_counts_in_both(contribution):
     boxes = [WORLD, ("BBB", -1.0, -1.0, 2.0, 2.0), ("CCC", 5.0, 5.0, 6.0, 6.0)]
     rows = contribution({"countries": ["AAA", "BBB", "AAA", "CCC"]})
-    assert labels(E.assign_countries(rows, boxes)) == ["AAA", "BBB"]
+    assert labels(E.assign_countries(rows, E.box_table(rows.sparkSession, boxes))) == ["AAA", "BBB"]
 
 
 def test_pseudo_countries(contribution):
     boxes = [WORLD, (rules.STATELESS, *rules.WORLD_BOUNDS), (rules.SPECIAL_REGIONS, *rules.WORLD_BOUNDS)]
     rows = contribution({"countries": []}, {"countries": ["CP", "XA"]}, {"countries": ["XF"]}, {"countries": None})
-    assert labels(E.assign_countries(rows, boxes)) == [rules.SPECIAL_REGIONS, rules.STATELESS]
+    assert labels(E.assign_countries(rows, E.box_table(rows.sparkSession, boxes))) == [rules.SPECIAL_REGIONS, rules.STATELESS]
 
 
 def test_box_borders_and_time_range(contribution):
@@ -103,7 +103,7 @@ def test_box_borders_and_time_range(contribution):
         {"valid_from": datetime(2006, 12, 31, 23, 59, 59)},
         {"valid_from": datetime(2025, 7, 29)},
     )
-    assert E.assign_countries(rows, [box]).count() == 2
+    assert E.assign_countries(rows, E.box_table(rows.sparkSession, [box])).count() == 2
     assert E.country_contributions(rows, box).count() == 2
 
 
@@ -114,7 +114,7 @@ def test_one_scan_equals_one_run_per_country(contribution):
         {"osm_id": 2, "countries": ["BBB"], "bbox": (0.0, 0.0, 3.0, 1.0)},
         {"osm_id": 3, "countries": []},
     )
-    single = E.assign_countries(rows, boxes).select("osm_id", "country")
+    single = E.assign_countries(rows, E.box_table(rows.sparkSession, boxes)).select("osm_id", "country")
     runs = [E.country_contributions(rows, box).select("osm_id", "country") for box in boxes]
     merged = runs[0].union(runs[1]).union(runs[2])
     assert sorted(map(tuple, single.collect())) == sorted(map(tuple, merged.collect()))
@@ -122,11 +122,11 @@ def test_one_scan_equals_one_run_per_country(contribution):
 
 def test_country_boxes(spark):
     parts = spark.createDataFrame(
-        [("AAA", 0.0, 0.0, 1.0, 1.0), ("AAA", -5.0, 2.0, 0.5, 3.0), ("Z", 0.0, 0.0, 9.0, 9.0)],
+        [("AAA", 0.0, 0.0, 1.0, 1.0), ("AAA", -5.0, 2.0, 0.5, 3.0), ("A", 0.0, 0.0, 9.0, 9.0)],
         "iso string, xmin double, ymin double, xmax double, ymax double",
     )
-    assert E.country_boxes(parts, ["aaa"]) == [("AAA", -5.0, 0.0, 1.0, 3.0)]
-    assert {box[0] for box in E.country_boxes(parts)} == {"AAA", rules.STATELESS, rules.SPECIAL_REGIONS}
+    assert [(r.country, *r.country_box) for r in E.country_boxes(parts, ["aaa"]).collect()] == [("AAA", -5.0, 0.0, 1.0, 3.0)]
+    assert {r.country for r in E.country_boxes(parts).collect()} == {"AAA", rules.STATELESS, rules.SPECIAL_REGIONS}
     with pytest.raises(ValueError):
         E.country_boxes(parts, ["QQQ"])
 
@@ -135,7 +135,7 @@ def test_filters_reach_the_scan(spark, contribution, tmp_path):
     from editpulse.sources.readers import read_contributions
 
     contribution({}).write.parquet(str(tmp_path / "raw"))
-    rows = E.assign_countries(read_contributions(spark, str(tmp_path / "raw")), [("AAA", 0.0, 0.0, 1.0, 1.0)])
+    rows = E.assign_countries(read_contributions(spark, str(tmp_path / "raw")), E.box_table(spark, [("AAA", 0.0, 0.0, 1.0, 1.0)]))
     execution = rows.select(F.col("user.id"), "country")._jdf.queryExecution()
     plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(execution, "formatted")
     assert "GreaterThanOrEqual(bbox.xmin" in plan and "GreaterThanOrEqual(valid_from" in plan

@@ -118,7 +118,7 @@ def test_silhouette_does_not_depend_on_blocks(spark, cloud):
     labels[0] = 9  # a cluster of one
     expected = brute_silhouette(labels, values)
     for block_rows in (17, 1000):
-        got = Q.silhouette(points(spark, labels, values), block_rows=block_rows).first()[0]
+        got = Q.silhouette(points(spark, labels, values), None, block_rows=block_rows).first()[0]
         assert got == pytest.approx(expected, abs=1e-9)
 
 

@@ -49,7 +49,9 @@ def test_samples(spark):
     assert R.sample_rows(df, 123).count() == 123
     assert R.sample_rows(df, 123).distinct().count() == 123
     assert R.sample_rows(df, 9999).count() == 500
-    assert 300 < R.resample_rows(df, 500).count() < 700
+    drawn = R.resample_rows(df, 700)
+    assert drawn.count() == 700 and 320 < drawn.distinct().count() < 420
+    assert drawn.exceptAll(R.resample_rows(df.repartition(7), 700)).count() == 0
     folds = df.select(R.fold_number(3).alias("fold")).groupBy("fold").count().collect()
     assert sorted(r["fold"] for r in folds) == [0, 1, 2] and min(r["count"] for r in folds) > 100
 

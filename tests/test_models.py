@@ -4,6 +4,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from editpulse.operators import evaluate as Q
+from editpulse.operators.sampling import with_places
 from editpulse.plans import grouping as G
 from editpulse.plans import retention as M
 
@@ -38,7 +39,7 @@ def test_forest_pipeline(spark, summary):
 
 def test_permutation_is_a_permutation(spark, summary):
     rows = summary.select("user_id", F.col("signal").alias("own"))
-    places = sorted(r["place"] for r in M._positions(rows, 5).collect())
+    places = sorted(r["place"] for r in with_places(rows, "user_id", 5).collect())
     assert places == list(range(1, 601))
 
 
@@ -81,9 +82,18 @@ def test_components_reach_the_share(spark, scaled):
     assert G.loadings(scaled).count() == 4 * 2
 
 
+def test_users_with_a_missing_feature_stay(spark):
+    columns = "user_id bigint, total_edits bigint, left_early boolean, days_to_50 double, active_duration bigint, odd double, plain double"
+    rows = [(i, 50, False, 3.0, 10, None if i % 10 == 0 else float(i), float(i * i % 17)) for i in range(50)]
+    scaled = G.scaled_users(spark.createDataFrame(rows, columns))
+    components = G.components(scaled)
+    assert scaled.count() == components.count() == 50
+    assert G.assign(G.fit_kmeans(components, 2, 2), components, "group").distinct().count() == 50
+
+
 def test_groups_are_found(spark, scaled):
     rows = G.components(scaled)
-    metrics = G.kmeans_sweep(rows, (2, 3, 5), restarts=2).orderBy("k").collect()
+    metrics = G.kmeans_sweep(rows, None, (2, 3, 5), restarts=2).orderBy("k").collect()
     inertia = [r["inertia"] for r in metrics]
     assert inertia == sorted(inertia, reverse=True)
     frame = spark.createDataFrame(metrics)

@@ -10,7 +10,8 @@ SMALL = "/root/testdata/sf0.001"
 # One query per operator family; `python -m checks.compare` runs all of them.
 CHECKED = [
     "bbox_country_assignment", "key_diff", "added_key_categories", "feature_flags", "daily_user_activity", "observation_window",
-    "top_feature_type", "prediction_summary", "categorization_summary", "stratified_split", "mutual_information", "scaled_features",
+    "top_feature_type", "prediction_summary", "categorization_summary", "stratified_split", "mutual_information", "scaled_features", "daily_changeset_stats", "distinct_days", "daily_table_on_disk",
+    "user_sample", "frequency_encoding", "class_weights", "silhouette_sampled", "silhouette_squared", "pca_total_variance",
     "classification_report", "pr_threshold_curve", "silhouette_exact", "elbow_choice",
 ]
 

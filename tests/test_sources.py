@@ -1,4 +1,4 @@
-import pytest
+from pathlib import Path
 
 from editpulse.operators.summary import TOTALS
 from editpulse.plans import pipeline
@@ -56,7 +56,24 @@ def test_staging_folder_comes_from_the_session(spark):
     assert all(root.removeprefix("file:") in name for name in staged.inputFiles())
 
 
-@pytest.mark.parametrize("limit, hinted", [(5, True), (4, False)])
-def test_broadcast_only_within_the_bound(spark, limit, hinted):
-    small = staging.broadcast_within(spark.range(5), limit)
-    assert ("ResolvedHint" in small._jdf.queryExecution().analyzed().toString()) is hinted
+def test_staged_tables_are_dropped(spark):
+    staged = staging.stage(spark.range(3), "dropped")
+    (file, *_) = staged.inputFiles()
+    assert staged.count() == 3
+    staging.drop_staged(spark)
+    assert not Path(file.removeprefix("file://")).exists()
+
+
+def test_later_countries_leave_earlier_ones(spark, contribution, tmp_path):
+    rows = contribution({"countries": ["AAA", "BBB"]}, {"user": 2, "countries": ["BBB"]})
+    for code in ("AAA", "BBB", "BBB"):
+        pipeline.build_daily_activity(rows, boundaries(spark), str(tmp_path / "daily"), codes=[code])
+    daily = readers.read_daily_activity(spark, str(tmp_path / "daily"))
+    assert sorted((r["country"], r["user_id"]) for r in daily.collect()) == [("AAA", 1), ("BBB", 1), ("BBB", 2)]
+
+
+def test_options_reach_both_summaries(spark, contribution, tmp_path):
+    pipeline.build_daily_activity(contribution({}), boundaries(spark), str(tmp_path / "d"), weighted_validity=True)
+    paths = [str(tmp_path / name) for name in ("d", "p", "c")]
+    pipeline.build_user_summaries(spark, *paths, milestones=(5,))
+    assert all("days_to_5" in readers.read_user_summary(spark, path).columns for path in paths[1:])
