@@ -8,6 +8,7 @@ has its raw rows gathered in one task.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from editpulse.functions import rules
@@ -214,26 +215,34 @@ def changeset_days(rows: DataFrame, per_day: bool = False) -> DataFrame:
     count in full on each of its days; only the editor is taken from the day itself.
     With ``per_day`` a day only gets its own edits.
 
-    Both sides of the join are aggregates: one row per changeset, and one per changeset
-    and day.  A changeset with a huge number of edits is therefore condensed before any
-    shuffle, and no pairs of its rows are formed.
+    Edits are condensed to one row per changeset, day and duration before any shuffle; windows over
+    these few rows of a changeset share one partitioning with the aggregation to its days, so the
+    table is read once and nothing is joined.
     """
-    rows = _as_inputs(rows)
     changeset = ("user_id", "country", "changeset_id")
-    scope = (*changeset, "edit_date") if per_day else changeset
-    totals = (
-        rows.groupBy(*scope, "changeset_edit_duration")
-        .agg(F.count(F.lit(1)).alias("edits"), F.max("length_comment").alias("length_comment"))
-        .groupBy(*scope)
-        .agg(
-            F.sum("edits").alias("edits"),
-            F.count(F.lit(1)).alias("changesets"),
-            F.sum("length_comment").alias("comment_length"),
-            F.sum("changeset_edit_duration").alias("duration_micros"),
-        )
+    parts = (
+        _as_inputs(rows)
+        .groupBy(*changeset, "edit_date", "changeset_edit_duration")
+        .agg(F.count(F.lit(1)).alias("edits"), F.max("length_comment").alias("length_comment"), F.min("editor_rank").alias("editor_rank"))
+        .repartition(*(F.col(name) for name in changeset))
+    )
+    values = ("edits", "changesets", "comment_length", "duration_micros")
+    if per_day:
+        summed = (F.sum("edits"), F.count(F.lit(1)), F.sum("length_comment"), F.sum("changeset_edit_duration"))
+        return parts.groupBy(*changeset, "edit_date").agg(F.min("editor_rank").alias("editor_rank"), *(v.alias(n) for v, n in zip(summed, values)))
+    same_duration = W.partitionBy(*changeset, "changeset_edit_duration")
+    whole = W.partitionBy(*changeset)
+    counted = parts.withColumns(
+        {
+            "first_part": F.row_number().over(same_duration.orderBy("edit_date")) == 1,
+            "all_edits": F.sum("edits").over(same_duration),
+            "longest_comment": F.max("length_comment").over(same_duration),
+        }
     )
-    days = rows.groupBy(*changeset, "edit_date").agg(F.min("editor_rank").alias("editor_rank"))
-    return days.join(totals, list(scope))
+    once = lambda value: F.sum(F.when(F.col("first_part"), value)).over(whole)
+    totals = (once(F.col("all_edits")), once(F.lit(1)), once(F.col("longest_comment")), once(F.col("changeset_edit_duration")))
+    spread = counted.withColumns(dict(zip(values, totals)))
+    return spread.groupBy(*changeset, "edit_date").agg(F.min("editor_rank").alias("editor_rank"), *(F.max(name).alias(name) for name in values))
 
 
 def daily_changesets(rows: DataFrame, per_day: bool = False) -> DataFrame:

@@ -321,7 +321,10 @@ def prediction_summary(
     """Feature row over each eligible user's first ``horizon`` days."""
     latest_start = F.date_sub(F.lit(snapshot).cast("date"), horizon)
     times = day_features(user_days(daily), horizon, milestones, early).where(F.col("first_edit") <= latest_start)
-    rows = observation_window(daily.select("user_id", "country", "edit_date", *TOTALS), eligible_cohort(daily, snapshot, horizon), horizon)
+    # The first day is a window over the layout that the sums per user need anyway, so the cohort is not joined back.
+    first = F.min("edit_date").over(W.partitionBy("user_id"))
+    rows = daily.select("user_id", "country", "edit_date", *TOTALS).withColumn("first_edit", first)
+    rows = rows.where((F.col("first_edit") <= latest_start) & (F.col("edit_date") <= F.date_add("first_edit", horizon))).drop("first_edit")
     base = _assembled(rows, times, "last_in_window")
     return base.select(
         "user_id",

@@ -5,6 +5,7 @@ import pytest
 from editpulse.functions import rules
 from editpulse.operators import daily as D
 from editpulse.operators import enrich as E
+from editpulse.sources.staging import stage
 
 
 def daily(rows, **options):
@@ -91,3 +92,11 @@ def test_staged_inputs_give_the_same_table(spark, contribution):
     direct = D.daily_user_activity(enriched).collect()
     staged = D.daily_user_activity(stage(D.daily_inputs(enriched), "test")).collect()
     assert sorted(map(str, direct)) == sorted(map(str, staged))
+
+
+def test_changesets_read_once_without_a_join(spark, contribution):
+    rows = contribution({}, {"user": 2, "changeset": 5})
+    boxes = E.box_table(spark, [("AAA", -180.0, -90.0, 180.0, 90.0)])
+    inputs = stage(D.daily_inputs(E.enrich(E.assign_countries(rows, boxes))), "inputs")
+    plan = D.daily_changesets(inputs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "Join" not in plan and plan.count("Scan") == 1
