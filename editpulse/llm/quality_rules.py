@@ -7,7 +7,6 @@ from collections.abc import Iterable, Iterator
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +57,7 @@ def consistency(share: float, p: int) -> float:
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Number of set flags between consecutive offsets."""
-    return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[offsets])
+    return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])[offsets])
 
 
 def _member(characters: bytes) -> np.ndarray:
@@ -133,7 +132,7 @@ def measured(documents: DataFrame, carry: Iterable[str] | None = None) -> DataFr
     """``row``, ``lang``, ``source`` and the statistics of every row of ``documents``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in w.slices(batches, "text"):
+        for part in w.slices(batches, "text", 1 << 20):
             stats = text_statistics(w.text_bytes(part.column("text")))
             columns = [part.column("row"), part.column("lang"), part.column("source")]
             columns += [pa.array(stats[c], pa.int64()) for c in COUNTS] + [pa.array(stats[c], pa.float64()) for c in STATISTICS]
@@ -193,36 +192,35 @@ def _start(rows: DataFrame) -> DataFrame:
     return each.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("stat", "q1", "q2", "q3"))).alias("quartiles"))
 
 
-def _model_rows(frame: pd.DataFrame, centres: list[np.ndarray], covariances: list[np.ndarray]) -> pd.DataFrame:
-    floors = np.array(list(STATISTICS.values()))
-    out = frame[CELL].copy()
-    out["centre"] = [np.round(x, 9) for x in centres]
-    out["inverse"] = [np.round(np.linalg.inv(c + np.diag(floors**2)), 9).ravel() for c in covariances]
-    return out
+MODEL = "level int, cell_lang string, cell_source string, centre array<double>, inverse array<double>"
 
 
-MODEL = "level int, cell_lang string, cell_source string, centre array<double>, inverse array<double>"
+def _model_rows(cells: pa.RecordBatch, centres: list[np.ndarray], covariances: list[np.ndarray]) -> pa.RecordBatch:
+    floors = np.diag(np.array(list(STATISTICS.values())) ** 2)
+    lists = pa.list_(pa.float64())
+    found = pa.array([np.round(x, 9) for x in centres], lists), pa.array([np.round(np.linalg.inv(c + floors), 9).ravel() for c in covariances], lists)
+    return pa.RecordBatch.from_arrays([*(cells.column(c) for c in CELL), *found], names=[*CELL, "centre", "inverse"])
 
 
-def _first_model(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        tables = [np.array([[q["q1"], q["q2"], q["q3"]] for q in x]) for x in f["quartiles"]]
-        yield _model_rows(f, [t[:, 1] for t in tables], [np.diag(((t[:, 2] - t[:, 0]) / 1.349) ** 2) for t in tables])
+def _first_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cells in batches:
+        tables = [np.array([[q["q1"], q["q2"], q["q3"]] for q in x]) for x in cells.column("quartiles").to_pylist()]
+        yield _model_rows(cells, [t[:, 1] for t in tables], [np.diag(((t[:, 2] - t[:, 0]) / 1.349) ** 2) for t in tables])
 
 
-def _next_model(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _next_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     p = len(STATISTICS)
     upper = np.triu_indices(p)
-    for f in frames:
+    for cells in batches:
         centres, covariances = [], []
-        for s in f.itertuples():
-            centre = np.asarray(s.sums) / s.n
+        for n, total, sums, products in zip(*(cells.column(c).to_pylist() for c in ("n", "total", "sums", "products")), strict=True):
+            centre = np.asarray(sums) / n
             second = np.zeros((p, p))
-            second[upper] = np.asarray(s.products) / s.n
+            second[upper] = np.asarray(products) / n
             second = second + np.triu(second, 1).T
             centres.append(centre)
-            covariances.append((second - np.outer(centre, centre)) * consistency(min(1.0, s.n / s.total), p))
-        yield _model_rows(f, centres, covariances)
+            covariances.append((second - np.outer(centre, centre)) * consistency(min(1.0, n / total), p))
+        yield _model_rows(cells, centres, covariances)
 
 
 def _with_distance(rows: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame:
@@ -261,7 +259,7 @@ def _step(rows: DataFrame, model: DataFrame, reweight: bool) -> DataFrame:
         F.array(*[F.sum(F.col("sums")[i]) for i in range(size)]).alias("sums"),
         F.array(*[F.sum(F.col("products")[i]) for i in range(size * (size + 1) // 2)]).alias("products"),
     )
-    return stage(summed.mapInPandas(_next_model, MODEL), "estimate")
+    return stage(summed.mapInArrow(_next_model, MODEL), "estimate")
 
 
 def judge(documents: DataFrame, carry: Iterable[str] | None = None, cutoff: float = CUTOFF) -> DataFrame:
@@ -284,9 +282,9 @@ def judge(documents: DataFrame, carry: Iterable[str] | None = None, cutoff: floa
     stats = stage(measured(documents, carry).withColumn("base_failed", base_failed()), "statistics")
     passed = stats.where("NOT base_failed").select("lang", "source", "n_words", *STATISTICS)
     cells = _cells(passed)
-    rows = _placed(passed, cells, F.explode("levels"))
+    rows = stage(_placed(passed, cells, F.explode("levels")), "placed")
     sizeable = rows.groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CELL_ROWS).select(*CELL)
-    model = stage(_start(rows).join(sizeable, CELL, "left_semi").mapInPandas(_first_model, MODEL), "estimate")
+    model = stage(_start(rows).join(sizeable, CELL, "left_semi").mapInArrow(_first_model, MODEL), "estimate")
     for k in range(STEPS + 1):
         model = _step(rows, model, reweight=k == STEPS)
     far = F.col("distance") > chi2_quantile(cutoff, len(STATISTICS))
