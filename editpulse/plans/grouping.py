@@ -112,23 +112,23 @@ def kmeans_sweep(
     ``squared_silhouette`` and the other measures are linear and read every row.
     """
     dimensions = rows.select(F.size(vector_to_array("features"))).first()[0]
-    results = []
-    for k in ks:
+
+    def measured(k: int) -> tuple:
         model = fit_kmeans(rows, k, restarts)
         labelled = model.transform(rows).select(
             F.col(key).alias("key"), F.col("prediction").alias("cluster"), vector_to_array("features").alias("point")
         )
         labelled = stage(labelled, "labelled")
-        results.append(
-            (
-                k,
-                Q.silhouette(labelled, sample_size).first()[0],
-                Q.squared_silhouette(labelled).first()[0],
-                Q.davies_bouldin(labelled, dimensions).first()[0],
-                Q.calinski_harabasz(labelled, dimensions).first()[0],
-                float(model.summary.trainingCost),
-            )
+        return (
+            k,
+            Q.silhouette(labelled, sample_size).first()[0],
+            Q.squared_silhouette(labelled).first()[0],
+            Q.davies_bouldin(labelled, dimensions).first()[0],
+            Q.calinski_harabasz(labelled, dimensions).first()[0],
+            float(model.summary.trainingCost),
         )
+
+    results = side_by_side(measured, ks)
     return rows.sparkSession.createDataFrame(
         results, "k int, silhouette double, squared_silhouette double, davies_bouldin double, calinski_harabasz double, inertia double"
     )
