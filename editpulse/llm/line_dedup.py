@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editpulse.llm import words as w
-from editpulse.llm.frames import kind_of, row_key, row_of
+from editpulse.llm.frames import kind_of, row_key, row_of, salted_join
 
 MIN_CODE_POINTS = 20
 MIN_DOCUMENTS = 3
@@ -44,8 +44,9 @@ def drop_common_lines(
     the largest doc_id that holds them. Lines keep their order.
 
     Distinct line hashes leave each document once; (hash, document) is aggregated before hash, so
-    a line that a third of the corpus repeats is spread over tasks and counted map-side. Documents
-    then meet the list of their own dropped hashes, so only texts are shuffled, not lines.
+    a line that a third of the corpus repeats is spread over tasks and counted map-side; it meets its
+    documents again over salted keys. Documents then meet the list of their own dropped hashes, so
+    only texts are shuffled, not lines.
 
     A null or empty text is one empty line. Rows without doc_id count as no document and lose
     every common line. Rows of one doc_id are one document; each keeps what that document keeps.
@@ -71,7 +72,7 @@ def drop_common_lines(
         .where(F.col("n") >= min_documents).select("line", "holder")
     )
     dropped = (
-        held.join(common, "line").where("doc_id IS NULL OR doc_id < holder")
+        salted_join(held, common, "line", "key").where("doc_id IS NULL OR doc_id < holder")
         .groupBy("key").agg(F.collect_set("line").alias("lines"))
     )
 
