@@ -38,9 +38,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near duplicates."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """One document of each group of near duplicates: that of the smallest doc_id.
+
+    An id under several texts names several documents, each with a verdict of its own; of those in
+    one group, the text with the smallest hash stays. Rows that repeat id and text share a verdict.
+    Rows without doc_id go where their words equal those of a document with one.
+    """
+    keyed = docs.select(F.col("doc_id").alias("own_id"), "text", F.xxhash64("text").alias("text_key"))
+    texts = keyed.where("own_id IS NOT NULL").groupBy("own_id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"))
+    own = F.col("own_id")
+    if not texts.where("lo < hi").isEmpty():
+        own = F.when(own.isNotNull(), F.xxhash64("own_id", "text"))
+    judged = near_duplicates(keyed.select("*", own.alias("doc_id")), carry=["own_id", "text_key"])
+    alone = F.when(F.col("component_id").isNull(), F.col("text_key")).alias("alone")
+    first = F.min(F.struct(F.col("own_id").isNull().alias("unnamed"), "own_id", "text_key")).alias("first")
+    kept = judged.groupBy("component_id", alone).agg(first).select("first.own_id", "first.text_key")
+    same = docs["doc_id"].eqNullSafe(kept["own_id"]) & (F.xxhash64(docs["text"]) == kept["text_key"])
+    return docs.join(kept, same, "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

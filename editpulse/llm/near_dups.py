@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,9 @@ def shingle_sets(texts: w.Texts, size: int) -> Iterator[np.ndarray]:
             yield np.empty(0, np.int64)
 
 
-def sketches(documents: DataFrame, shingle: int = SHINGLE_WORDS, k: int = SKETCH) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``sig`` (128-bit hash of the whole set) and ``kept_values``, the k smallest."""
+def sketches(documents: DataFrame, shingle: int = SHINGLE_WORDS, k: int = SKETCH, carry: Iterable[str] = ()) -> DataFrame:
+    """``doc_id``, the columns ``carry``, ``n_shingles``, ``sig`` (128-bit hash of the whole set) and ``kept_values``, the k smallest."""
+    own = ["doc_id", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in w.slices(batches, "text"):
@@ -53,16 +54,16 @@ def sketches(documents: DataFrame, shingle: int = SHINGLE_WORDS, k: int = SKETCH
             offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"),
+                    *(part.column(c) for c in own),
                     pa.array(counts, pa.int64()),
                     pa.array(sigs, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values))),
                 ],
-                names=["doc_id", "n_shingles", "sig", "kept_values"],
+                names=[*own, "n_shingles", "sig", "kept_values"],
             )
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, sig binary, kept_values array<bigint>")
+    kinds = ", ".join(f"{c} {kind_of(documents, c)}" for c in own)
+    return documents.select(*own, "text").mapInArrow(run, f"{kinds}, n_shingles long, sig binary, kept_values array<bigint>")
 
 
 def _least_shared(n: Column, k: int, percent: int, least: int) -> Column:
@@ -197,9 +198,12 @@ def near_duplicates(
     percent: int = SIMILARITY_PERCENT,
     k: int = SKETCH,
     least: int = LEAST_SHARED,
+    carry: Iterable[str] = (),
 ) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
+    The columns ``carry`` follow, to tell the rows of one doc_id and those without any apart.
+
     Words are runs of anything but ASCII white space, A-Z lower-cased; two documents are linked
     when 100 * shared shingles >= ``percent`` * all shingles of both. ``component_id`` is the
     smallest doc_id reachable over links.
@@ -218,8 +222,8 @@ def near_duplicates(
     one, else it stays alone with a null component and is kept. An empty table has an empty result.
     Other columns are ignored.
     """
-    documents = documents.select("doc_id", "text")
-    each = stage(sketches(documents, shingle, k), "sketches")
+    carry = list(carry)
+    each = stage(sketches(documents, shingle, k, carry), "sketches")
     full = each.where("n_shingles > 0")
     classes = stage(
         full.groupBy("sig").agg(
@@ -258,7 +262,7 @@ def near_duplicates(
     roots = components(first.unionByName(second)).withColumnRenamed("node", "rep")
     by_class = classes.select("sig", "rep").join(roots, "rep", "left").select("sig", F.coalesce("root", "rep").alias("component"))
     return (
-        each.select("doc_id", "n_shingles", "sig").join(by_class, "sig", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        each.select("doc_id", "n_shingles", "sig", *carry).join(by_class, "sig", "left")
+        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
+        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *carry)
     )

@@ -60,3 +60,17 @@ def test_odd_documents(spark):
     for name, function in corpus_pipeline.STAGES:
         empty = stage(function(spark, empty, SMALL), f"none-{name}")
     assert empty.collect() == []
+
+
+def test_near_dedup_judges_rows(spark):
+    def texts(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+        out = corpus_pipeline.near_dedup(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    assert texts([(1, a, "x"), (None, a, "x"), (None, b, "x"), (None, None, "x")]) == [(1, a), (None, b), (None, None)]
+    assert texts([(1, a, "x"), (5, a, "x"), (5, b, "x")]) == [(1, a), (5, b)]
+    assert texts([(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x")]) == [(1, a), (5, b)]
+    assert texts([(2, a, "x"), (5, a + " more", "x"), (5, b, "x"), (None, c, "x"), (5, None, "x")]) == sorted([(2, a), (5, b), (5, None), (None, c)], key=str)
