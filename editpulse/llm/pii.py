@@ -15,8 +15,7 @@ from editpulse.llm.frames import row_of
 from editpulse.llm.pii_spans import CANDIDATE, KINDS, base_spans, candidates
 from editpulse.sources.staging import stage
 
-#: Bound on the candidates that the trees are fitted on and thresholds calibrated with; more are
-#: thinned by a hash.
+#: Bound on the candidates that the trees are fitted on; more are thinned by a hash.
 TRAIN_CANDIDATES = 20_000
 TREES, DEPTH = 15, 3
 MIN_PRECISION = 0.9
@@ -49,22 +48,25 @@ def scan(documents: DataFrame, carry: Iterable[str] | None = None) -> DataFrame:
 def fit(examples: DataFrame, train_candidates: int = TRAIN_CANDIDATES) -> tuple[GBTClassificationModel, dict[str, float]] | None:
     """Boosted trees and a threshold per kind, from weakly labelled ``examples`` (key, kind, role, f).
 
-    Base spans and variants are positive, other proposals negative. A fifth of the sample, by hash,
-    calibrates: a kind's threshold is the lowest at which ``MIN_PRECISION`` of what is above it is
-    positive, and more than 1 where there is none. None without both classes.
+    Base spans and variants are positive, other proposals negative. A fifth of all examples, by
+    hash, calibrates and is never fitted on: a kind's threshold is the lowest at which
+    ``MIN_PRECISION`` of what is above it is positive, and more than 1 where there is none. Of the
+    rest a bounded sample is fitted. None without both classes.
     """
     part = 1 << 30
     known = examples.withColumn("label", (F.col("role") != CANDIDATE).cast("double"))
     total = known.count()
     rows = known.withColumn("draw", F.pmod(F.xxhash64("key", "kind", "f"), F.lit(part)))
-    sample = rows.where(F.col("draw") < round(part * min(1.0, train_candidates / max(total, 1))))
-    sample = stage(sample.select("kind", "label", "f", (F.col("draw") % 5 == 0).alias("calibrate")), "examples").coalesce(4)
-    sample = sample.withColumn("features", array_to_vector("f")).cache()
-    if sample.where("NOT calibrate").select("label").distinct().count() < 2:
+    held_out = F.col("draw") % 5 == 0
+    sample = rows.where(~held_out & (F.col("draw") < round(part * min(1.0, train_candidates / max(total, 1)))))
+    sample = stage(sample.select("label", "f"), "examples").coalesce(4)
+    sample = sample.select("label", array_to_vector("f").alias("features")).cache()
+    if sample.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, maxBins=16).fit(sample.where("NOT calibrate"))
-    scored = model.transform(sample.where("calibrate")).select("kind", "label", F.round(vector_to_array("probability")[1], 6).alias("p"))
-    levels = scored.groupBy("kind", "p").agg(F.sum("label").alias("hits"), F.count("*").alias("n")).collect()  # within the bounded sample
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, maxBins=16).fit(sample)
+    scored = model.transform(rows.where(held_out).select("kind", "label", array_to_vector("f").alias("features")))
+    scored = scored.select("kind", "label", F.round(vector_to_array("probability")[1], 6).alias("p")).where("p >= 0.5")
+    levels = scored.groupBy("kind", "p").agg(F.sum("label").alias("hits"), F.count("*").alias("n")).collect()  # bounded by the rounding
     sample.unpersist()
     return model, {kind: _threshold([(r["p"], r["hits"], r["n"]) for r in levels if r["kind"] == kind]) for kind in KINDS}
 
@@ -89,7 +91,7 @@ def find_personal_data(documents: DataFrame, carry: Iterable[str] | None = None,
     the better of two that overlap. Base spans always stay.
 
     One pass over whole texts writes spans and features; the model is fitted on a bounded sample of
-    them and scores all. Only candidates are shuffled, by row key, never a text.
+    them, calibrated on a fifth of all and scores all. Only candidates are shuffled, by row key, never a text.
 
     Null and empty texts have no spans. Repeated rows get equal results. Without examples of both
     classes the base spans are the result. Empty tables give empty results. Other columns are not

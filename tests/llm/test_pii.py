@@ -71,3 +71,10 @@ def test_spans_of_a_corpus(spark):
     assert all(not r.spans for r in got if r.row.doc_id in (2001, 2002, 2003))
     assert sum(len(r.spans) > len(r.base) for r in got if 1000 <= (r.row.doc_id or 0) < 2000) <= 15
     assert pii.find_personal_data(frame.limit(0)).collect() == []
+
+
+def test_thresholds_of_rare_kinds_beyond_the_sample(spark):
+    rows = [(i, "phone", i % 2, [0.0, float(i % 2)]) for i in range(5000)] + [(9000 + i, "ip", 1, [1.0, 1.0]) for i in range(25)]
+    examples = spark.createDataFrame(rows, "key long, kind string, role int, f array<double>")
+    _, limits = pii.fit(examples, train_candidates=100)
+    assert limits["phone"] <= 1 and limits["ip"] <= 1
