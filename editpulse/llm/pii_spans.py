@@ -18,6 +18,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
+_GROUP = re.compile(r"[0-9]+")
 #: Digits with up to two separators between them, and what may stand before a phone number.
 _NUMBER = re.compile(r"(?<![0-9])(?:\+|00|\()?[0-9](?:[ ()./\[\]-]{0,2}[0-9]){5,}")
 _QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3,}")
@@ -85,15 +86,27 @@ def base_spans(text: str) -> list[Span]:
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
+def _numbers(text: str, first: int, last: int) -> Iterator[Span]:
+    """The number-like run from ``first`` to ``last`` and its parts between group boundaries."""
+    groups = [m.span() for m in _GROUP.finditer(text, first, last)]
+    for i, (start, _) in enumerate(groups):
+        start = first if i == 0 else start - (text[start - 1] == "(")
+        n = 0
+        for a, end in groups[i : i + 19]:
+            n += end - a
+            if n > 19:
+                break
+            if 7 <= n <= 16:
+                yield Span("phone", start, end)
+            if 13 <= n:
+                yield Span("card", start, end)
+
+
 def proposed_spans(text: str) -> Iterator[Span]:
     """Overlapping candidates in looser formats than the base patterns."""
     if _DIGIT.search(text):
         for m in _NUMBER.finditer(text):
-            n = len(_digits(m.group()))
-            if 7 <= n <= 16:
-                yield Span("phone", m.start(), m.end())
-            if 13 <= n <= 19:
-                yield Span("card", m.start(), m.end())
+            yield from _numbers(text, m.start(), m.end())
         for m in _QUAD.finditer(text):
             yield Span("ip", m.start(), m.end())
     spelled = "dot" in text
