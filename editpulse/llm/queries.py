@@ -15,6 +15,7 @@ from editpulse.llm.decontaminate import find_leaks
 from editpulse.llm.line_dedup import drop_common_lines
 from editpulse.llm.lm_scoring import score_texts
 from editpulse.llm.near_dups import near_duplicates
+from editpulse.llm.periodic_runs import collapse_runs
 from editpulse.llm.pii import KINDS, find_personal_data
 from editpulse.llm.quality_classifier import THRESHOLD, held_out, score_quality
 from editpulse.llm.quality_rules import COUNTS, judge
@@ -104,6 +105,36 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *COUNTS, "base_failed", "kept", "distance")
 
 
+def with_planted_periods(documents: DataFrame) -> DataFrame:
+    """doc_id and text; in the texts whose id's crc32 ends in 0, the words from a place on repeat one stretch.
+
+    With h the crc32 of the id in decimals and g = h div 10, the words from a = g mod n on become
+    those of the first p = 1 + (n - a) div (3 + g mod 8) of them, over and over.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    cut = F.expr("if(h % 10 = 0, regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), NULL)")
+    spoken = documents.select("doc_id", "text", h.alias("h")).withColumn("words", cut)
+    sized = spoken.withColumn("n", F.coalesce(F.array_size("words"), F.lit(0))).withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("if(n > 0, g % n, 0)"))
+    again = "array_join(transform(sequence(0, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % (1 + (n - a) div (3 + g % 8))) as int)]), ' ')"
+    return sized.select("doc_id", F.when(F.col("n") > 0, F.expr(again)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, its longest one, and digests of all runs and of the collapsed text."""
+    found = collapse_runs(with_planted_periods(table(spark, sf_dir, "documents")), ["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"])))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    named = found.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+    named = named.select("*", F.expr("-best.col2").alias("start"), F.col("best.length").alias("length"), F.expr("-best.col3").alias("period"))
+    return named.select(
+        "doc_id", "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_pii": op2_pii,
@@ -115,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
