@@ -18,7 +18,7 @@ _SLICE_BYTES = 1 << 20
 _RUN = "struct<start:long,length:long,period:long>"
 
 
-def lyndon_lengths(letters: list[int]) -> list[int]:
+def lyndon_lengths(letters: np.ndarray) -> list[int]:
     """Length of the longest Lyndon word that starts at each place: phase one of Baier's suffix sorter.
 
     Suffixes are grouped by a common prefix, their context; groups are ordered. From the highest
@@ -28,14 +28,12 @@ def lyndon_lengths(letters: list[int]) -> list[int]:
     Lyndon word at its members. Members that moved on are skipped when their old group is reached.
     """
     size = len(letters)
-    by_letter: dict[int, list[int]] = {}
-    for place, letter in enumerate(letters):
-        by_letter.setdefault(letter, []).append(place)
-    members = [by_letter[letter] for letter in sorted(by_letter)]
-    group = [0] * size
-    for g, places in enumerate(members):
-        for place in places:
-            group[place] = g
+    if not size:
+        return []
+    _, numbered = np.unique(letters, return_inverse=True)
+    places = np.argsort(numbered, kind="stable")
+    members = [x.tolist() for x in np.split(places, np.cumsum(np.bincount(numbered))[:-1])]
+    group = numbered.tolist()
     top = len(members) - 1
     below, above, context = list(range(-1, top)), [*range(1, top + 1), -1], [1] * (top + 1)
     left = list(range(-1, size - 1))
@@ -55,11 +53,9 @@ def lyndon_lengths(letters: list[int]) -> list[int]:
             p = s - 1
             while p >= 0 and done[p]:
                 p = left[p]
-            q = s
-            while q - 1 > p and left[q] != p:  # shorten the path for later walks
-                nxt = left[q]
-                left[q] = p
-                q = nxt
+            q = s - 1
+            while q > p and left[q] > p:  # shorten the path for later walks
+                left[q], q = p, left[q]
             left[s] = p
             if p == last:
                 count += 1
@@ -131,7 +127,7 @@ def runs_of(letters: np.ndarray, breaks: np.ndarray, min_words: int = MIN_WORDS)
     top = int(letters.max()) + 1
     start, period = [], []
     for order in (letters, top - letters):
-        lengths = np.array(lyndon_lengths(np.where(breaks, 0, order).tolist()), np.int64)
+        lengths = np.array(lyndon_lengths(np.where(breaks, 0, order)), np.int64)
         place = np.flatnonzero(~breaks)
         start.append(place)
         period.append(lengths[place])
@@ -174,6 +170,14 @@ def _stretches(found: w.Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     return start[long], (ends - start)[long]
 
 
+def _numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Dense numbers from 1 of the words between these bytes; equal words and only these have equal numbers."""
+    sizes = end - start
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    spelt = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[ranges(start, sizes)])])
+    return spelt.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+
+
 def word_runs(texts: w.Texts, min_words: int = MIN_WORDS) -> tuple[w.Words, np.ndarray]:
     """Words of the texts, and all runs as rows (first word, length, period), words numbered through."""
     found = w.words(texts, w.NOT_SPACE)
@@ -181,12 +185,7 @@ def word_runs(texts: w.Texts, min_words: int = MIN_WORDS) -> tuple[w.Words, np.n
     if not len(start):
         return found, np.empty((0, 3), np.int64)
     chosen = ranges(start, sizes)
-    numbers: dict[bytes, int] = {}
-    data = texts.data.tobytes()
-    letters = [
-        numbers.setdefault(data[a:b], len(numbers) + 1)
-        for a, b in zip(found.start[chosen].tolist(), found.end[chosen].tolist(), strict=True)
-    ]
+    letters = _numbered(texts.data, found.start[chosen], found.end[chosen])
     ends = np.cumsum(sizes)
     place = np.arange(len(chosen)) + np.repeat(np.arange(len(sizes)), sizes)  # one break after each stretch
     joined = np.zeros(len(chosen) + len(sizes), np.int64)
