@@ -158,10 +158,43 @@ SELECT record_id, canonical_url, outcome, CASE outcome WHEN 'full' THEN record_i
 FROM matched
 """
 
+COLLOCATIONS = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({TEXT}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), spoken AS (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces
+), places AS (
+    SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM spoken
+), counts AS (
+    SELECT lang, words[i:i + m - 1] AS gram, count(*) AS f FROM places, (SELECT unnest([1, 2, 3]) AS m) WHERE i + m - 1 <= len(words) GROUP BY ALL
+), chosen AS (
+    SELECT lang, gram, f AS a FROM counts WHERE len(gram) > 1 AND f >= 10
+), inner_grams AS (
+    SELECT lang, unnest([gram[1:2], gram[2:3]]) AS gram, a FROM chosen WHERE len(gram) = 3
+), open AS (
+    SELECT c.* FROM chosen c LEFT JOIN (SELECT lang, gram, max(a) AS longer FROM inner_grams GROUP BY ALL) i USING (lang, gram)
+    WHERE i.longer IS NULL OR 100 * i.longer < 50 * c.a
+), cuts AS (
+    SELECT lang, gram, a, unnest(range(1, len(gram))) AS k FROM open
+), weighed AS (
+    SELECT c.*, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.gram = c.gram[1:k] JOIN counts y ON y.lang = c.lang AND y.gram = c.gram[k + 1:]
+), lowest AS (
+    SELECT * FROM weighed QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1
+), ranked AS (
+    SELECT lang, array_to_string(gram, ' ') AS phrase, a, l, r, score FROM lowest
+), top AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked QUALIFY rank <= 2000
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM top JOIN (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE len(gram) = 1 GROUP BY lang) USING (lang)
+"""
+
 STATEMENTS: dict[str, str] = {
     "op1_lm_scoring": LM_SCORING,
     "op3_minhash_near_dedup": NEAR_DEDUP,
     "op4_warc_revisits": WARC_REVISITS,
     "op6_decontaminate": DECONTAMINATE,
     "op7_line_dedup": LINE_DEDUP,
+    "op12_collocations": COLLOCATIONS,
 }

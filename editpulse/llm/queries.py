@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from editpulse.llm import oracles
 from editpulse.llm.bpe import encode_decode
+from editpulse.llm.collocations import mine_collocations
 from editpulse.llm.decontaminate import find_leaks
 from editpulse.llm.line_dedup import drop_common_lines
 from editpulse.llm.lm_scoring import score_texts
@@ -105,6 +106,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *COUNTS, "base_failed", "kept", "distance")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two or three words of each language."""
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
 def with_planted_periods(documents: DataFrame) -> DataFrame:
     """doc_id and text; in the texts whose id's crc32 ends in 0, the words from a place on repeat one stretch.
 
@@ -146,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op12_collocations": op12_collocations,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
