@@ -81,7 +81,8 @@ def count(texts: w.Texts, languages: pa.Array) -> Counts:
     sizes = found.end - found.start
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     spelt = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[ranges(found.start, sizes)])])
-    words, word = _ordered(spelt.cast(pa.binary()) if offsets[-1] < 1 << 31 else spelt)
+    words, word = _ordered(spelt)
+    words = words.cast(pa.binary())
     languages, language = _ordered(languages)
     piece = np.cumsum(_BREAKS[texts.data])[found.start] if len(sizes) else sizes
     size, follows = len(words), (piece[1:] == piece[:-1]) & (found.text[1:] == found.text[:-1])
@@ -119,19 +120,29 @@ def unite(parts: list[Counts]) -> Counts:
     return Counts(languages, words, _rows(key1, size, n1), _rows(key2, size, n2), _rows(key3, size, n3))
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def choose(counts: Counts, ones: np.ndarray, twos: np.ndarray, threes: np.ndarray) -> Counts:
-    """The n-grams in these rows (ascending); rows needed to reach them stay with weight 0."""
-    second = np.union1d(twos, counts.three[threes, 0])
-    two = counts.two[second]
-    two[~np.isin(second, twos), 2] = 0
-    first = np.union1d(ones, two[:, 0])
+    """The n-grams in these rows (ascending), first parts of three words among them; rows of ``one``
+    that are only needed to reach longer ones stay with weight 0."""
+    two, three = counts.two[twos], counts.three[threes]
+    first = _distinct(np.concatenate([ones, two[:, 0]]))
     one = counts.one[first]
-    one[~np.isin(first, ones), 2] = 0
-    three = counts.three[threes]
-    used = np.unique(np.concatenate([one[:, 1], two[:, 1], three[:, 1]]))
-    one[:, 1], two[:, 1], three[:, 1] = (np.searchsorted(used, x[:, 1]) for x in (one, two, three))
-    two[:, 0], three[:, 0] = np.searchsorted(first, two[:, 0]), np.searchsorted(second, three[:, 0])
-    return Counts(counts.languages, counts.words.take(pa.array(used)), one, two, three)
+    own = np.zeros(len(first), bool)
+    own[np.searchsorted(first, ones)] = True
+    one[~own, 2] = 0
+    used = np.zeros(len(counts.words), bool)
+    for level in (one, two, three):
+        used[level[:, 1]] = True
+    number = np.cumsum(used) - 1
+    for level in (one, two, three):
+        level[:, 1] = number[level[:, 1]]
+    two[:, 0], three[:, 0] = np.searchsorted(first, two[:, 0]), np.searchsorted(twos, three[:, 0])
+    return Counts(counts.languages, counts.words.filter(pa.array(used)), one, two, three)
 
 
 def _freeze(owner: np.ndarray, arcs: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,61 +156,71 @@ def _freeze(owner: np.ndarray, arcs: np.ndarray, states: int) -> tuple[np.ndarra
     target = np.zeros(states, np.int64)
     chosen = [np.flatnonzero(sizes == 0)[:1]]
     frozen = len(chosen[0])  # state 0 is the one without arcs, if any
-    for size in np.unique(sizes[sizes > 0]).tolist():
+    for size in np.flatnonzero(np.bincount(sizes, minlength=1)).tolist():
+        if size == 0:
+            continue
         mine = np.flatnonzero(sizes == size)
-        rows = np.ascontiguousarray(arcs[ranges(bounds[mine], sizes[mine])].reshape(len(mine), -1))
-        register: dict[bytes, int] = {}
-        raw, step = rows.tobytes(), rows.shape[1] * rows.itemsize
-        place = [register.setdefault(raw[k : k + step], len(register)) for k in range(0, len(raw), step)]
-        place = np.array(place, np.int64)
-        _, first = np.unique(place, return_index=True)
+        rows = arcs[ranges(bounds[mine], sizes[mine])]
+        if size == 1 and int(rows[:, 0].max() + 1) * int(rows[:, 1].max() + 1) < 1 << 62:
+            _, first, place = np.unique(rows[:, 0] * (rows[:, 1].max() + 1) + rows[:, 1], return_index=True, return_inverse=True)
+        else:
+            register: dict[bytes, int] = {}
+            raw, step = rows.tobytes(), rows.shape[1] * rows.itemsize * size
+            place = np.array([register.setdefault(raw[k : k + step], len(register)) for k in range(0, len(raw), step)], np.int64)
+            first = np.unique(place, return_index=True)[1]
         chosen.append(mine[first])
         target[mine] = frozen + place
-        frozen += len(register)
+        frozen += len(first)
     order = np.concatenate(chosen)
     return target, np.concatenate([[0], np.cumsum(sizes[order])]), arcs[ranges(bounds[order], sizes[order])]
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers as compressed byte planes, column by column."""
-    flat = np.ascontiguousarray(values.T.astype(np.int64)).reshape(-1)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Whole numbers from 0 as compressed byte planes, column by column, after a byte with their width."""
+    flat = np.ascontiguousarray(values.T, np.int64).reshape(-1)
+    width = (int(flat.max(initial=0)).bit_length() + 7) // 8 or 1
+    planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(data: bytes, columns: int = 1) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    flat = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).reshape(-1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    flat = np.zeros((planes.shape[1], 8), np.uint8)
+    flat[:, : data[0]] = planes.T
+    flat = flat.view(np.int64).reshape(-1)
     return flat if columns == 1 else np.ascontiguousarray(flat.reshape(columns, -1).T)
 
 
-AUTOMATON = "languages array<string>, words binary, one binary, two binary, bounds binary, three binary"
+AUTOMATON = "languages array<string>, words binary, sizes binary, one binary, two binary, bounds binary, three binary"
 _FIELDS = [f.strip().split(" ")[0] for f in AUTOMATON.split(", ")]
-_TYPES = [pa.list_(pa.string()), *[pa.binary()] * 5]
+_TYPES = [pa.list_(pa.string()), *[pa.binary()] * 6]
 
 
 def freeze(counts: Counts) -> list:
     """Cells of the minimal transducer: paths of two words, then shared states with the third."""
     target, bounds, arcs = _freeze(counts.three[:, 0], counts.three[:, 1:], len(counts.two))
     two = np.column_stack([counts.two, target])
-    words = zstandard.ZstdCompressor(level=1).compress(b"\n".join(counts.words.to_pylist()))
-    return [counts.languages.to_pylist(), words, _pack(counts.one), _pack(two), _pack(bounds), _pack(arcs)]
+    spelt = w.text_bytes(counts.words)
+    words = zstandard.ZstdCompressor(level=1).compress(spelt.data.tobytes())
+    return [counts.languages.to_pylist(), words, _pack(np.diff(spelt.offsets)), _pack(counts.one), _pack(two), _pack(np.diff(bounds)), _pack(arcs)]
 
 
 def thaw(cells: dict) -> Counts:
     """The counts of a transducer."""
-    words = zstandard.ZstdDecompressor().decompress(cells["words"]).split(b"\n")
-    one, two, bounds, arcs = _unpack(cells["one"], 3), _unpack(cells["two"], 4), _unpack(cells["bounds"]), _unpack(cells["three"], 2)
-    sizes = np.diff(bounds)[two[:, 3]] if len(two) else np.empty(0, np.int64)
-    chosen = ranges(bounds[two[:, 3]], sizes) if len(two) else sizes
-    three = np.column_stack([np.repeat(np.arange(len(two)), sizes), arcs[chosen]])
-    return Counts(pa.array(cells["languages"], pa.string()), pa.array(words if len(one) else [], pa.binary()), one, two[:, :3], three)
+    spelt = zstandard.ZstdDecompressor().decompress(cells["words"])
+    offsets = np.concatenate([[0], np.cumsum(_unpack(cells["sizes"]))]).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(spelt)])
+    one, two, arcs = _unpack(cells["one"], 3), _unpack(cells["two"], 4), _unpack(cells["three"], 2)
+    bounds = np.concatenate([[0], np.cumsum(_unpack(cells["bounds"]))]).astype(np.int64)
+    target = two[:, 3]
+    sizes = np.diff(bounds)[target] if len(two) else np.empty(0, np.int64)
+    three = np.column_stack([np.repeat(np.arange(len(two)), sizes), arcs[ranges(bounds[target], sizes)]])
+    return Counts(pa.array(cells["languages"], pa.string()), words, one, two[:, :3], three)
 
 
 def _slots(counts: Counts, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Range of every row of ``one`` and ``two``: equal shares of the hashes of one- and two-word prefixes."""
-    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(counts.words).to_numpy())]).astype(np.int64)
-    data = np.frombuffer(b"".join(counts.words.to_pylist()), np.uint8)
-    word = w.words(w.Texts(data, offsets), _ALL).hash
+    word = w.words(w.text_bytes(counts.words), _ALL).hash
     language = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in counts.languages.to_pylist()], np.uint64)
     first = w.mix(language[counts.one[:, 0]] ^ word[counts.one[:, 1]])
     second = w.mix(first[counts.two[:, 0]] * np.uint64(0x9E3779B97F4A7C15) + word[counts.two[:, 1]])
@@ -210,13 +231,12 @@ def _divided(counts: Counts, n: int) -> Iterator[tuple[int, Counts]]:
     """The n-grams of each of ``n`` prefix ranges that has any; an n-gram lies where its first two words do."""
     first, second = _slots(counts, n)
     third = second[counts.three[:, 0]]
-    orders = [np.argsort(x, kind="stable") for x in (first, second, third)]
+    first[counts.one[:, 2] == 0] = n  # only ways to longer ones
+    orders = [np.argsort(x.astype(np.uint16) if n < 1 << 16 else x, kind="stable") for x in (first, second, third)]
     edges = [np.searchsorted(x[o], np.arange(n + 1)) for x, o in zip((first, second, third), orders, strict=True)]
-    weighty = counts.one[:, 2] > 0, counts.two[:, 2] > 0
     for slot in range(n):
         ones, twos, threes = (o[e[slot] : e[slot + 1]] for o, e in zip(orders, edges, strict=True))
-        ones, twos = ones[weighty[0][ones]], twos[weighty[1][twos]]
-        if len(ones) or len(twos) or len(threes):
+        if len(ones) or len(twos):
             yield slot, choose(counts, ones, twos, threes)
 
 
