@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from editpulse.llm import oracles
+from editpulse.llm import oracles, toxicity
 from editpulse.llm.bpe import encode_decode
 from editpulse.llm.collocations import mine_collocations
 from editpulse.llm.decontaminate import find_leaks
@@ -106,6 +106,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *COUNTS, "base_failed", "kept", "distance")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document from labels outside the held-out third."""
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"]).select("row.doc_id", "score")
+    toxic = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", toxic.alias("predicted"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of two or three words of each language."""
     return mine_collocations(table(spark, sf_dir, "documents"))
@@ -152,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_toxicity": op11_toxicity,
     "op12_collocations": op12_collocations,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
