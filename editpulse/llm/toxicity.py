@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -20,13 +21,13 @@ from editpulse.sources.staging import stage
 #: Bound on the labelled rows that lexicon and weights are fitted on; more are thinned by a hash of their id.
 TRAIN_ROWS = 20_000
 #: Bound on the terms of the lexicon.
-LEXICON = 1000
+LEXICON = 500
 THRESHOLD = 0.7
 HELD_OUT_PART, HELD_OUT_REST = 3, 1
 #: Tokens on each side of a term that its context is judged by.
 WINDOW = 8
 FOLDS = 5
-MIN_TEXTS, MIN_Z, MIN_WEIGHT, MAX_WEIGHT = 3, 2.5, 2.0, 8.0
+MIN_USES, MIN_Z, MIN_WEIGHT, MAX_WEIGHT = 3, 3.2, 2.0, 8.0
 _PRIOR = 0.5
 _KNOWN_STATES = 1 << 16
 _KNOWN_TOKENS = 1 << 18
@@ -112,11 +113,13 @@ class LexiconAutomaton:
     def _step(self, state: int, letter: str) -> int:
         fewest: dict[int, int] = {}
         for node, edits in self._states[state]:
-            moves = [(node, edits + 1)]  # the token has one letter more
-            moves += [(child, edits if other == letter else edits + 1) for other, child in self.children[node].items()]
-            for target, cost in moves:
-                if cost < fewest.get(target, 99):
-                    fewest[target] = cost
+            child = self.children[node].get(letter)
+            if child is not None and edits < fewest.get(child, 99):
+                fewest[child] = edits
+            if edits < self.reach[node]:
+                for target in (node, *self.children[node].values()):  # the token has a letter more, or another one
+                    if edits + 1 < fewest.get(target, 99):
+                        fewest[target] = edits + 1
         found = self._steps[state][letter] = self._state(fewest)
         return found
 
@@ -134,7 +137,7 @@ class LexiconAutomaton:
 
 
 class Counted(NamedTuple):
-    """Numbers of toxic and of other texts that hold a token, by fold."""
+    """Uses of a token in toxic and in other texts, by fold."""
 
     toxic: tuple[int, ...]
     other: tuple[int, ...]
@@ -145,24 +148,24 @@ class Counted(NamedTuple):
 
 
 class Lexicon(NamedTuple):
-    """Counts of terms and of misspellings seen in training, and of all training texts."""
+    """Uses of terms, of misspellings seen in training, and of all tokens."""
 
     terms: dict[str, Counted]
     misspelt: dict[str, Counted]
-    texts: Counted
+    uses: Counted
 
     def weight(self, term: str, fold: int | None = None) -> float:
-        """Log odds of a text with the term, by the texts outside ``fold``."""
-        (a, b), (m, n) = self.terms[term].without(fold), self.texts.without(fold)
+        """Log odds of the term in toxic texts against others, by the uses outside ``fold``."""
+        (a, b), (m, n) = self.terms[term].without(fold), self.uses.without(fold)
         odds = math.log((a + _PRIOR) / (m - a + _PRIOR)) - math.log((b + _PRIOR) / (n - b + _PRIOR))
         return min(max(odds, 0.0), MAX_WEIGHT)
 
     def misspelt_weight(self, token: str, term: str, fold: int | None = None) -> float:
-        """Half the term's log odds, moved by the texts in which this misspelling was seen."""
+        """Half the term's log odds, moved by the uses of this misspelling that were seen."""
         odds = math.exp(self.weight(term, fold) / 2)
         seen = self.misspelt.get(token)
         if seen is not None:
-            (a, b), (m, n) = seen.without(fold), self.texts.without(fold)
+            (a, b), (m, n) = seen.without(fold), self.uses.without(fold)
             odds = (a * max(n, 1) / max(m, 1) + _PRIOR * odds) / (b + _PRIOR)
         return max(math.log(odds), 0.0)
 
@@ -191,12 +194,16 @@ def quotation(tokens: list[str], place: int) -> float:
     return min(max(score, 0.0), 1.0)
 
 
-def open_words(text: str | None) -> set[str]:
-    """Bare tokens that the text uses outside quotations; words of the context lists are none."""
-    tokens = tokens_of(text)
+def open_uses(text: str | None, tokens: list[str], places: Iterable[int]) -> list[dict]:
+    """Bare tokens at these places that are not quoted, each with a hash of its two neighbours."""
     marked = any(mark in (text or "") for mark in _OPENING)
-    used = {t for k, t in enumerate(tokens) if quotation(tokens, k) < 1} if marked else set(tokens)
-    return {t.strip(_MARKS) for t in used} - _REPORTING - _ADDRESSING - {""}
+    found = set()
+    for k in places:
+        bare = tokens[k].strip(_MARKS)
+        if bare and bare not in _REPORTING and bare not in _ADDRESSING and not (marked and quotation(tokens, k) == 1):
+            around = f"{tokens[k - 1] if k else ''} {tokens[k + 1] if k + 1 < len(tokens) else ''}"
+            found.add((bare, xxhash.xxh3_64_intdigest(around.encode()) >> 1))
+    return [{"token": token, "around": around} for token, around in sorted(found)]
 
 
 class Scanner:
@@ -269,45 +276,59 @@ def _training_texts(documents: DataFrame, labels: DataFrame, train_rows: int) ->
     return stage(rows.dropDuplicates(["label", "text"]).select("label", fold, "text"), "toxic-train")
 
 
-def _by_fold() -> list[Column]:
-    return [F.count(F.when((F.col("label") == label) & (F.col("fold") == k), 1)).alias(f"n{label}_{k}") for label in (1, 0) for k in range(FOLDS)]
+def _uses(train: DataFrame, find) -> DataFrame:
+    """token and its numbers of uses by label and fold; ``find`` gives the open uses of a text.
+
+    Uses between the same two neighbours count once in each class, for the first fold: words of a passage
+    that many texts copy are no evidence of their own.
+    """
+    use_type = pa.list_(pa.struct([("token", pa.string()), ("around", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = find()
+        for part in w.slices(batches, "text"):
+            found = pa.array([search(text) for text in part.column("text").to_pylist()], use_type)
+            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("fold"), found], names=["label", "fold", "uses"])
+
+    each = train.mapInArrow(run, "label int, fold int, uses array<struct<token:string,around:long>>").select("label", "fold", F.inline("uses"))
+    once = each.groupBy("token", "label", "around").agg(F.min("fold").alias("fold"))
+    return once.groupBy("token").agg(*(F.count(F.when((F.col("label") == label) & (F.col("fold") == k), 1)).alias(f"n{label}_{k}") for label in (1, 0) for k in range(FOLDS)))
 
 
 def _counted(row) -> Counted:
-    return Counted(*(tuple(row[f"n{label}_{k}"] for k in range(FOLDS)) for label in (1, 0)))
+    return Counted(*(tuple(row[f"n{label}_{k}"] or 0 for k in range(FOLDS)) for label in (1, 0)))
 
 
 def learn_lexicon(train: DataFrame, size: int = LEXICON) -> Lexicon:
     """Terms whose open use tells toxic texts by its log odds, the surest first, and the misspellings seen of them."""
-    texts = train.agg(*_by_fold()).head()
-    texts = Counted((0,) * FOLDS, (0,) * FOLDS) if texts is None else _counted(texts)
 
-    def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in w.slices(batches, "text"):
-            found = [sorted(open_words(x)) for x in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("fold"), pa.array(found, pa.list_(pa.string()))], names=["label", "fold", "tokens"])
+    def all_uses():
+        def search(text: str) -> list[dict]:
+            tokens = tokens_of(text)
+            return open_uses(text, tokens, range(len(tokens)))
+
+        return search
 
-    each = train.mapInArrow(spoken, "label int, fold int, tokens array<string>").select("label", "fold", F.explode("tokens").alias("token"))
-    toxic, other = (sum(x) for x in texts)
+    counted = stage(_uses(train, all_uses), "toxic-uses")
+    names = [f"n{label}_{k}" for label in (1, 0) for k in range(FOLDS)]
+    uses = _counted(counted.agg(*(F.sum(n).alias(n) for n in names)).head())
+    toxic, other = (sum(x) for x in uses)
     a, b = (F.expr("+".join(f"n{label}_{k}" for k in range(FOLDS))) for label in (1, 0))
     odds = F.log((a + _PRIOR) / (toxic - a + _PRIOR)) - F.log((b + _PRIOR) / (other - b + _PRIOR))
     z = odds / F.sqrt(1 / (a + _PRIOR) + 1 / (b + _PRIOR))
-    counted = each.groupBy("token").agg(*_by_fold()).withColumn("odds", odds).withColumn("z", z)
-    sure = counted.where((a >= MIN_TEXTS) & (F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_WEIGHT))
-    terms = {r["token"]: _counted(r) for r in sure.orderBy(F.desc("z"), "token").limit(size).collect()}
-    lexicon = Lexicon(terms, {}, texts)
+    sure = counted.where((a >= MIN_USES) & (z >= MIN_Z) & (odds >= MIN_WEIGHT)).orderBy(z.desc(), "token").limit(size)
+    lexicon = Lexicon({r["token"]: _counted(r) for r in sure.collect()}, {}, uses)
 
-    def misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def misspelt_uses():
         scanner = Scanner(lexicon)
-        for part in w.slices(batches, "text"):
-            found = []
-            for text in part.column("text").to_pylist():
-                tokens = tokens_of(text)
-                found.append(sorted({bare for k, edits, _, bare in scanner.hits(tokens) if edits and quotation(tokens, k) < 1}))
-            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("fold"), pa.array(found, pa.list_(pa.string()))], names=["label", "fold", "tokens"])
 
-    near = train.mapInArrow(misspelt, "label int, fold int, tokens array<string>").select("label", "fold", F.explode("tokens").alias("token"))
-    return lexicon._replace(misspelt={r["token"]: _counted(r) for r in near.groupBy("token").agg(*_by_fold()).collect()})
+        def search(text: str) -> list[dict]:
+            tokens = tokens_of(text)
+            return open_uses(text, tokens, [place for place, edits, _, _ in scanner.hits(tokens) if edits])
+
+        return search
+
+    return lexicon._replace(misspelt={r["token"]: _counted(r) for r in _uses(train, misspelt_uses).collect()})
 
 
 def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
@@ -341,7 +362,8 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, carry: Iterable[str]
     Tokens are lower-cased, split at white space and stripped of marks. The lexicon is learned: the
     terms whose use outside quotations raises the odds of a toxic label most surely. Tokens within one edit of a
     term of four letters, or two of one of eight, are misspellings; they weigh half, less if texts
-    with other labels hold them. The window around each hit separates quotation from abuse, and a
+    with other labels use them. Uses between the same neighbours count once, so copied passages
+    make no terms. The window around each hit separates quotation from abuse, and a
     logistic regression weighs both.
 
     At most ``train_rows`` labelled rows are learned from and ``LEXICON`` terms kept; every whole
