@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from editpulse.operators import features as P
 from editpulse.operators import sampling as R
 from editpulse.operators.ranking import as_series
 from editpulse.plans import grouping as G
+from editpulse.plans import linear_search as L
 from editpulse.plans import retention as M
 from editpulse.sources.staging import stage
 
@@ -429,7 +431,6 @@ def silhouette_choice(spark, sf_dir):
 
 # ------------------------------------------------------------------ models (checked by rows and invariants)
 FOREST = {"numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 5, "featureSubsetStrategy": "log2", "class_weight": "balanced"}
-LINEAR = {"regParam": 1e-4, "elasticNetParam": 0.0, "class_weight": {False: 4.0, True: 1.0}}
 _RESULT = shape(
     str="Model", num="Train_Time_sec Predict_Time_sec Precision_False Recall_False Precision_True Recall_True"
 )
@@ -467,12 +468,60 @@ def permutation_importance(spark, sf_dir):
 
 @register(_RESULT)
 def linear_retention(spark, sf_dir):
-    return M.result_row(M.linear_pipeline(prediction_table(spark, sf_dir), [LINEAR]), "Linear Classifier")
+    return M.result_row(M.linear_pipeline(prediction_table(spark, sf_dir), L.linear_draws()), "Linear Classifier")
+
+
+@register(_RESULT)
+def linear_retention_lifetime(spark, sf_dir):
+    """The same model on the table that the published one was trained on."""
+    return M.result_row(M.linear_pipeline(categorization_table(spark, sf_dir), L.linear_draws()), "Linear Classifier")
+
+
+@register(
+    shape(int="draw steps", str="loss penalty", bool="early_stopping", num="alpha mix weight_false weight_true tol recall precision f1")
+)
+def linear_search(spark, sf_dir):
+    return M.linear_report(prediction_table(spark, sf_dir), L.linear_draws())
 
 
 @register(shape(str="feature", num="coefficient"))
 def linear_coefficients(spark, sf_dir):
-    return M.coefficients(M.linear_pipeline(prediction_table(spark, sf_dir), M.linear_draws(2)))
+    return M.coefficients(M.linear_pipeline(prediction_table(spark, sf_dir), L.linear_draws()))
+
+
+_FIXED = [((7 * place) % 5 - 2) / 10 for place in range(DIMENSIONS)] + [0.1]
+
+
+@register(
+    shape(str="loss", int="place", num="gradient"),
+    "SELECT loss, i - 1 AS place, sum(w * slope * y * x) AS gradient FROM sloped JOIN inputs USING (vec_id) GROUP BY loss, i",
+    f"""
+WITH inputs AS (
+  SELECT vec_id, unnest(list_concat(embedding::DOUBLE[], [1.0])) AS x, unnest(range(1, {DIMENSIONS + 2})) AS i, 2.0 * (label % 2) - 1 AS y FROM embeddings
+),
+decided AS (SELECT vec_id, y, sum(x * CASE i WHEN {DIMENSIONS + 1} THEN 0.1 ELSE ((7 * (i - 1)) % 5 - 2) / 10.0 END) AS f FROM inputs GROUP BY ALL),
+sloped AS (
+  SELECT vec_id, CASE WHEN y < 0 THEN 4.0 ELSE 1.0 END AS w, unnest(['log_loss', 'modified_huber']) AS loss,
+         unnest([-1 / (1 + exp(y * f)), CASE WHEN y * f < -1 THEN -4.0 WHEN y * f < 1 THEN -2 * (1 - y * f) ELSE 0.0 END]) AS slope
+  FROM decided
+) """,
+)
+def linear_gradient(spark, sf_dir):
+    """Gradient of both losses at fixed coefficients, from one scan for both."""
+    points = _points(spark, sf_dir).select(F.lit(0).alias("fold"), (F.col("cluster") % 2).cast("int").alias("positive"), F.lit(False).alias("inner"), F.col("point").alias("x"))
+    jobs = [L.Job(L.Draw(loss, 0.0, "l2", 0.0, (4.0, 1.0), False, 0.0), None) for loss in sorted(L.LOSSES)]
+    sums = L.scan(points, jobs, np.array([_FIXED, _FIXED]), 1)
+    rows = [(job.draw.loss, place, float(value)) for job, s in zip(jobs, sums, strict=True) for place, value in enumerate(s[: DIMENSIONS + 1])]
+    return spark.createDataFrame(rows, "loss string, place int, gradient double")
+
+
+@register(
+    shape(int="user_id fold", bool="left_early"),
+    "SELECT user_id, left_early, ntile(3) OVER (PARTITION BY left_early ORDER BY md5(user_id || '|43')) - 1 AS fold FROM pred_model",
+    with_parts("sparse", "pred_model"),
+)
+def stratified_folds(spark, sf_dir):
+    return R.stratified_folds(prediction_table(spark, sf_dir), "left_early", 3)
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,43 @@ def stratified_split(df: DataFrame, target: str, share: float = 0.2, key: str =
     return joined.withColumn("is_test", is_test).drop("split_class", "split_cut")
 
 
+def stratified_folds(df: DataFrame, target: str, folds: int, key: str = "user_id", seed: int = 42) -> DataFrame:
+    """Add ``fold``, 0 to ``folds - 1``: each class is cut into folds in hash order, whose sizes differ by at most one.
+
+    The hashes at all cuts of all classes are located together, and rows only compare their hash with
+    the cuts of their class.
+    """
+    rows = df.select(F.col(target).alias("class"), row_hash(key, seed + 1).alias("hash"))
+    whole, rest = F.floor(F.col("total") / folds), F.col("total") % folds
+    places = F.array(*(F.greatest(whole * k + F.least(rest, F.lit(k)), F.lit(0)) for k in range(1, folds)))
+    cuts = _cuts_at(rows, places).groupBy("class").agg(F.sort_array(F.collect_list("cut")).alias("fold_cuts"))
+    cuts = stage(cuts, "fold-cuts").withColumnRenamed("class", "fold_class")
+    joined = df.join(cuts, F.col(target).eqNullSafe(F.col("fold_class")), "left").withColumn("fold_hash", row_hash(key, seed + 1))
+    passed = F.expr("coalesce(size(filter(fold_cuts, c -> c < fold_hash)), 0)")
+    empty = F.coalesce(F.lit(folds - 1) - F.size("fold_cuts"), F.lit(0))  # cuts before the first row of a small class
+    return joined.withColumn("fold", (passed + F.greatest(empty, F.lit(0))).cast("int")).drop("fold_class", "fold_cuts", "fold_hash")
+
+
+def _cuts_at(rows: DataFrame, places: Column) -> DataFrame:
+    """``class``, ``number`` and ``cut``: the hash at each of the ``places`` (an array that may use ``total``) of every class.
+
+    Works as ``_cut_hashes``, with every place followed on its own.
+    """
+    prefix = F.substring("hash", 1, PREFIX_LENGTH)
+    counts = rows.groupBy("class", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.partitionBy("class").orderBy("prefix").rowsBetween(W.unboundedPreceding, W.currentRow))
+    counts = counts.withColumn("total", F.sum("n").over(W.partitionBy("class"))).withColumn("upto", upto)
+    found = counts.select("class", "prefix", "n", "upto", F.posexplode(places).alias("number", "place"))
+    at = (F.col("place") > 0) & (F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place"))
+    located = found.where(at).select(F.col("class").alias("of"), "number", "prefix", (F.col("place") - F.col("upto") + F.col("n")).alias("place"))
+    inside = rows.groupBy("class", "hash").agg(F.count(F.lit(1)).alias("n")).join(
+        located, F.col("class").eqNullSafe(F.col("of")) & (prefix == F.col("prefix"))
+    )
+    upto = F.sum("n").over(W.partitionBy("class", "number").orderBy("hash").rowsBetween(W.unboundedPreceding, W.currentRow))
+    reached = inside.withColumn("upto", upto).where(F.col("upto") >= F.col("place"))
+    return reached.groupBy("class", "number").agg(F.min("hash").alias("cut"))
+
+
 def sample_rows(df: DataFrame, n: int, key: str = "user_id", seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows without replacement (all rows if there are fewer)."""
     cut = _cut_hashes(df, key, seed, F.lit(n), F.lit(0)).first()

@@ -11,7 +11,7 @@ from editpulse.operators.daily import daily_inputs, daily_user_activity
 from editpulse.operators.enrich import assign_countries, country_boxes, enrich
 from editpulse.operators.summary import categorization_summary, prediction_summary
 from editpulse.sources.readers import read_daily_activity
-from editpulse.sources.staging import drop_staged, stage
+from editpulse.sources.staging import job_tables, stage
 from editpulse.sources.writers import write_daily_activity, write_user_summary
 
 
@@ -37,8 +37,8 @@ def daily_activity(
 
 def build_daily_activity(contributions: DataFrame, boundaries: DataFrame, path: str, **options) -> None:
     """Writes the daily table of the requested countries; other countries at ``path`` stay."""
-    write_daily_activity(daily_activity(contributions, boundaries, **options), path)
-    drop_staged(contributions.sparkSession)
+    with job_tables(contributions.sparkSession):
+        write_daily_activity(daily_activity(contributions, boundaries, **options), path)
 
 
 def build_user_summaries(
@@ -55,6 +55,6 @@ def build_user_summaries(
     hold for both.
     """
     daily = read_daily_activity(spark, daily_path)
-    write_user_summary(prediction_summary(daily, snapshot=snapshot, **shared), prediction_path)
-    write_user_summary(categorization_summary(daily, **shared), categorization_path)
-    drop_staged(spark)
+    with job_tables(spark):
+        write_user_summary(prediction_summary(daily, snapshot=snapshot, **shared), prediction_path)
+        write_user_summary(categorization_summary(daily, **shared), categorization_path)

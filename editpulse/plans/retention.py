@@ -5,21 +5,22 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editpulse.functions import rules
 from editpulse.operators import features as P
 from editpulse.operators.evaluate import classification_report, confusion_matrix
-from editpulse.operators.sampling import fold_number, row_hash, sample_rows, stratified_split, with_places
+from editpulse.operators.sampling import row_hash, sample_rows, stratified_folds, stratified_split, with_places
+from editpulse.plans import linear_search as L
 from editpulse.sources.staging import stage
 
 TARGET = "left_early"
@@ -39,37 +40,37 @@ FOREST_SPACE = {
 FOREST_DRAWS = 15
 TUNING_ROWS = 500_000
 IMPORTANCE_LIMIT = 0.01
-LINEAR_PENALTIES = {"l2": 0.0, "l1": 1.0, "elasticnet": None}
-LINEAR_ALPHA = (1e-6, 1e-3)
-LINEAR_MIX = (0.1, 1.0)
-LINEAR_WEIGHTS = [{False: 4.0, True: 1.0}, {False: 5.0, True: 1.0}, {False: 6.0, True: 1.0}]
-LINEAR_DRAWS = 50
 LINEAR_FEATURES = 35
-LINEAR_SENTINELS = ["burstiness"]  # missing with fewer than three editing days
 THRESHOLD = 0.25
 FOLDS = 3
+PARALLEL_FITS = 4
 LEARNING_SHARES = [0.1 + 0.9 * step / 7 for step in range(8)]
 
+#: Summary columns that may be missing, beside those with a published fill: too few days, or no edit that
+#: tells the values before and after.
+LINEAR_SENTINELS = (
+    "burstiness", "new_keys_ratio", "deleted_keys_ratio", "keys_per_changeset_ratio", "edits_per_changeset_ratio",
+    "changeset_duration_ratio", "changesets_per_edit_day", "avg_days_valid_per_edit", "activity_ratio_true", "frontload_ratio", "early_days_ratio",
+)
+
 
 # ------------------------------------------------------------------ tables
 def training_table(summary: DataFrame, missing: str) -> DataFrame:
     """Encoded, imputed summary with target, ``is_test`` and ``fold``, written once for all fits.
 
-    ``missing`` is ``"tree"`` (one out-of-range fill) or ``"linear"`` (sentinels, medians
-    and missing flags); a value still missing after these is an error, never a silent zero.
+    ``missing`` is ``"tree"`` (one out-of-range fill) or ``"linear"``: flagged sentinels and medians, and a
+    flagged sentinel as well for any other feature that some user lacks.
     """
     table = P.frequency_encode(summary)
     if missing == "linear":
         table = P.impute_medians(P.impute_sentinels(table, [*rules.SENTINEL_COLUMNS, *LINEAR_SENTINELS]))
-    table = stratified_split(table, TARGET).withColumn("fold", fold_number(FOLDS))
+        gaps = table.agg(*(F.count_if(F.col(name).isNull()).alias(name) for name in P.model_features(table))).first().asDict()
+        table = P.impute_sentinels(table, [name for name, n in gaps.items() if n])
+    table = stratified_folds(stratified_split(table, TARGET), TARGET, FOLDS)
     names = P.model_features(table)
     if missing == "tree":
         table = table.withColumns({name: F.coalesce(F.col(name).cast("double"), F.lit(TREE_FILL)) for name in names})
-    table = stage(table.withColumns({name: F.col(name).cast("double") for name in names}), f"training-{missing}")
-    gaps = table.agg(*(F.count_if(F.col(name).isNull()).alias(name) for name in names)).first().asDict()
-    if any(gaps.values()):
-        raise ValueError(f"no fill for missing values of {sorted(name for name, n in gaps.items() if n)}")
-    return table
+    return stage(table.withColumns({name: F.col(name).cast("double") for name in names}), f"training-{missing}")
 
 
 def with_vector(table: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -118,76 +119,48 @@ def forest_draws(count: int, space: dict = FOREST_SPACE, seed: int = SEED) -> li
     return random.Random(seed).sample(grid, min(count, len(grid)))
 
 
-def linear_draws(count: int, seed: int = SEED) -> list[dict]:
-    draw = random.Random(seed)
-    low, high = LINEAR_ALPHA
-    settings = []
-    for _ in range(count):
-        mix = LINEAR_PENALTIES[draw.choice(list(LINEAR_PENALTIES))]
-        settings.append(
-            {
-                "regParam": low * (high / low) ** draw.random(),
-                "elasticNetParam": draw.uniform(*LINEAR_MIX) if mix is None else mix,
-                "class_weight": draw.choice(LINEAR_WEIGHTS),
-            }
-        )
-    return settings
-
-
 def _weighted(rows: DataFrame, weights) -> DataFrame:
     return P.class_weights(rows, TARGET, None if weights == "balanced" else weights)
 
 
 def tune(
-    make: Callable[[dict], Estimator], rows: DataFrame, draws: Sequence[dict], evaluator: Evaluator, parallelism: int = 4
+    make: Callable[[dict], Estimator], rows: DataFrame, draws: Sequence[dict], evaluator: Evaluator, parallelism: int = PARALLEL_FITS
 ) -> tuple[dict, list[tuple[dict, float]]]:
     """Cross-validated search: best setting, and every setting with its mean score.
 
-    Settings with the same class weights share one ``CrossValidator``, as the weights
-    are a column of the training rows.
+    Class weights are those of the rows that a fit sees, so balanced ones are computed for each fold.
     """
-    scored: list[tuple[dict, float]] = []
-    for weights in {repr(d["class_weight"]): d["class_weight"] for d in draws}.values():
-        group = [d for d in draws if d["class_weight"] == weights]
-        estimator = make({})
-        maps = [
-            {estimator.getParam(name): value for name, value in setting.items() if name != "class_weight"}
-            for setting in group
-        ]
-        search = CrossValidator(
-            estimator=estimator,
-            estimatorParamMaps=maps,
-            evaluator=evaluator,
-            numFolds=FOLDS,
-            foldCol="fold",
-            parallelism=parallelism,
-        )
-        fitted: CrossValidatorModel = search.fit(_weighted(rows, weights))
-        scored += list(zip(group, fitted.avgMetrics))
-    best = max(scored, key=lambda entry: entry[1])[0]
-    return best, scored
 
+    def measured(job: tuple[dict, int]) -> float:
+        setting, fold = job
+        model = make(setting).fit(_weighted(rows.where(F.col("fold") != fold), setting["class_weight"]))
+        return evaluator.evaluate(model.transform(rows.where(F.col("fold") == fold)))
 
-def make_forest(setting: dict) -> RandomForestClassifier:
-    params = {name: value for name, value in setting.items() if name != "class_weight"}
-    return RandomForestClassifier(seed=SEED, weightCol="class_weight", bootstrap=True, **params)
+    jobs = [(setting, fold) for setting in draws for fold in range(FOLDS)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        scores = list(pool.map(measured, jobs))
+    scored = [(setting, sum(scores[FOLDS * k : FOLDS * (k + 1)]) / FOLDS) for k, setting in enumerate(draws)]
+    return max(scored, key=lambda entry: entry[1])[0], scored
 
 
-def make_linear(setting: dict) -> LogisticRegression:
+def make_forest(setting: dict) -> RandomForestClassifier:
     params = {name: value for name, value in setting.items() if name != "class_weight"}
-    return LogisticRegression(weightCol="class_weight", standardization=False, maxIter=100, tol=1e-4, **params)
+    return RandomForestClassifier(seed=SEED, weightCol="class_weight", bootstrap=True, **params)
 
 
 # ------------------------------------------------------------------ fitted models
 @dataclass
 class Fitted:
-    model: Model
+    model: Model | L.LinearModel
     features: list[str]
     table: DataFrame
     seconds: float
     threshold: float = 0.5
 
     def test_predictions(self) -> DataFrame:
+        if isinstance(self.model, L.LinearModel):
+            scored = test_rows(self.table).select("user_id", TARGET, self.model.probability().alias("probability_true"))
+            return scored.withColumn("predicted", F.col("probability_true") >= self.threshold)
         return predictions(self.model, with_vector(test_rows(self.table), self.features), self.threshold)
 
 
@@ -224,8 +197,8 @@ def forest_pipeline(summary: DataFrame, draws: Sequence[dict]) -> Fitted:
     return fit_forest(table, setting, selected)
 
 
-def linear_pipeline(summary: DataFrame, draws: Sequence[dict], k: int = LINEAR_FEATURES) -> Fitted:
-    """Select by mutual information, scale, tune on F1 of those who stay, decide at the low threshold.
+def linear_rows(summary: DataFrame, k: int = LINEAR_FEATURES) -> tuple[DataFrame, list[str], DataFrame]:
+    """Table with the ``k`` features that tell most about the target, scaled, their names, and the training rows for scans.
 
     The scaler is fitted on the training rows only and applied to all rows.
     """
@@ -233,16 +206,29 @@ def linear_pipeline(summary: DataFrame, draws: Sequence[dict], k: int = LINEAR_F
     scores = P.mutual_information(train_rows(table), P.model_features(table), TARGET)
     names = [row["feature"] for row in P.best_features(scores, k).collect()]
     scaled = stage(P.zscore(table, names, fit_on=train_rows(table)), "scaled")
-    rows = with_vector(train_rows(scaled), names)
+    return scaled, names, stage(L.design(train_rows(scaled), names, TARGET), "design")
+
+
+def linear_pipeline(summary: DataFrame, draws: Sequence[L.Draw], k: int = LINEAR_FEATURES) -> Fitted:
+    """Select by mutual information, scale, tune on F1 of those who stay, decide at the low threshold."""
+    scaled, names, rows = linear_rows(summary, k)
     start = time.perf_counter()
-    setting = draws[0] if len(draws) == 1 else tune(make_linear, rows, draws, ReportScore("false"))[0]
-    model = make_linear(setting).fit(_weighted(rows, setting["class_weight"]))
+    best = draws[0]
+    if len(draws) > 1:
+        best = draws[max(L.search(rows, draws, len(names)), key=lambda s: (s["f1"], -s["draw"]))["draw"]]
+    model = L.fit_draw(rows, best, names)
     return Fitted(model, names, scaled, time.perf_counter() - start, THRESHOLD)
 
 
+def linear_report(summary: DataFrame, draws: Sequence[L.Draw], k: int = LINEAR_FEATURES) -> DataFrame:
+    """Recall, precision and F1 of those who stay for every draw, the best first."""
+    _, names, rows = linear_rows(summary, k)
+    return L.search_report(rows, L.search(rows, draws, len(names)))
+
+
 def coefficients(fitted: Fitted, top: int = 20) -> DataFrame:
     """Largest coefficients by absolute value."""
-    pairs = [(n, float(c)) for n, c in zip(fitted.features, fitted.model.coefficients.toArray())]
+    pairs = [(n, float(c)) for n, c in zip(fitted.features, fitted.model.coefficients)]
     frame = fitted.table.sparkSession.createDataFrame(pairs, "feature string, coefficient double")
     return frame.orderBy(F.desc(F.abs("coefficient")), "feature").limit(top)
 

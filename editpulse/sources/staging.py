@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
-_staged: list[str] = []
+_staged: list[str] = []  # tables of the session that no job owns
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -32,12 +34,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     The result has no lineage to recompute when an executor is lost, and readers get
     column pruning and filter pushdown on it; a small one is broadcast by its file size.
-    ``drop_staged`` deletes all of them.
+    Inside ``job_tables`` the table goes with the job, else ``drop_staged`` deletes it.
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/editpulse-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    _staged.append(path)
+    owned = _owned.get()
+    (_staged if owned is None else owned).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,9 +58,28 @@ def named_table(df: DataFrame, name: str) -> Iterator[DataFrame]:
         staged.sparkSession.catalog.dropTempView(name)
 
 
+@contextmanager
+def job_tables(spark: SparkSession) -> Iterator[None]:
+    """Own the tables staged inside the block by this thread and delete them, and no others, at its end.
+
+    A job writes its results inside the block; frames that still read its tables end with it.
+    """
+    owned: list[str] = []
+    token = _owned.set(owned)
+    try:
+        yield
+    finally:
+        _owned.reset(token)
+        _delete(spark, owned)
+
+
 def drop_staged(spark: SparkSession) -> None:
-    """Delete the tables that this application has staged; call it when a job's results are written."""
+    """Delete the tables that this session has staged outside of jobs; call it when their results are written."""
+    _delete(spark, _staged)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark._jvm
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

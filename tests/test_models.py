@@ -4,8 +4,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from editpulse.operators import evaluate as Q
-from editpulse.operators.sampling import with_places
+from editpulse.operators.sampling import stratified_folds, with_places
 from editpulse.plans import grouping as G
+from editpulse.plans import linear_search as L
 from editpulse.plans import retention as M
 
 SMALL_FOREST = {"numTrees": 5, "maxDepth": 4, "minInstancesPerNode": 5, "featureSubsetStrategy": "0.3", "class_weight": "balanced"}
@@ -53,18 +54,36 @@ def test_search_and_learning_curve(spark, summary):
 
 
 def test_linear_pipeline(spark, summary):
-    draws = [{"regParam": reg, "elasticNetParam": 0.0, "class_weight": {False: 4.0, True: 1.0}} for reg in (1e-3, 1.0)]
+    draws = [L.Draw("log_loss", alpha, "l2", 0.0, (4.0, 1.0), False, 1e-4) for alpha in (1e-3, 10.0)]
     fitted = M.linear_pipeline(summary, draws, k=3)
-    assert fitted.threshold == 0.25 and len(fitted.features) == 3
+    assert fitted.threshold == 0.25 and len(fitted.features) == 3 and fitted.model.draw == draws[0]
     assert M.coefficients(fitted, 1).first()["feature"] == "signal"
     row = M.result_row(fitted, "Linear").first()
     assert row["Recall_True"] > 0.9
+    report = M.linear_report(summary, draws, k=3).collect()
+    assert [r["draw"] for r in report] == [0, 1] and report[0]["f1"] > report[1]["f1"]
+
+
+def test_every_gap_is_filled_and_flagged(summary):
+    odd = summary.withColumn("deleted_keys_ratio", F.when(F.col("user_id") % 3 > 0, F.lit(0.5))).withColumn("unlisted", F.when(F.col("user_id") % 7 > 0, F.lit(1.5)))
+    table = M.training_table(odd, "linear")
+    for name in ("deleted_keys_ratio", "unlisted", "days_to_50"):
+        assert {r[0] for r in table.where(F.col(f"{name}_missing") == 1).select(name).distinct().collect()} == {9999.0}
+    sizes = table.groupBy("left_early", "fold").count().groupBy("left_early").agg((F.max("count") - F.min("count")).alias("d"), F.count("*").alias("n")).collect()
+    assert all(r["d"] <= 1 and r["n"] == 3 for r in sizes)
 
 
 def test_draws_repeat():
     assert M.forest_draws(15) == M.forest_draws(15) and len({repr(d) for d in M.forest_draws(15)}) == 15
-    draws = M.linear_draws(50)
-    assert draws == M.linear_draws(50) and all(1e-6 <= d["regParam"] <= 1e-3 for d in draws)
+    draws = L.linear_draws()
+    assert len(draws) == 50 and draws == L.linear_draws() and all(1e-6 <= d.alpha <= 1e-3 for d in draws)
+    assert {d.loss for d in draws} == set(L.LOSSES) and {d.penalty for d in draws} == set(L.PENALTIES)
+
+
+def test_small_classes_have_folds(spark):
+    df = spark.createDataFrame([(k, "a" if k else "b") for k in range(3)] + [(9, None)], "user_id bigint, t string")
+    folds = {r["user_id"]: r["fold"] for r in stratified_folds(df, "t", 3).collect()}
+    assert len(folds) == 4 and all(0 <= f < 3 for f in folds.values()) and folds[1] != folds[2]
 
 
 @pytest.fixture(scope="module")

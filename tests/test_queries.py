@@ -36,3 +36,13 @@ def test_entry(spark):
 def test_every_statement_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 70
+
+
+def test_entry_without_a_library_of_the_corpus_operators():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['sentencepiece'] = None; import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"
+    root = entry.__file__.rsplit("/", 1)[0]
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= 84 and out[1] == "False"

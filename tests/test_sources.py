@@ -64,6 +64,18 @@ def test_staged_tables_are_dropped(spark):
     assert not Path(file.removeprefix("file://")).exists()
 
 
+def test_jobs_delete_their_own_tables_only(spark):
+    outside = staging.stage(spark.range(3), "outside")
+    with staging.job_tables(spark):
+        mine = staging.stage(spark.range(4), "mine")
+        with staging.job_tables(spark):
+            inner = staging.stage(spark.range(5), "inner")
+            assert inner.count() == 5
+        assert mine.count() == 4 and not Path(inner.inputFiles()[0].removeprefix("file://")).exists()
+        files = mine.inputFiles()
+    assert outside.count() == 3 and not any(Path(f.removeprefix("file://")).exists() for f in files)
+
+
 def test_later_countries_leave_earlier_ones(spark, contribution, tmp_path):
     rows = contribution({"countries": ["AAA", "BBB"]}, {"user": 2, "countries": ["BBB"]})
     for code in ("AAA", "BBB", "BBB"):
