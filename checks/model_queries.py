@@ -16,6 +16,7 @@ from editpulse.operators import evaluate as Q
 from editpulse.operators import features as P
 from editpulse.operators import sampling as R
 from editpulse.operators.ranking import as_series
+from editpulse.plans import clustering as C
 from editpulse.plans import grouping as G
 from editpulse.plans import linear_search as L
 from editpulse.plans import retention as M
@@ -547,6 +548,83 @@ def pca_total_variance(spark, sf_dir):
     return spread.select(F.lit(len(names)).alias("n_features"), sum((F.col(f"v{k}") for k in range(len(names))), F.lit(0.0)).alias("total"))
 
 
+@register(
+    shape(str="feature other", num="covariance"),
+    "SELECT a.feature, b.feature AS other, covar_samp(a.scaled, b.scaled) AS covariance FROM scaled a JOIN scaled b USING (user_id) "
+    "WHERE a.feature <= b.feature GROUP BY ALL",
+    with_parts("medium", "profile"),
+)
+def pca_covariance(spark, sf_dir):
+    """Covariance of the scaled features put together again from all fitted components and their variances."""
+    scaled = _scaled(spark, sf_dir)
+    model, names, _ = G.fit_components(scaled)
+    total = sum(scaled.agg(*(F.var_samp(n) for n in names)).first())
+    weights = model.pc.toArray()
+    names = [n.removesuffix("_scaled") for n in names]
+    again = weights * (model.explainedVariance.toArray() * total) @ weights.T
+    rows = [(a, b, float(again[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if a <= b]
+    return spark.createDataFrame(rows, "feature string, other string, covariance double")
+
+
+_FIRST_CENTERS = "(SELECT vec_id AS c, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < {k})"
+
+
+def _first_points(spark: SparkSession, sf_dir: str, k: int) -> np.ndarray:
+    rows = _points(spark, sf_dir).where(F.col("key") < k).orderBy("key").collect()  # k rows
+    return np.array([r["point"] for r in rows])
+
+
+@register(
+    shape(int="k cluster n place", num="center inertia"),
+    "SELECT k, cluster, n, place, center, inertia FROM moved JOIN (SELECT k, sum(d) AS inertia FROM nearest GROUP BY k) USING (k)",
+    f"""
+WITH tried AS (SELECT unnest([2, 5]) AS k),
+measured AS (
+  SELECT k, e.vec_id, c, list_distance(e.embedding::DOUBLE[], q) ** 2 AS d
+  FROM embeddings e, {_FIRST_CENTERS.format(k=5)}, tried WHERE c < k
+),
+nearest AS (SELECT * FROM measured QUALIFY row_number() OVER (PARTITION BY k, vec_id ORDER BY d, c) = 1),
+flat AS (SELECT k, c, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS place FROM nearest JOIN embeddings USING (vec_id)),
+moved AS (SELECT k, c AS cluster, count(*) AS n, place, avg(x) AS center FROM flat GROUP BY ALL) """,
+)
+def kmeans_step(spark, sf_dir):
+    """One step of two models, begun from the first points: group sizes, moved centres, and inertia before the move."""
+    points = _points(spark, sf_dir).select("key", "point")
+    begun = {k: _first_points(spark, sf_dir, k) for k in (2, 5)}
+    stepped = C.lloyd_step(C.points_of(points, "point", "key"), list(begun.values()))
+    rows = [
+        (k, c, int(n[c]), place, float(total[c, place] / n[c]), inertia)
+        for k, (n, total, inertia) in zip(begun, stepped, strict=True)
+        for c in range(k)
+        for place in range(DIMENSIONS)
+    ]
+    return spark.createDataFrame(rows, "k int, cluster int, n long, place int, center double, inertia double")
+
+
+@register(
+    shape(int="component", num="weight mean_a mean_b var_a var_b cov log_likelihood"),
+    "SELECT c AS component, sum(r) / (SELECT count(*) FROM dense) AS weight, sum(r * a) / sum(r) AS mean_a, sum(r * b) / sum(r) AS mean_b, "
+    "sum(r * a * a) / sum(r) - (sum(r * a) / sum(r)) ** 2 + 1e-6 AS var_a, sum(r * b * b) / sum(r) - (sum(r * b) / sum(r)) ** 2 + 1e-6 AS var_b, "
+    "sum(r * a * b) / sum(r) - sum(r * a) * sum(r * b) / sum(r) ** 2 AS cov, (SELECT sum(ln(p0 + p1)) FROM dense) AS log_likelihood FROM shared GROUP BY c",
+    """
+WITH points AS (SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
+dense AS (
+  SELECT a, b, 0.25 * exp(-0.5 * ((a - 0.1) ** 2 + b ** 2)) / (2 * pi()) AS p0, 0.75 * exp(-0.5 * ((a + 0.1) ** 2 / 4 + b ** 2)) / (4 * pi()) AS p1 FROM points
+),
+shared AS (SELECT a, b, unnest([0, 1]) AS c, unnest([p0 / (p0 + p1), p1 / (p0 + p1)]) AS r FROM dense) """,
+)
+def mixture_step(spark, sf_dir):
+    """One step of expectation maximisation with two components on two of the dimensions."""
+    points = _points(spark, sf_dir).select("key", F.slice("point", 1, 2).alias("point"))
+    begun = C.MixtureFit(np.array([0.25, 0.75]), np.array([[0.1, 0.0], [-0.1, 0.0]]), np.array([np.eye(2), np.diag([4.0, 1.0])]), 0.0, 0)
+    (fit,) = C.mixture_step(C.points_of(points, "point", "key"), [begun])
+    rows = [
+        (c, float(w), *(float(v) for v in m), float(s[0, 0]), float(s[1, 1]), float(s[0, 1]), fit.log_likelihood)
+        for c, (w, m, s) in enumerate(zip(fit.weights, fit.means, fit.covariances, strict=True))
+    ]
+    return spark.createDataFrame(rows, "component int, weight double, mean_a double, mean_b double, var_a double, var_b double, cov double, log_likelihood double")
+
+
 @register(
     shape(str="label", int="support"),
     "SELECT label::VARCHAR AS label, floor(0.2 * count(*) + 0.5) AS support FROM (SELECT left_early AS label FROM pred_model) GROUP BY label",
@@ -571,18 +649,18 @@ def pca_loadings(spark, sf_dir):
 
 @register(shape(int="k", num="silhouette squared_silhouette davies_bouldin calinski_harabasz inertia"))
 def kmeans_sweep(spark, sf_dir):
-    return G.kmeans_sweep(G.components(_scaled(spark, sf_dir)), G.SILHOUETTE_SAMPLE, restarts=2)
+    return G.kmeans_sweep(G.components(_scaled(spark, sf_dir)), G.SILHOUETTE_SAMPLE)
 
 
 @register(shape(int="user_id cluster_kmeans"))
 def kmeans_assign(spark, sf_dir):
     rows = G.components(_scaled(spark, sf_dir))
-    return G.assign(G.fit_kmeans(rows, 5, restarts=2), rows, "cluster_kmeans")
+    return G.assign(G.fit_kmeans(rows, 5), rows, "cluster_kmeans")
 
 
 @register(shape(int="n_components", num="bic aic"))
 def gmm_sweep(spark, sf_dir):
-    return G.mixture_sweep(G.components(_scaled(spark, sf_dir)), (2, 3))
+    return G.mixture_sweep(G.components(_scaled(spark, sf_dir)))
 
 
 @register(shape(int="user_id cluster_gmm"))
@@ -595,5 +673,5 @@ def gmm_assign(spark, sf_dir):
 def kmeans_profile(spark, sf_dir):
     scaled = _scaled(spark, sf_dir)
     rows = G.components(scaled)
-    labelled = G.labelled_users(scaled, G.assign(G.fit_kmeans(rows, 5, restarts=2), rows, "cluster_kmeans"))
+    labelled = G.labelled_users(scaled, G.assign(G.fit_kmeans(rows, 5), rows, "cluster_kmeans"))
     return Q.cluster_profile(labelled, [c for c in scaled.columns if c != "user_id"], "cluster_kmeans")

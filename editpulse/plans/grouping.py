@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from editpulse.operators import evaluate as Q
 from editpulse.operators.features import grouping_input, scale_features
+from editpulse.plans import clustering as C
 from editpulse.sources.staging import stage
 
 SEED = 42
@@ -87,10 +87,13 @@ def as_vectors(df: DataFrame, array: str) -> DataFrame:
     return df.select(*others, array_to_vector(F.col(array)).alias("features"))
 
 
-def fit_kmeans(rows: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED) -> KMeansModel:
-    """Best of several restarts by inertia; restarts run side by side and the earliest wins ties."""
-    fits = side_by_side(lambda attempt: KMeans(k=k, seed=seed + attempt, featuresCol="features").fit(rows), range(restarts))
-    return min(fits, key=lambda model: model.summary.trainingCost)
+def _points(rows: DataFrame, key: str = "user_id") -> DataFrame:
+    return rows.select(key, vector_to_array("features").alias("point"))
+
+
+def fit_kmeans(rows: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED) -> C.KMeansFit:
+    """Best of several restarts by inertia; the earliest wins ties."""
+    return C.fit_kmeans(C.points_of(_points(rows), "point"), [k], restarts, seed)[k]
 
 
 def side_by_side(fit: Callable, settings: Sequence) -> list:
@@ -99,8 +102,8 @@ def side_by_side(fit: Callable, settings: Sequence) -> list:
         return list(pool.map(fit, settings))
 
 
-def assign(model: KMeansModel | GaussianMixtureModel, rows: DataFrame, column: str, key: str = "user_id") -> DataFrame:
-    return model.transform(rows).select(key, F.col("prediction").alias(column))
+def assign(model: C.KMeansFit | C.MixtureFit, rows: DataFrame, column: str, key: str = "user_id") -> DataFrame:
+    return C.label_rows(_points(rows, key), model, column, "point", key)
 
 
 def kmeans_sweep(
@@ -111,21 +114,20 @@ def kmeans_sweep(
     ``silhouette`` compares all pairs of a sample of ``sample_size`` rows (all rows for None);
     ``squared_silhouette`` and the other measures are linear and read every row.
     """
-    dimensions = rows.select(F.size(vector_to_array("features"))).first()[0]
+    points = _points(rows, key)
+    dimensions = points.select(F.size("point")).first()[0]
+    fits = C.fit_kmeans(C.points_of(points, "point", key), list(ks), restarts, SEED)
 
     def measured(k: int) -> tuple:
-        model = fit_kmeans(rows, k, restarts)
-        labelled = model.transform(rows).select(
-            F.col(key).alias("key"), F.col("prediction").alias("cluster"), vector_to_array("features").alias("point")
-        )
-        labelled = stage(labelled, "labelled")
+        labels = C.label_rows(points, fits[k], "cluster", "point", key)
+        labelled = stage(labels.join(points, key).select(F.col(key).alias("key"), "cluster", "point"), "labelled")
         return (
             k,
             Q.silhouette(labelled, sample_size).first()[0],
             Q.squared_silhouette(labelled).first()[0],
             Q.davies_bouldin(labelled, dimensions).first()[0],
             Q.calinski_harabasz(labelled, dimensions).first()[0],
-            float(model.summary.trainingCost),
+            fits[k].inertia,
         )
 
     results = side_by_side(measured, ks)
@@ -134,16 +136,15 @@ def kmeans_sweep(
     )
 
 
-def fit_mixture(rows: DataFrame, n: int, seed: int = SEED) -> GaussianMixtureModel:
-    return GaussianMixture(k=n, seed=seed, featuresCol="features").fit(rows)
+def fit_mixture(rows: DataFrame, n: int, seed: int = SEED) -> C.MixtureFit:
+    return C.fit_mixtures(C.points_of(_points(rows), "point"), [n], seed)[n]
 
 
 def mixture_sweep(rows: DataFrame, counts: Sequence[int] = MIXTURE_RANGE) -> DataFrame:
-    """BIC and AIC per number of mixture components."""
+    """BIC and AIC per number of mixture components; all models share each scan."""
     total = rows.count()
-    dimensions = rows.select(F.size(vector_to_array("features"))).first()[0]
-    fits = side_by_side(lambda n: fit_mixture(rows, n).summary.logLikelihood, counts)
-    results = [(n, *Q.information_criteria(likelihood, n, dimensions, total)) for n, likelihood in zip(counts, fits)]
+    fits = C.fit_mixtures(C.points_of(_points(rows), "point"), list(counts), SEED)
+    results = [(n, *Q.information_criteria(fit.log_likelihood, n, fit.means.shape[1], total)) for n, fit in fits.items()]
     return rows.sparkSession.createDataFrame(results, "n_components int, bic double, aic double")
 
 
