@@ -15,6 +15,8 @@ from editpulse.llm.frames import row_of
 
 ORDER = 3
 BACKOFF = 0.4
+#: Text of one block, and text whose n-grams fill one bucket of the count tables.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -79,7 +81,9 @@ def token_scores(found: w.Words, n_texts: int, order: int, totals: list[tuple[np
     return np.log(score)
 
 
-def score_texts(documents: DataFrame, carry: Iterable[str] | None = None, order: int = ORDER) -> DataFrame:
+def score_texts(
+    documents: DataFrame, carry: Iterable[str] | None = None, order: int = ORDER, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """Per row of ``documents`` (text): ``row`` (the columns ``carry``, all by default), ``n_words``
     and ``log_score``, the summed natural logarithms of its words' stupid-backoff scores.
 
@@ -92,17 +96,21 @@ def score_texts(documents: DataFrame, carry: Iterable[str] | None = None, order:
     the distinct hashes with their counts to the buckets that partition the count tables by hash; a
     bucket joins them with the summed counts and answers each block in the same order, and blocks
     sum scores per text. Equal n-grams cross the network once a block, packed in sorted runs, so a
-    frequent n-gram is no hot key; blocks and buckets are as many as shuffle partitions, and memory
-    follows the size of these.
+    frequent n-gram is no hot key. Blocks and buckets take in a fixed amount of text each, so their
+    numbers follow the input and memory does not; a longer text is a block of its own size. Rows
+    without doc_id are dealt by their place in the input, so copies without one do not meet in one block.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. Null and empty texts have no
     words and score 0. Repeated rows count repeatedly. Empty tables give empty results. Other
     columns are not read unless carried.
     """
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = documents.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    n_blocks, n_buckets = max(1, -(-size // block_bytes)), max(1, -(-size // bucket_bytes))
     kind = documents.select(row_of(documents, carry)).schema["row"].dataType.simpleString()
-    key = F.xxhash64("doc_id", "text") if "doc_id" in documents.columns else F.xxhash64("text")
-    blocks = documents.select(F.pmod(key, F.lit(parts)).cast("int").alias("block"), row_of(documents, carry), "text")
+    key = F.xxhash64(F.monotonically_increasing_id())
+    if "doc_id" in documents.columns:
+        key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(key)
+    blocks = documents.select(F.pmod(key, F.lit(n_blocks)).cast("int").alias("block"), row_of(documents, carry), "text")
 
     def ask(table: pa.Table) -> pa.Table:
         found, _ = _spoken(table.column("text"))
@@ -110,7 +118,7 @@ def score_texts(documents: DataFrame, carry: Iterable[str] | None = None, order:
         out: dict[str, list] = {c: [] for c in ("block", "bucket", "n", "n_words", "keys", "counts")}
         for n in range(1, order + 1):
             keys, counts = np.unique(_grams(found, n)[0], return_counts=True)
-            bounds = _bucket_bounds(keys, parts).tolist()
+            bounds = _bucket_bounds(keys, n_buckets).tolist()
             for bucket, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if a < b or n == 1:  # every bucket learns the number of words of every block
                     cells = (block, bucket, n, len(found.hash) if n == 1 else 0, pack_sorted(keys[a:b]), _pack(counts[a:b].astype(np.uint32)))

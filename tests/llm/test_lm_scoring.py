@@ -35,14 +35,14 @@ def brute(rows, order):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_equal_counting(spark, order):
+@pytest.mark.parametrize(("order", "ways"), [(1, {}), (2, {"block_bytes": 900, "bucket_bytes": 10_000}), (3, {"block_bytes": 300, "bucket_bytes": 700})])
+def test_scores_equal_counting(spark, order, ways):
     random.seed(order)
     vocabulary = ["a", "B", "b", "c", "é", "d#", "e"] + [f"w{i}" for i in range(30)]
     rows = [(i, " ".join(random.choice(vocabulary[: random.choice([4, 37])]) for _ in range(random.randint(0, 60)))) for i in range(80)]
-    rows += [(90, None), (91, ""), (92, "onlyhere"), (None, "a b c"), rows[0], (93, "a b a b a b " * 400)]
+    rows += [(90, None), (91, ""), (92, "onlyhere"), (None, "a b c"), (None, "a b c"), rows[0], (93, "a b a b a b " * 400)]
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, block int, n int").repartition(3)
-    got = sorted(((r.row.doc_id, r.n_words, r.log_score) for r in lm.score_texts(frame, order=order).collect()), key=str)
+    got = sorted(((r.row.doc_id, r.n_words, r.log_score) for r in lm.score_texts(frame, order=order, **ways).collect()), key=str)
     expected = brute(rows, order)
     assert [x[:2] for x in sorted(got, key=str)] == [x[:2] for x in expected]
     key = lambda x: (str(x[0]), x[1], round(x[2], 6))
