@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from editpulse.llm.frames import row_of
 ORDER = 3
 BACKOFF = 0.4
 #: Text of one block, and text whose n-grams fill one bucket of the count tables.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -55,28 +55,31 @@ def _grams(found: w.Words, order: int) -> tuple[np.ndarray, np.ndarray]:
     return w.grams(found.hash, order)[start], start
 
 
-def token_scores(found: w.Words, n_texts: int, order: int, totals: list[tuple[np.ndarray, np.ndarray]], corpus_words: int) -> np.ndarray:
-    """Natural logarithm of every word's score, given sorted n-gram hashes and corpus counts per order.
+def token_scores(found: w.Words, n_texts: int, order: int, counts_of: Callable[[int], np.ndarray], corpus_words: int) -> np.ndarray:
+    """Natural logarithm of every word's score; ``counts_of`` gives the corpus counts of all distinct n-grams of an order, by hash.
 
-    A text's own n-grams are taken out of all counts, so it is scored by the other texts.
+    A text's own n-grams are taken out of all counts, so it is scored by the other texts. One order is held at a time.
     """
     size = len(found.hash)
     lengths = np.bincount(found.text, minlength=n_texts) if size else np.zeros(n_texts, np.int64)
     place = np.arange(size) - np.searchsorted(found.text, found.text)
-    others = np.maximum(corpus_words - lengths[found.text], 1).astype(float)
-    highest = np.minimum(order, place + 1)
-    score = BACKOFF**highest / others
-    context = others
+    highest = np.minimum(order, place + 1).astype(np.int8)
+    del place
+    context = np.maximum(corpus_words - lengths[found.text], 1).astype(float)
+    score = BACKOFF ** highest.astype(float) / context
     for n in range(1, order + 1):
         hashes, start = _grams(found, n)
-        keys, counts = totals[n - 1]
-        slot = np.searchsorted(keys, hashes)
-        _, back, own = np.unique(found.text[start] * np.int64(max(len(keys), 1)) + slot, return_inverse=True, return_counts=True)
+        keys, slot = np.unique(hashes, return_inverse=True)
         left = np.zeros(size, np.int64)
-        left[start] = counts[slot] - own[back]
+        left[start] = counts_of(n)[slot]
+        slot += found.text[start] * np.int64(max(len(keys), 1))
+        del keys, hashes
+        _, back, own = np.unique(slot, return_inverse=True, return_counts=True)
+        left[start] -= own[back]
+        del slot, back, own
         seen = start[left[start] > 0]
         word = seen + n - 1
-        score[word] = BACKOFF ** (highest[word] - n) * left[seen] / context[seen]
+        score[word] = BACKOFF ** (highest[word] - n).astype(float) * left[seen] / context[seen]
         context = left.astype(float)
     return np.log(score)
 
@@ -148,16 +151,18 @@ def score_texts(
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         found, n_texts = _spoken(table.column("text"))
+        none = np.empty(0, np.int64)
+        found = w.Words(none, none, found.text, found.hash)  # places of words are not needed any more
         by_order: dict[int, list[tuple[int, bytes]]] = {}
         for bucket, n, counts in zip(*(answers.column(c).to_pylist() for c in ("bucket", "n", "counts")), strict=True):
             by_order.setdefault(n, []).append((bucket, counts))
-        totals = []
-        for n in range(1, order + 1):
-            keys = np.unique(_grams(found, n)[0])
-            counts = [_unpack(x, np.uint64).astype(np.int64) for _, x in sorted(by_order.get(n, []))]
-            totals.append((keys, np.concatenate(counts) if counts else np.empty(0, np.int64)))
+
+        def counts_of(n: int) -> np.ndarray:
+            parts = [_unpack(x, np.uint64).astype(np.int64) for _, x in sorted(by_order.pop(n, []))]
+            return np.concatenate(parts) if parts else none
+
         corpus = max(answers.column("n_words").to_pylist(), default=0)
-        sums = np.bincount(found.text, token_scores(found, n_texts, order, totals, corpus), n_texts) if len(found.hash) else np.zeros(n_texts)
+        sums = np.bincount(found.text, token_scores(found, n_texts, order, counts_of, corpus), n_texts) if len(found.hash) else np.zeros(n_texts)
         sizes = np.bincount(found.text, minlength=n_texts) if len(found.hash) else np.zeros(n_texts, np.int64)
         return pa.table({"row": table.column("row"), "n_words": pa.array(sizes.astype(np.int64)), "log_score": pa.array(sums.astype(np.float64))})
 
