@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from editpulse.llm.frames import row_of
 ORDER = 3
 BACKOFF = 0.4
 #: Text of one block, and text whose n-grams fill one bucket of the count tables.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 4 << 20
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -44,8 +44,17 @@ def _bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for their way to the blocks; a null is an empty text."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        packed = [pack((text or "").encode()) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("row"), pa.array(packed, pa.binary())], names=["block", "row", "text"])
+
+
 def _spoken(texts: pa.ChunkedArray) -> tuple[w.Words, int]:
-    whole = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
+    unpack = zstandard.ZstdDecompressor().decompress
+    whole = pa.array((unpack(text.as_py()) for text in texts), pa.large_binary(), size=len(texts)).cast(pa.large_string())
     return w.words(w.text_bytes(whole), w.NOT_SPACE, lower=True), len(whole)
 
 
@@ -114,6 +123,7 @@ def score_texts(
     if "doc_id" in documents.columns:
         key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(key)
     blocks = documents.select(F.pmod(key, F.lit(n_blocks)).cast("int").alias("block"), row_of(documents, carry), "text")
+    blocks = blocks.mapInArrow(_packed_texts, f"block int, row {kind}, text binary")
 
     def ask(table: pa.Table) -> pa.Table:
         found, _ = _spoken(table.column("text"))
