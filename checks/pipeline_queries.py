@@ -18,7 +18,7 @@ from editpulse.functions import rules
 from editpulse.operators import daily as D
 from editpulse.operators import enrich as E
 from editpulse.operators import summary as U
-from editpulse.sources.readers import read_daily_activity
+from editpulse.sources.readers import read_boundaries, read_daily_activity
 from editpulse.sources.staging import stage, staging_root
 from editpulse.sources.writers import write_daily_activity
 
@@ -337,6 +337,49 @@ def daily_table_on_disk(spark, sf_dir):
     return read_daily_activity(spark, path)
 
 
+def _two_parts(sides: dict[str, str], order: str) -> str:
+    """SQL for the well-known binary of a box, cut in the middle into a multi-polygon of two parts.
+
+    Numbers are taken from the hexadecimal form of their bits: all sides are whole or half and below 1024,
+    so a double is a sign, an exponent and few leading bits, which ``bits`` puts together.
+    """
+    corners = lambda a, b: [(a, "ymin"), (b, "ymin"), (b, "ymax"), (a, "ymax"), (a, "ymin")]
+    whole = lambda n: f"{n:08x}" if order == "00" else n.to_bytes(4, "little").hex()
+    double = lambda side: sides[side] if order == "00" else " || ".join(f"substring({sides[side]}, {k}, 2)" for k in range(15, 0, -2))
+    parts = [f"'{order}{whole(6)}{whole(2)}'"]
+    for a, b in (("xmin", "middle"), ("middle", "xmax")):
+        parts.append(f"'{order}{whole(3)}{whole(1)}{whole(5)}'")
+        parts += [double(side) for corner in corners(a, b) for side in corner]
+    return f"unhex({' || '.join(parts)})"
+
+
+def _bits(side: str) -> str:
+    """SQL for the bits of a double of few leading bits as 16 hexadecimal digits."""
+    exponent = f"cast(floor(log2(abs({side}))) as int)"
+    fraction = f"cast((abs({side}) / power(2, {exponent}) - 1) * 1048576 as bigint)"  # 20 bits are enough
+    high = f"(if({side} < 0, 2048L, 0L) + 1023 + {exponent}) * 1048576 + {fraction}"
+    return f"if({side} = 0, '{'0' * 16}', lpad(lower(hex({high})), 8, '0') || '{'0' * 8}')"
+
+
+@register(
+    shape(str="country", num="xmin ymin xmax ymax"),
+    "SELECT 'N' || lpad(n_nationkey::VARCHAR, 2, '0') AS country, CASE WHEN w THEN -180 ELSE 10 * n_nationkey - 120 END AS xmin, "
+    "CASE WHEN w THEN -90 ELSE -60 END AS ymin, CASE WHEN w THEN 180 ELSE 10 * n_nationkey - 111 END AS xmax, CASE WHEN w THEN 90 ELSE 60 END AS ymax "
+    "FROM (SELECT n_nationkey, n_nationkey % 5 = 0 AS w FROM nation) "
+    "UNION ALL SELECT unnest(['STATELESS', 'SPECIAL_REGIONS']), -180, -90, 180, 90",
+)
+def boundary_envelopes(spark, sf_dir):
+    """Boundaries written as multi-polygons in both byte orders, with a part under a one-letter code, and read as boxes."""
+    middle = view.boundaries(spark, sf_dir).withColumn("middle", F.expr("(xmin + xmax) / 2"))
+    sides = {side: _bits(side) for side in ("xmin", "ymin", "xmax", "ymax", "middle")}
+    geometry = F.when(F.crc32("iso") % 2 == 0, F.expr(_two_parts(sides, "00"))).otherwise(F.expr(_two_parts(sides, "01")))
+    stored = middle.select("iso", geometry.alias("geometry"))
+    short = stored.select(F.lit("N").alias("iso"), "geometry")  # codes of one letter name no country
+    path = f"{staging_root(spark)}/editpulse-boundaries-{uuid.uuid4().hex}"
+    stored.union(short).write.parquet(path)
+    return E.country_boxes(read_boundaries(spark, path)).select("country", "country_box.*")
+
+
 def _country_spread(spark, sf_dir, profile="medium"):
     return U.user_totals(U.user_country_sums(activity(spark, sf_dir, profile), ["edit_count"]))
 

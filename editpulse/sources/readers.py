@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from editpulse.sources.wkb import envelopes
+
 CONTRIBUTION_SCHEMA = """
     countries array<string>, osm_id bigint, osm_type string, user struct<id: bigint>,
     valid_from timestamp_ntz, valid_to timestamp_ntz,
@@ -28,8 +30,11 @@ def read_contributions(spark: SparkSession, paths: str | Sequence[str]) -> DataF
 
 
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """Country parts as bounding boxes ``iso, xmin, ymin, xmax, ymax``."""
-    return spark.read.parquet(path).select("iso", *(F.col(c).cast("double") for c in ("xmin", "ymin", "xmax", "ymax")))
+    """Country parts as bounding boxes ``iso, xmin, ymin, xmax, ymax``, stored as such or as well-known binary in ``geometry``."""
+    stored = spark.read.parquet(path)
+    if "xmin" not in stored.columns:
+        stored = envelopes(stored.select("iso", "geometry"))
+    return stored.select("iso", *(F.col(c).cast("double") for c in ("xmin", "ymin", "xmax", "ymax")))
 
 
 def read_daily_activity(spark: SparkSession, path: str) -> DataFrame:
