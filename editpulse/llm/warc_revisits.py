@@ -122,13 +122,17 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     The first is a full response, but for every 13th page a revisit; later ones are revisits under
     other spellings of the URL, but for every fifth a full response of new content. Some revisits
     carry another entity tag, or only a modification time, or no validator.
+
+    A page without page_id has one full response without a record id, dated like that of page 4. A
+    negative page_id counts by its remainder.
     """
-    each = pages.select("page_id", "url", "html", F.explode(F.sequence(F.lit(0), (F.col("page_id") % 4).cast("int"))).alias("k"))
+    number = F.coalesce("page_id", F.lit(4)).alias("page_id")
+    each = pages.select(F.col("page_id").alias("own_id"), number, "url", "html").withColumn("k", F.explode(F.expr("sequence(0, cast(pmod(page_id, 4) as int))")))
     version = "CASE WHEN k = 0 THEN 0 WHEN (page_id + k) % 5 = 0 THEN k ELSE greatest(0, (k - 1) * CAST((page_id + k - 1) % 5 = 0 AS INT)) END"
     each = each.withColumn("revisit", F.expr("(k = 0 AND page_id % 13 = 0) OR (k > 0 AND (page_id + k) % 5 != 0)")).withColumn("version", F.expr(version))
     tag = "concat('\"', substring(md5(concat(html, cast(version AS string))), 1, 16), '\"')"
     return each.select(
-        (F.col("page_id") * 4 + F.col("k")).alias("record_id"),
+        (F.col("own_id") * 4 + F.col("k")).alias("record_id"),
         F.expr("CASE WHEN k % 3 = 1 THEN concat(url, '#k', k) WHEN k % 3 = 2 THEN replace(url, '.example.', '.EXAMPLE.') ELSE url END").alias("url"),
         F.expr("timestamp_seconds(1700000000 + page_id * 37 % 86400 + k * 86400 * (1 + page_id % 3))").alias("ts"),
         "revisit",

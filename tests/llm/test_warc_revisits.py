@@ -65,3 +65,12 @@ def test_equals_search(spark, monkeypatch):
     assert got() == expected
     assert {x[1] for x in expected} == {"full", "resolved", "no_earlier_response", "validator_mismatch", "no_validator"}
     assert wr.resolve_revisits(frame.limit(0)).collect() == []
+
+
+def test_pages_without_or_with_negative_id_are_captured(spark):
+    pages = spark.createDataFrame([(None, "http://a.example.org/", "x"), (-3, "http://b.example.org/", "y"), (8, None, None)], "page_id long, url string, html string")
+    captures = wr.captures_of_pages(pages)
+    assert captures.groupBy("url").count().orderBy("url").collect()[0]["count"] == 1
+    rows = sorted(((r.record_id, r.outcome) for r in wr.resolve_revisits(captures).collect()), key=str)
+    assert [r for r in rows if r[0] is None] == [(None, "full")]
+    assert len(rows) == captures.count() == 1 + 2 + 1  # -3 has the remainder 1
