@@ -13,6 +13,7 @@ CHECKED = [
     "top_feature_type", "prediction_summary", "categorization_summary", "stratified_split", "mutual_information", "scaled_features", "daily_changeset_stats", "distinct_days", "daily_table_on_disk",
     "user_sample", "frequency_encoding", "class_weights", "silhouette_sampled", "silhouette_squared", "pca_total_variance",
     "classification_report", "pr_threshold_curve", "silhouette_exact", "elbow_choice",
+    "linear_gradient", "stratified_folds", "kmeans_step", "mixture_step", "pca_covariance", "boundary_envelopes",
 ]
 
 
@@ -29,6 +30,11 @@ def test_query_matches_duckdb(spark, oracle, name):
     assert difference(frame.columns, rows, expected) is None
 
 
+@pytest.mark.parametrize("name", ["linear_retention", "linear_retention_lifetime", "kmeans_assign", "gmm_assign"])
+def test_models_run_on_the_registered_tables(spark, name):
+    assert entry.queries()[name](spark, SMALL).count() > 0
+
+
 def test_entry(spark):
     assert len(entry.entry(spark).columns) == 64
 
