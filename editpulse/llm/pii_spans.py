@@ -116,7 +116,7 @@ def proposed_spans(text: str) -> Iterator[Span]:
             if domain is None and m.group() != " at ":
                 domain = _PLAIN_DOMAIN.match(text, m.end())
             first = last = m.start() - (m.group() != " at " and text[m.start() - 1 : m.start()] == " ")
-            while first > 0 and text[first - 1] in _LOCAL and last - first < 64:
+            while first > 0 and text[first - 1] in _LOCAL:  # never past the mark before, so linear in all
                 first -= 1
             if domain and first < last:
                 yield Span("email", first, domain.end())

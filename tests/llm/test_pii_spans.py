@@ -17,3 +17,8 @@ def test_parts_of_a_run(text, expected):
     assert expected <= found
     base = pii_spans.base_spans(text)
     assert not base and expected <= {(c["kind"], text[c["start"] : c["end"]]) for c in pii_spans.candidates(text, base)}
+
+
+def test_spelled_address_of_any_length():
+    text = "write to " + "a.b" * 400 + " [at] x.org now"
+    assert [text[s.start : s.end] for s in pii_spans.proposed_spans(text)] == ["a.b" * 400 + " [at] x.org"]
