@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -33,7 +34,8 @@ SHORT_TEXT_WORDS = 30
 #: Squared distances above this quantile of a chi-squared distribution are rejected. The floors under
 #: the deviations keep ordinary texts far below it.
 CUTOFF = 0.99
-MIN_CELL_ROWS = 200
+#: Rows that a wider estimate counts for beside a cell's own; the widest has the least deviations.
+PRIOR_ROWS = 200
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -148,33 +150,14 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-CELL = ["level", "cell_lang", "cell_source"]
+CELL = ["start", "level", "cell_lang", "cell_source"]
 
 
-def _cells(stats: DataFrame) -> DataFrame:
-    """Per (lang, source) the level of the estimate that judges it, and all levels it adds to.
-
-    Level 0 is the cell itself, 1 its language, 2 all texts; a cell is judged by the first of them
-    with enough rows, and wider levels are estimated only where some cell needs them.
-    """
-    sizes = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    per_lang = Window.partitionBy("lang")
-    sizes = sizes.withColumn("n_lang", F.sum("n").over(per_lang)).withColumn("some_small", F.min("n").over(per_lang) < MIN_CELL_ROWS)
-    sizes = stage(sizes, "cells")
-    enough, enough_lang = F.col("n") >= MIN_CELL_ROWS, F.col("n_lang") >= MIN_CELL_ROWS
-    any_small = not sizes.where(~enough & ~enough_lang).isEmpty()
-    levels = F.array(F.when(enough, 0), F.when(F.col("some_small") & enough_lang, 1), F.when(F.lit(any_small), 2))
-    return sizes.select(
-        F.col("lang").alias("l"), F.col("source").alias("s"),
-        F.when(enough, 0).when(enough_lang, 1).otherwise(2).alias("judge"), F.filter(levels, lambda x: x.isNotNull()).alias("levels"),
-    )
-
-
-def _placed(stats: DataFrame, cells: DataFrame, level: Column, how: str = "inner") -> DataFrame:
-    """The rows with the columns ``CELL`` of the given level; a row per level if it explodes."""
-    joined = stats.join(cells, stats["lang"].eqNullSafe(cells["l"]) & stats["source"].eqNullSafe(cells["s"]), how).withColumn("level", level)
+def _placed(stats: DataFrame, level: Column) -> DataFrame:
+    """The rows with the columns ``CELL``: level 0 is a language's source, 1 a language, 2 all texts."""
     named = lambda name, most: F.when(F.col("level") <= most, F.coalesce(F.concat(F.lit("="), name), F.lit(""))).otherwise("")
-    return joined.withColumn("cell_lang", named("lang", 1)).withColumn("cell_source", named("source", 0)).drop("l", "s", "judge", "levels", "lang", "source")
+    placed = stats.withColumn("level", level)
+    return placed.withColumn("cell_lang", named("lang", 1)).withColumn("cell_source", named("source", 0)).drop("lang", "source")
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -188,27 +171,36 @@ def _start(rows: DataFrame) -> DataFrame:
     total = Window.partitionBy(*key)
     ranked = binned.withColumn("upto", F.sum("n").over(running)).withColumn("all", F.sum("n").over(total))
     quartile = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) + 0.5) / bins_per_unit
-    each = ranked.groupBy(*key).agg(quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"))
-    return each.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("stat", "q1", "q2", "q3"))).alias("quartiles"))
+    each = ranked.groupBy(*key).agg(quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"), F.max("all").alias("total"))
+    return each.groupBy(*CELL).agg(
+        F.array_sort(F.collect_list(F.struct("stat", "q1", "q2", "q3"))).alias("quartiles"), F.max("total").alias("total")
+    )
 
 
-MODEL = "level int, cell_lang string, cell_source string, centre array<double>, inverse array<double>"
+OWN = "start int, level int, cell_lang string, cell_source string, total long, centre array<double>, covariance array<double>, size double"
+MODEL = "start int, level int, cell_lang string, cell_source string, centre array<double>, inverse array<double>"
+_LISTS = pa.list_(pa.float64())
 
 
-def _model_rows(cells: pa.RecordBatch, centres: list[np.ndarray], covariances: list[np.ndarray]) -> pa.RecordBatch:
-    floors = np.diag(np.array(list(STATISTICS.values())) ** 2)
-    lists = pa.list_(pa.float64())
-    found = pa.array([np.round(x, 9) for x in centres], lists), pa.array([np.round(np.linalg.inv(c + floors), 9).ravel() for c in covariances], lists)
-    return pa.RecordBatch.from_arrays([*(cells.column(c) for c in CELL), *found], names=[*CELL, "centre", "inverse"])
+def _floors() -> np.ndarray:
+    return np.diag(np.array(list(STATISTICS.values())) ** 2)
 
 
-def _first_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _own_rows(cells: pa.RecordBatch, centres: list[np.ndarray], covariances: list[np.ndarray]) -> pa.RecordBatch:
+    """Estimates of cells by themselves; ``size`` is the logarithm of the determinant."""
+    sizes = pa.array([float(np.linalg.slogdet(c + _floors())[1]) for c in covariances], pa.float64())
+    lists = pa.array(centres, _LISTS), pa.array([c.ravel() for c in covariances], _LISTS)
+    columns = [*(cells.column(c) for c in [*CELL, "total"]), *lists, sizes]
+    return pa.RecordBatch.from_arrays(columns, names=[*CELL, "total", "centre", "covariance", "size"])
+
+
+def _from_quartiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for cells in batches:
         tables = [np.array([[q["q1"], q["q2"], q["q3"]] for q in x]) for x in cells.column("quartiles").to_pylist()]
-        yield _model_rows(cells, [t[:, 1] for t in tables], [np.diag(((t[:, 2] - t[:, 0]) / 1.349) ** 2) for t in tables])
+        yield _own_rows(cells, [t[:, 1] for t in tables], [np.diag(((t[:, 2] - t[:, 0]) / 1.349) ** 2) for t in tables])
 
 
-def _next_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _from_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     p = len(STATISTICS)
     upper = np.triu_indices(p)
     for cells in batches:
@@ -220,7 +212,48 @@ def _next_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             second = second + np.triu(second, 1).T
             centres.append(centre)
             covariances.append((second - np.outer(centre, centre)) * consistency(min(1.0, n / total), p))
-        yield _model_rows(cells, centres, covariances)
+        yield _own_rows(cells, centres, covariances)
+
+
+Estimate = tuple[np.ndarray, np.ndarray]
+
+
+def towards(own: Estimate, rows: int, wider: Estimate) -> Estimate:
+    """Centre and covariance of ``rows`` texts together with ``PRIOR_ROWS`` texts like the wider ones."""
+    share = PRIOR_ROWS / (rows + PRIOR_ROWS)
+    apart = own[0] - wider[0]
+    covariance = (1 - share) * own[1] + share * wider[1] + share * (1 - share) * np.outer(apart, apart)
+    return (1 - share) * own[0] + share * wider[0], covariance
+
+
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    p = len(STATISTICS)
+
+    def read(row: dict, prefix: str) -> Estimate:
+        return np.array(row[f"{prefix}centre"]), np.array(row[f"{prefix}covariance"]).reshape(p, p)
+
+    for cells in batches:
+        found = []
+        for row in cells.to_pylist():
+            every = read(row, "all_")
+            estimate = towards(every, row["all_total"], (every[0], _floors()))
+            if row["level"] < 2:
+                estimate = towards(read(row, "lang_"), row["lang_total"], estimate)
+            if row["level"] < 1:
+                estimate = towards(read(row, ""), row["total"], estimate)
+            found.append((np.round(estimate[0], 9), np.round(np.linalg.inv(estimate[1] + _floors()), 9).ravel()))
+        lists = (pa.array([f[k] for f in found], _LISTS) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([*(cells.column(c) for c in CELL), *lists], names=[*CELL, "centre", "inverse"])
+
+
+def _shrunk(own: DataFrame) -> DataFrame:
+    """Every cell's estimate drawn towards its language's, and this towards that of all texts."""
+    values = ["total", "centre", "covariance"]
+    langs = own.where("level = 1").select("start", F.col("cell_lang").alias("of_lang"), *(F.col(c).alias(f"lang_{c}") for c in values))
+    every = own.where("level = 2").select("start", *(F.col(c).alias(f"all_{c}") for c in values))
+    keyed = own.withColumn("of_lang", F.when(F.col("level") < 2, F.col("cell_lang")))
+    joined = keyed.join(langs, ["start", "of_lang"], "left").join(every, "start").drop("of_lang", "size")
+    return stage(joined.mapInArrow(_shrink, MODEL), "estimate")
 
 
 def _with_distance(rows: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame:
@@ -233,8 +266,8 @@ def _with_distance(rows: DataFrame, model: DataFrame, how: str = "inner") -> Dat
     return rows.join(model, CELL, how).withColumn("distance", F.expr(f"if(centre IS NULL, NULL, {shrink} * greatest(0D, {' + '.join(terms)}))"))
 
 
-def _step(rows: DataFrame, model: DataFrame, reweight: bool) -> DataFrame:
-    """One concentration step: moments of the rows nearest to the present estimate.
+def _step(rows: DataFrame, model: DataFrame, subset: float = SUBSET, reweight: bool = False) -> DataFrame:
+    """One concentration step: moments of the share ``subset`` of rows nearest to the present estimate.
 
     Distances are counted in logarithmic bins, with moments per bin; the innermost bins that hold
     the subset give the next estimate, so one aggregation is a whole step.
@@ -250,16 +283,36 @@ def _step(rows: DataFrame, model: DataFrame, reweight: bool) -> DataFrame:
     ranked = binned.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*CELL)))
     if reweight:
         edge = math.floor(math.log2(chi2_quantile(REWEIGHT, len(names))) * BINS_PER_OCTAVE)
-        chosen = ranked.where((F.col("bin") <= edge) | (F.col("upto") - F.col("n") < SUBSET * F.col("total")))
+        chosen = ranked.where((F.col("bin") <= edge) | (F.col("upto") - F.col("n") < subset * F.col("total")))
     else:
-        chosen = ranked.where(F.col("upto") - F.col("n") < SUBSET * F.col("total"))
+        chosen = ranked.where(F.col("upto") - F.col("n") < subset * F.col("total"))
     size = len(names)
     summed = chosen.groupBy(*CELL).agg(
         F.sum("n").alias("n"), F.max("total").alias("total"),
         F.array(*[F.sum(F.col("sums")[i]) for i in range(size)]).alias("sums"),
         F.array(*[F.sum(F.col("products")[i]) for i in range(size * (size + 1) // 2)]).alias("products"),
     )
-    return stage(summed.mapInArrow(_next_model, MODEL), "estimate")
+    return stage(summed.mapInArrow(_from_moments, OWN), "moments")
+
+
+def estimates(passed: DataFrame) -> DataFrame:
+    """The minimum-covariance-determinant estimate of every cell (columns of ``MODEL``).
+
+    Two starts, medians with quartile ranges and the moments of all rows, take ``STEPS`` steps each.
+    Per cell the subset with the least determinant of all these is kept and reweighted.
+    """
+    rows = stage(_placed(passed, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))), "placed")
+    single, both = rows.withColumn("start", F.lit(0)), rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    quartiles = stage(_start(single).mapInArrow(_from_quartiles, OWN), "moments")
+    moments = _step(single, _shrunk(quartiles), subset=1.0)
+    own, seen = quartiles.unionByName(moments.withColumn("start", F.lit(1))), []
+    for _ in range(STEPS):
+        own = _step(both, _shrunk(own))
+        seen.append(own)
+    best = F.min_by(F.struct("total", "centre", "covariance", "size"), "size").alias("best")
+    least = reduce(DataFrame.unionByName, seen).groupBy(*CELL[1:]).agg(best)
+    least = stage(least.select(F.lit(0).alias("start"), *CELL[1:], "best.*"), "moments")
+    return _shrunk(_step(single, _shrunk(least), reweight=True))
 
 
 def judge(documents: DataFrame, carry: Iterable[str] | None = None, cutoff: float = CUTOFF) -> DataFrame:
@@ -270,24 +323,21 @@ def judge(documents: DataFrame, carry: Iterable[str] | None = None, cutoff: floa
     repeated five-word windows. The others are rejected when the squared Mahalanobis distance of
     their transformed statistics from the minimum-covariance-determinant estimate of their language
     and source exceeds a chi-squared quantile. Estimation uses every text that passes the base rules:
-    medians and quartile ranges start it, concentration steps follow (each one aggregation with
-    map-side combining, so one source with a third of the rows is no bottleneck), and a reweighted
-    step ends it. Cells with few texts use their language's estimate, or that of all texts; with
-    fewer than ``MIN_CELL_ROWS`` texts in all, nothing is rejected beyond the base rules.
-
-    Null and empty texts have no words and fail. A null language or source is a cell of its own.
-    Repeated rows count repeatedly, and get equal verdicts. Empty tables give empty results. The
-    columns lang and source choose a cell only; other columns are not read unless carried.
+    concentration steps from two starts (each step one aggregation with map-side combining, so one
+    source with a third of the rows is no bottleneck), the least determinant of all, and a reweighted
+    step. A cell's estimate counts ``PRIOR_ROWS`` rows like its language's beside its own, the
+    language's as many like those of all texts, and that of all texts as many of the least deviations:
+    cells of all sizes are judged by one rule, and few texts reject hardly anything.
+
+    Null and empty texts have no words and fail; their distance is null. A null language or source
+    is a cell of its own. Repeated rows count repeatedly, and get equal verdicts, as do texts at
+    equal distance; a distance at the quantile itself is kept. Empty tables give empty results. Very
+    long texts are read whole. The columns lang and source choose a cell only; other columns are not
+    read unless carried.
     """
     stats = stage(measured(documents, carry).withColumn("base_failed", base_failed()), "statistics")
-    passed = stats.where("NOT base_failed").select("lang", "source", "n_words", *STATISTICS)
-    cells = _cells(passed)
-    rows = stage(_placed(passed, cells, F.explode("levels")), "placed")
-    sizeable = rows.groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CELL_ROWS).select(*CELL)
-    model = stage(_start(rows).join(sizeable, CELL, "left_semi").mapInArrow(_first_model, MODEL), "estimate")
-    for k in range(STEPS + 1):
-        model = _step(rows, model, reweight=k == STEPS)
+    model = estimates(stats.where("NOT base_failed").select("lang", "source", "n_words", *STATISTICS))
     far = F.col("distance") > chi2_quantile(cutoff, len(STATISTICS))
-    judged = _with_distance(_placed(stats, cells, F.col("judge"), "left"), model, "left")
+    judged = _with_distance(_placed(stats, F.lit(0)).withColumn("start", F.lit(0)), model.where("level = 0"), "left")
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), F.col("distance")))
     return judged.select("row", *COUNTS, "base_failed", "distance", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"))

@@ -35,30 +35,57 @@ def test_counts_equal_plain_rules():
     assert all(np.isfinite(stats[c]).all() for c in q.STATISTICS)
 
 
-def estimate(rows):
-    """The operator's estimate computed directly on one cell's matrix."""
+def distances(rows):
+    """The operator's distances computed directly on the rows of all cells, as a series."""
     names = list(q.STATISTICS)
-    x, n = rows[names].to_numpy(), rows["n_words"].to_numpy()
     floors = np.diag(np.array(list(q.STATISTICS.values())) ** 2)
+    lang, source = rows.lang.fillna("none"), rows.source.fillna("none")
+    cells = {(0, x, y): (lang == x) & (source == y) for x, y in set(zip(lang, source, strict=True))}
+    cells |= {(1, x, ""): lang == x for x in set(lang)} | {(2, "", ""): lang == lang}
+    cells = {c: rows[at] for c, at in cells.items()}
 
-    def quartile(share):
+    def quartile(x, share):
         return np.array([np.sort(np.floor(c * 256))[int(np.ceil(share * len(c))) - 1] + 0.5 for c in x.T]) / 256
 
-    centre, spread = quartile(0.5), (quartile(0.75) - quartile(0.25)) / 1.349
-    inverse = np.linalg.inv(np.diag(spread**2) + floors)
-
-    def distance():
-        return n / (n + 30) * np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
-
-    for step in range(q.STEPS + 1):
-        bins = np.floor(np.log2(np.maximum(distance(), 1e-6)) * q.BINS_PER_OCTAVE)
-        edge = np.sort(bins)[int(np.ceil(q.SUBSET * len(bins))) - 1]
-        if step == q.STEPS:
-            edge = max(edge, np.floor(np.log2(q.chi2_quantile(q.REWEIGHT, len(names))) * q.BINS_PER_OCTAVE))
-        inner = x[bins <= edge]
-        centre = inner.mean(0)
-        inverse = np.linalg.inv(np.cov(inner.T, bias=True) * q.consistency(len(inner) / len(x), len(names)) + floors)
-    return distance()
+    def shrunk(own):
+        out = {}
+        for level, x, y in own:
+            every = own[2, "", ""]
+            now = q.towards(every, len(rows), (every[0], floors))
+            for at in ([(1, x, "")] if level < 2 else []) + ([(0, x, y)] if level < 1 else []):
+                now = q.towards(own[at], len(cells[at]), now)
+            out[level, x, y] = now
+        return out
+
+    def far(part, model):
+        d = part[names].to_numpy() - model[0]
+        n = part.n_words.to_numpy()
+        return n / (n + 30) * np.einsum("ij,jk,ik->i", d, np.linalg.inv(model[1] + floors), d)
+
+    def step(own, subset=q.SUBSET, reweight=False):
+        out = {}
+        for cell, model in shrunk(own).items():
+            part = cells[cell]
+            bins = np.floor(np.log2(np.maximum(far(part, model), 1e-6)) * q.BINS_PER_OCTAVE)
+            edge = np.sort(bins)[int(np.ceil(subset * len(bins))) - 1]
+            if reweight:
+                edge = max(edge, np.floor(np.log2(q.chi2_quantile(q.REWEIGHT, len(names))) * q.BINS_PER_OCTAVE))
+            inner = part[bins <= edge][names].to_numpy()
+            out[cell] = inner.mean(0), np.cov(inner.T, bias=True) * q.consistency(len(inner) / len(part), len(names))
+        return out
+
+    first = {}
+    for cell, part in cells.items():
+        x = part[names].to_numpy()
+        first[cell] = quartile(x, 0.5), np.diag(((quartile(x, 0.75) - quartile(x, 0.25)) / 1.349) ** 2)
+    seen = []
+    for own in (first, step(first, subset=1.0)):
+        for _ in range(q.STEPS):
+            own = step(own)
+            seen.append(own)
+    least = {c: min((own[c] for own in seen), key=lambda e: np.linalg.slogdet(e[1] + floors)[1]) for c in cells}
+    final = shrunk(step(least, reweight=True))
+    return pd.concat([pd.Series(far(part, final[c]), part.index) for c, part in cells.items() if c[0] == 0])
 
 
 @pytest.fixture(scope="module")
@@ -88,20 +115,31 @@ def test_verdicts_equal_direct_computation(spark, corpus):
     stats = pd.DataFrame(q.text_statistics(w.text_bytes(pa.array([t for _, t, _, _ in corpus]))))
     stats[["d", "lang", "source"]] = [(d, lang, source) for d, _, lang, source in corpus]
     passed = stats[(stats.n_words >= 10) & (100 * stats.n_repeat_words <= 20 * stats.n_words)].copy()
-    cell = passed.lang.eq("en") & passed.source.eq("s0")
-    assert cell.sum() >= q.MIN_CELL_ROWS
-    passed.loc[cell, "expected"] = estimate(passed[cell])
-    english = passed[passed.lang.eq("en")]
-    passed.loc[english.index[~cell[english.index]], "expected"] = pd.Series(estimate(english), english.index)[~cell[english.index]]
-    merged = passed[passed.lang.eq("en")].drop_duplicates("d").merge(got.drop_duplicates("d"), on="d")
-    assert len(merged) > 400
-    assert np.allclose(merged.expected, merged.distance, rtol=1e-4, atol=1e-6)
+    passed["expected"] = distances(passed)
+    merged = passed.drop_duplicates("d").merge(got.drop_duplicates("d"), on="d")
+    assert len(merged) > 600
+    assert np.allclose(merged.expected, merged.distance, rtol=1e-4, atol=1e-5)
     assert (merged.kept == (merged.distance <= q.chi2_quantile(q.CUTOFF, len(q.STATISTICS)))).all()
     assert not got[got.d.isin(range(0, 700, 25)) & (got.n > 40)].kept.any()
     assert got[~got.d.isin(range(0, 700, 25)) & ~got.failed].kept.mean() > 0.995
 
 
+def test_verdicts_do_not_turn_with_the_size_of_a_cell(spark):
+    random.seed(4)
+    vocabulary = ["".join(random.choice("abcdefgh") for _ in range(random.randint(2, 9))) for _ in range(400)]
+    clean = [(i, " ".join(random.choices(vocabulary, k=random.randint(40, 90))), "en", "small" if i >= 600 else f"s{i % 3}") for i in range(850)]
+    odd = [(5000 + i, " ".join(x.upper() + "##" for x in random.choices(vocabulary, k=60)), "en", "small") for i in range(4)]
+    verdicts = []
+    for size in (150, 195, 205, 250):
+        frame = spark.createDataFrame(clean[: 600 + size] + odd, "doc_id long, text string, lang string, source string")
+        verdicts.append({r.row.doc_id: r.kept for r in q.judge(frame).collect()})
+    for got in verdicts:
+        assert not any(got[d] for d, *_ in odd)
+        assert all(keep for d, keep in got.items() if d < 5000)
+
+
 def test_few_rows_and_none(spark):
     frame = spark.createDataFrame([(1, "a b c d e f g h i j k", None, "s")], "doc_id long, text string, lang string, source string")
-    assert [(r.distance, r.kept) for r in q.judge(frame).collect()] == [(None, True)]
+    [only] = q.judge(frame).collect()
+    assert only.kept and only.distance < 1e-3
     assert q.judge(frame.limit(0)).collect() == []
