@@ -266,3 +266,35 @@ def near_duplicates(
         .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *carry)
     )
+
+
+def survivors(documents: DataFrame, shingle: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """The rows of ``documents`` (doc_id, text) that stay: one of each group, that of the smallest doc_id.
+
+    An id under several texts names several documents, each with a verdict of its own; of those in
+    one group, the text with the smallest hash stays. Of rows that repeat id and text one stays, the
+    one whose columns as JSON have the smallest hash. Rows without doc_id go where their words equal
+    those of a document with one. Null and empty texts are no copies of anything but rows that
+    repeat them under one id. All columns are kept; an empty table has an empty result.
+    """
+    keyed = documents.select(F.col("doc_id").alias("own_id"), "text", F.xxhash64("text").alias("text_key"))
+    rows = stage(keyed.groupBy("own_id", "text_key").agg(F.count("*").alias("n")), "row-counts")
+    own = F.col("own_id")
+    if not rows.where("own_id IS NOT NULL").groupBy("own_id").count().where("count > 1").isEmpty():
+        own = F.when(own.isNotNull(), F.xxhash64("own_id", "text"))
+    judged = near_duplicates(keyed.select("*", own.alias("doc_id")), shingle, percent, carry=["own_id", "text_key"])
+    alone = F.when(F.col("component_id").isNull(), F.col("text_key")).alias("alone")
+    first = F.min(F.struct(F.col("own_id").isNull().alias("unnamed"), "own_id", "text_key")).alias("first")
+    kept = judged.groupBy("component_id", alone).agg(first).select("first.own_id", "first.text_key")
+
+    def of(frame: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        same = frame["doc_id"].eqNullSafe(keys["own_id"]) & (F.xxhash64(frame["text"]) == keys["text_key"])
+        return frame.join(keys, same, how)
+
+    out = of(documents, kept, "left_semi")
+    repeats = rows.where("n > 1")
+    if repeats.isEmpty():
+        return out
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    single = of(out, repeats, "left_semi").groupBy("doc_id", "text").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
+    return of(out, repeats, "left_anti").unionByName(single.select("row.*"))

@@ -16,8 +16,8 @@ def shingles(text, size=4):
     return {tuple(found[i : i + size]) for i in range(max(1, len(found) - size + 1))} if found else set()
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, size=4):
+    sets = [shingles(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):
