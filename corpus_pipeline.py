@@ -16,20 +16,35 @@ from pyspark.sql import functions as F
 from editpulse.llm.bpe import encode_decode
 from editpulse.llm.decontaminate import find_leaks
 from editpulse.llm.line_dedup import drop_common_lines
-from editpulse.llm.near_dups import near_duplicates
-from editpulse.llm.quality_rules import judge
+from editpulse.llm.near_dups import survivors
+from editpulse.llm.quality_rules import MIN_WORDS, judge
 from editpulse.sources.staging import stage
 
+#: A word as the quality rules count it, and the shingle of the near-duplicate stage.
+WORD = r"[^\x20\x09-\x0D]+"
+SHINGLE_WORDS = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
+    """Documents that pass the base rules and are no outliers of their language and source.
+
+    Null and empty texts go; a null language or source is a group of its own; equal texts of one
+    group have equal verdicts, repeated rows all stay or all go. An empty table has an empty result.
+    """
     return judge(docs).where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that three or more hold; ``n_chars`` follows a changed text."""
+    """Documents without lines that three or more hold; ``n_chars`` follows a changed text.
+
+    A document that lost lines and has too few words left for the quality rules goes; one that lost
+    none stays as it is. A null or empty text is one empty line, which is never dropped. A line stays
+    in the document of the largest doc_id; rows of one id are one document, and a row without id
+    counts as none and loses every common line. An empty table has an empty result.
+    """
     kept = drop_common_lines(docs)
     changed = F.col("n_dropped") > 0
+    kept = kept.where(~changed | (F.regexp_count("kept_text", F.lit(WORD)) >= MIN_WORDS))
     new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
         counted = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
@@ -38,33 +53,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id.
-
-    An id under several texts names several documents, each with a verdict of its own; of those in
-    one group, the text with the smallest hash stays. Rows that repeat id and text share a verdict.
-    Rows without doc_id go where their words equal those of a document with one.
-    """
-    keyed = docs.select(F.col("doc_id").alias("own_id"), "text", F.xxhash64("text").alias("text_key"))
-    texts = keyed.where("own_id IS NOT NULL").groupBy("own_id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"))
-    own = F.col("own_id")
-    if not texts.where("lo < hi").isEmpty():
-        own = F.when(own.isNotNull(), F.xxhash64("own_id", "text"))
-    judged = near_duplicates(keyed.select("*", own.alias("doc_id")), carry=["own_id", "text_key"])
-    alone = F.when(F.col("component_id").isNull(), F.col("text_key")).alias("alone")
-    first = F.min(F.struct(F.col("own_id").isNull().alias("unnamed"), "own_id", "text_key")).alias("first")
-    kept = judged.groupBy("component_id", alone).agg(first).select("first.own_id", "first.text_key")
-    same = docs["doc_id"].eqNullSafe(kept["own_id"]) & (F.xxhash64(docs["text"]) == kept["text_key"])
-    return docs.join(kept, same, "left_semi")
+    """One document of each group of near duplicates by shingles of five words; see ``survivors``."""
+    return survivors(docs, shingle=SHINGLE_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any occurrence of a benchmark window."""
+    """Documents without any occurrence of a benchmark window.
+
+    Null and empty texts hold none and stay, repeated rows share a verdict, and an empty table or
+    benchmark drops nothing.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return find_leaks(docs, benchmark).where("n_hit = 0").select("row.*")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, and whether they decode to its text; null is read as empty text.
+
+    Repeated rows and rows without doc_id are coded each; an empty table has an empty result.
+    """
     coded = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     text = F.coalesce("row.text", F.lit(""))
     return coded.select(
