@@ -160,12 +160,14 @@ def _placed(stats: DataFrame, level: Column) -> DataFrame:
     return placed.withColumn("cell_lang", named("lang", 1)).withColumn("cell_source", named("source", 0)).drop("lang", "source")
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _start(stats: DataFrame) -> DataFrame:
     """Per cell a centre and diagonal spread from counts of fine bins: medians and quartile ranges."""
     bins_per_unit = 256
-    binned = rows.select(
-        *CELL, F.posexplode(F.array(*[F.floor(F.col(c) * bins_per_unit) for c in STATISTICS])).alias("stat", "bin")
-    ).groupBy(*CELL, "stat", "bin").agg(F.count("*").alias("n"))
+    fine = stats.select(
+        "lang", "source", F.posexplode(F.array(*[F.floor(F.col(c) * bins_per_unit) for c in STATISTICS])).alias("stat", "bin")
+    ).groupBy("lang", "source", "stat", "bin").agg(F.count("*").alias("n"))
+    levels = _placed(fine.withColumn("start", F.lit(0)), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    binned = levels.groupBy(*CELL, "stat", "bin").agg(F.sum("n").alias("n"))
     key = [*CELL, "stat"]
     running = Window.partitionBy(*key).orderBy("bin")
     total = Window.partitionBy(*key)
@@ -177,8 +179,29 @@ def _start(rows: DataFrame) -> DataFrame:
     )
 
 
+def _packed(stats: DataFrame) -> DataFrame:
+    """Rows of one cell and batch as one row: ``cell_lang``, ``cell_source`` and ``values``, word
+    number and statistics text after text. Nothing is shuffled for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = pa.Table.from_batches([batch.select(["cell_lang", "cell_source"])]).to_pandas()
+            groups = cells.groupby(["cell_lang", "cell_source"], sort=False).ngroup().to_numpy()
+            values = np.column_stack([batch.column(c).to_numpy().astype(float) for c in ["n_words", *STATISTICS]])
+            order = np.argsort(groups, kind="stable")
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(groups))])
+            first = pa.array(order[bounds[:-1]])
+            lists = pa.ListArray.from_arrays(pa.array((bounds * values.shape[1]).astype(np.int32)), pa.array(values[order].ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cell_lang").take(first), batch.column("cell_source").take(first), lists],
+                names=["cell_lang", "cell_source", "values"],
+            )
+
+    placed = _placed(stats, F.lit(0)).select("cell_lang", "cell_source", "n_words", *STATISTICS)
+    return stage(placed.mapInArrow(run, "cell_lang string, cell_source string, values array<double>"), "packed")
+
+
 OWN = "start int, level int, cell_lang string, cell_source string, total long, centre array<double>, covariance array<double>, size double"
-MODEL = "start int, level int, cell_lang string, cell_source string, centre array<double>, inverse array<double>"
 _LISTS = pa.list_(pa.float64())
 
 
@@ -226,37 +249,42 @@ def towards(own: Estimate, rows: int, wider: Estimate) -> Estimate:
     return (1 - share) * own[0] + share * wider[0], covariance
 
 
-def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _family(row: dict) -> list[Estimate]:
+    """Centres and inverse covariances of a cell, its language and all texts, each drawn to the wider one."""
     p = len(STATISTICS)
+    estimate, found = (np.array(row["all_centre"]), _floors()), []
+    for prefix in ("all_", "lang_", ""):
+        own = np.array(row[f"{prefix}centre"]), np.array(row[f"{prefix}covariance"]).reshape(p, p)
+        estimate = towards(own, row[f"{prefix}total"], estimate)
+        found.append((np.round(estimate[0], 9), np.round(np.linalg.inv(estimate[1] + _floors()), 9)))
+    return found[::-1]
 
-    def read(row: dict, prefix: str) -> Estimate:
-        return np.array(row[f"{prefix}centre"]), np.array(row[f"{prefix}covariance"]).reshape(p, p)
 
-    for cells in batches:
-        found = []
-        for row in cells.to_pylist():
-            every = read(row, "all_")
-            estimate = towards(every, row["all_total"], (every[0], _floors()))
-            if row["level"] < 2:
-                estimate = towards(read(row, "lang_"), row["lang_total"], estimate)
-            if row["level"] < 1:
-                estimate = towards(read(row, ""), row["total"], estimate)
-            found.append((np.round(estimate[0], 9), np.round(np.linalg.inv(estimate[1] + _floors()), 9).ravel()))
-        lists = (pa.array([f[k] for f in found], _LISTS) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([*(cells.column(c) for c in CELL), *lists], names=[*CELL, "centre", "inverse"])
-
-
-def _shrunk(own: DataFrame) -> DataFrame:
-    """Every cell's estimate drawn towards its language's, and this towards that of all texts."""
+def _families(own: DataFrame) -> DataFrame:
+    """Per start and cell of level 0 its estimate beside its language's and that of all texts."""
     values = ["total", "centre", "covariance"]
-    langs = own.where("level = 1").select("start", F.col("cell_lang").alias("of_lang"), *(F.col(c).alias(f"lang_{c}") for c in values))
+    langs = own.where("level = 1").select("start", "cell_lang", *(F.col(c).alias(f"lang_{c}") for c in values))
     every = own.where("level = 2").select("start", *(F.col(c).alias(f"all_{c}") for c in values))
-    keyed = own.withColumn("of_lang", F.when(F.col("level") < 2, F.col("cell_lang")))
-    joined = keyed.join(langs, ["start", "of_lang"], "left").join(every, "start").drop("of_lang", "size")
-    return stage(joined.mapInArrow(_shrink, MODEL), "estimate")
+    cells = own.where("level = 0").select("start", "cell_lang", "cell_source", *values)
+    return cells.join(langs, ["start", "cell_lang"]).join(every, "start")
+
+
+def _models(own: DataFrame) -> DataFrame:
+    """``CELL``, ``centre`` and ``inverse`` of every cell of level 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in batches:
+            found = [_family(row)[0] for row in cells.to_pylist()]
+            lists = pa.array([c for c, _ in found], _LISTS), pa.array([i.ravel() for _, i in found], _LISTS)
+            names = ["start", "cell_lang", "cell_source"]
+            level = pa.array(np.zeros(len(found), np.int32))
+            yield pa.RecordBatch.from_arrays([*(cells.column(c) for c in names), level, *lists], names=[*names, "level", "centre", "inverse"])
 
+    kinds = "start int, cell_lang string, cell_source string, level int, centre array<double>, inverse array<double>"
+    return stage(_families(own).mapInArrow(run, kinds), "estimate")
 
-def _with_distance(rows: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame:
+
+def _with_distance(rows: DataFrame, model: DataFrame, how: str) -> DataFrame:
     """Squared Mahalanobis distance; less for short texts, whose statistics vary more."""
     names = list(STATISTICS)
     p = len(names)
@@ -266,53 +294,89 @@ def _with_distance(rows: DataFrame, model: DataFrame, how: str = "inner") -> Dat
     return rows.join(model, CELL, how).withColumn("distance", F.expr(f"if(centre IS NULL, NULL, {shrink} * greatest(0D, {' + '.join(terms)}))"))
 
 
-def _step(rows: DataFrame, model: DataFrame, subset: float = SUBSET, reweight: bool = False) -> DataFrame:
+BINNED = "start int, level int, cell_lang string, cell_source string, bin int, sums array<double>"
+#: Binned moments that a task holds before it passes them on.
+HELD_BINS = 20_000
+
+
+def _binned_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count, sums and products of packed texts per cell of each level and bin of distance, added up
+    within the task."""
+    p = len(STATISTICS)
+    upper = np.triu_indices(p)
+    held: dict[tuple, np.ndarray] = {}
+
+    def release() -> pa.RecordBatch:
+        keys = list(zip(*held, strict=True))
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+        columns = [pa.array(key, kind) for key, kind in zip(keys, kinds, strict=True)]
+        out = pa.RecordBatch.from_arrays([*columns, pa.array(list(held.values()), _LISTS)], names=[*CELL, "bin", "sums"])
+        held.clear()
+        return out
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            values = row.column("values").flatten().to_numpy().reshape(-1, p + 1)
+            family = row.drop_columns(["values"]).to_pylist()[0]
+            words, x = values[:, 0], values[:, 1:]
+            moments = np.column_stack([np.ones(len(x)), x, x[:, upper[0]] * x[:, upper[1]]])
+            places = [(family["cell_lang"], family["cell_source"]), (family["cell_lang"], ""), ("", "")]
+            for level, (place, (centre, inverse)) in enumerate(zip(places, _family(family), strict=True)):
+                apart = x - centre
+                distance = words / (words + SHORT_TEXT_WORDS) * np.maximum(((apart @ inverse) * apart).sum(axis=1), 0)
+                bins = np.floor(np.log2(np.maximum(distance, 1e-6)) * BINS_PER_OCTAVE).astype(np.int32)
+                order = np.argsort(bins, kind="stable")
+                found, first = np.unique(bins[order], return_index=True)
+                for k, sums in zip(found.tolist(), np.add.reduceat(moments[order], first), strict=True):
+                    key = (family["start"], level, *place, k)
+                    held[key] = held[key] + sums if key in held else sums
+            if len(held) > HELD_BINS:
+                yield release()
+    if held:
+        yield release()
+
+
+def _step(packed: DataFrame, own: DataFrame, subset: float = SUBSET, reweight: bool = False) -> DataFrame:
     """One concentration step: moments of the share ``subset`` of rows nearest to the present estimate.
 
     Distances are counted in logarithmic bins, with moments per bin; the innermost bins that hold
-    the subset give the next estimate, so one aggregation is a whole step.
+    the subset give the next estimate, so one aggregation is a whole step for all starts and levels.
     """
-    names = list(STATISTICS)
-    near = _with_distance(rows, model)
-    octave = F.floor(F.log2(F.greatest("distance", F.lit(1e-6))) * BINS_PER_OCTAVE).cast("int")
-    products = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]
-    binned = near.groupBy(*CELL, octave.alias("bin")).agg(
-        F.count("*").alias("n"), F.array(*[F.sum(c) for c in names]).alias("sums"), F.array(*products).alias("products")
-    )
+    p = len(STATISTICS)
+    size = 1 + p + p * (p + 1) // 2
+    near = packed.join(_families(own), ["cell_lang", "cell_source"]).mapInArrow(_binned_moments, BINNED)
+    total = lambda: F.array(*[F.sum(F.col("sums")[i]) for i in range(size)]).alias("sums")
+    binned = near.groupBy(*CELL, "bin").agg(total()).withColumn("n", F.col("sums")[0])
     order = Window.partitionBy(*CELL).orderBy("bin")
     ranked = binned.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*CELL)))
+    inside = F.col("upto") - F.col("n") < subset * F.col("total")
     if reweight:
-        edge = math.floor(math.log2(chi2_quantile(REWEIGHT, len(names))) * BINS_PER_OCTAVE)
-        chosen = ranked.where((F.col("bin") <= edge) | (F.col("upto") - F.col("n") < subset * F.col("total")))
-    else:
-        chosen = ranked.where(F.col("upto") - F.col("n") < subset * F.col("total"))
-    size = len(names)
-    summed = chosen.groupBy(*CELL).agg(
-        F.sum("n").alias("n"), F.max("total").alias("total"),
-        F.array(*[F.sum(F.col("sums")[i]) for i in range(size)]).alias("sums"),
-        F.array(*[F.sum(F.col("products")[i]) for i in range(size * (size + 1) // 2)]).alias("products"),
+        inside |= F.col("bin") <= math.floor(math.log2(chi2_quantile(REWEIGHT, p)) * BINS_PER_OCTAVE)
+    summed = ranked.where(inside).groupBy(*CELL).agg(F.max("total").cast("long").alias("total"), total())
+    summed = summed.select(
+        *CELL, "total", F.col("sums")[0].alias("n"), F.slice("sums", 2, p).alias("sums"), F.slice("sums", p + 2, size).alias("products")
     )
     return stage(summed.mapInArrow(_from_moments, OWN), "moments")
 
 
 def estimates(passed: DataFrame) -> DataFrame:
-    """The minimum-covariance-determinant estimate of every cell (columns of ``MODEL``).
+    """The minimum-covariance-determinant estimate of every source of a language: ``CELL``, ``centre``, ``inverse``.
 
     Two starts, medians with quartile ranges and the moments of all rows, take ``STEPS`` steps each.
     Per cell the subset with the least determinant of all these is kept and reweighted.
     """
-    rows = stage(_placed(passed, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))), "placed")
-    single, both = rows.withColumn("start", F.lit(0)), rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    quartiles = stage(_start(single).mapInArrow(_from_quartiles, OWN), "moments")
-    moments = _step(single, _shrunk(quartiles), subset=1.0)
+    packed = _packed(passed)
+    quartiles = stage(_start(passed).mapInArrow(_from_quartiles, OWN), "moments")
+    moments = _step(packed, quartiles, subset=1.0)
     own, seen = quartiles.unionByName(moments.withColumn("start", F.lit(1))), []
     for _ in range(STEPS):
-        own = _step(both, _shrunk(own))
+        own = _step(packed, own)
         seen.append(own)
     best = F.min_by(F.struct("total", "centre", "covariance", "size"), "size").alias("best")
     least = reduce(DataFrame.unionByName, seen).groupBy(*CELL[1:]).agg(best)
     least = stage(least.select(F.lit(0).alias("start"), *CELL[1:], "best.*"), "moments")
-    return _shrunk(_step(single, _shrunk(least), reweight=True))
+    return _models(_step(packed, least, reweight=True))
 
 
 def judge(documents: DataFrame, carry: Iterable[str] | None = None, cutoff: float = CUTOFF) -> DataFrame:
@@ -338,6 +402,6 @@ def judge(documents: DataFrame, carry: Iterable[str] | None = None, cutoff: floa
     stats = stage(measured(documents, carry).withColumn("base_failed", base_failed()), "statistics")
     model = estimates(stats.where("NOT base_failed").select("lang", "source", "n_words", *STATISTICS))
     far = F.col("distance") > chi2_quantile(cutoff, len(STATISTICS))
-    judged = _with_distance(_placed(stats, F.lit(0)).withColumn("start", F.lit(0)), model.where("level = 0"), "left")
+    judged = _with_distance(_placed(stats, F.lit(0)).withColumn("start", F.lit(0)), model, "left")
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), F.col("distance")))
     return judged.select("row", *COUNTS, "base_failed", "distance", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"))
