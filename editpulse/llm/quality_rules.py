@@ -223,19 +223,26 @@ def _from_quartiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _own_rows(cells, [t[:, 1] for t in tables], [np.diag(((t[:, 2] - t[:, 0]) / 1.349) ** 2) for t in tables])
 
 
-def _from_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _innermost(bins: pa.Table, subset: float, edge: int | None) -> pa.Table:
+    """The estimate of one cell from its bins of distance, at most a few hundred rows: moments of the
+    innermost bins that hold the share ``subset``, and of all bins up to ``edge``."""
     p = len(STATISTICS)
     upper = np.triu_indices(p)
-    for cells in batches:
-        centres, covariances = [], []
-        for n, total, sums, products in zip(*(cells.column(c).to_pylist() for c in ("n", "total", "sums", "products")), strict=True):
-            centre = np.asarray(sums) / n
-            second = np.zeros((p, p))
-            second[upper] = np.asarray(products) / n
-            second = second + np.triu(second, 1).T
-            centres.append(centre)
-            covariances.append((second - np.outer(centre, centre)) * consistency(min(1.0, n / total), p))
-        yield _own_rows(cells, centres, covariances)
+    bins = bins.sort_by("bin")
+    sums = np.array(bins.column("sums").to_pylist())
+    upto, total = np.cumsum(sums[:, 0]), sums[:, 0].sum()
+    inside = upto - sums[:, 0] < subset * total
+    if edge is not None:
+        inside |= bins.column("bin").to_numpy() <= edge
+    moments = sums[inside].sum(axis=0)
+    n = moments[0]
+    centre = moments[1 : p + 1] / n
+    second = np.zeros((p, p))
+    second[upper] = moments[p + 1 :] / n
+    second = second + np.triu(second, 1).T
+    covariance = (second - np.outer(centre, centre)) * consistency(min(1.0, n / total), p)
+    cell = bins.select(CELL).slice(0, 1).append_column("total", pa.array([int(total)], pa.int64()))
+    return pa.Table.from_batches([_own_rows(cell.combine_chunks().to_batches()[0], [centre], [covariance])])
 
 
 Estimate = tuple[np.ndarray, np.ndarray]
@@ -345,19 +352,10 @@ def _step(packed: DataFrame, own: DataFrame, subset: float = SUBSET, reweight: b
     """
     p = len(STATISTICS)
     size = 1 + p + p * (p + 1) // 2
+    edge = math.floor(math.log2(chi2_quantile(REWEIGHT, p)) * BINS_PER_OCTAVE) if reweight else None
     near = packed.join(_families(own), ["cell_lang", "cell_source"]).mapInArrow(_binned_moments, BINNED)
-    total = lambda: F.array(*[F.sum(F.col("sums")[i]) for i in range(size)]).alias("sums")
-    binned = near.groupBy(*CELL, "bin").agg(total()).withColumn("n", F.col("sums")[0])
-    order = Window.partitionBy(*CELL).orderBy("bin")
-    ranked = binned.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*CELL)))
-    inside = F.col("upto") - F.col("n") < subset * F.col("total")
-    if reweight:
-        inside |= F.col("bin") <= math.floor(math.log2(chi2_quantile(REWEIGHT, p)) * BINS_PER_OCTAVE)
-    summed = ranked.where(inside).groupBy(*CELL).agg(F.max("total").cast("long").alias("total"), total())
-    summed = summed.select(
-        *CELL, "total", F.col("sums")[0].alias("n"), F.slice("sums", 2, p).alias("sums"), F.slice("sums", p + 2, size).alias("products")
-    )
-    return stage(summed.mapInArrow(_from_moments, OWN), "moments")
+    binned = near.groupBy(*CELL, "bin").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(size)]).alias("sums"))
+    return stage(binned.groupBy(*CELL).applyInArrow(lambda bins: _innermost(bins, subset, edge), OWN), "moments")
 
 
 def estimates(passed: DataFrame) -> DataFrame:
