@@ -268,12 +268,15 @@ def _family(row: dict) -> list[Estimate]:
 
 
 def _families(own: DataFrame) -> DataFrame:
-    """Per start and cell of level 0 its estimate beside its language's and that of all texts."""
+    """Per start and cell of level 0 its estimate beside its language's and that of all texts.
+
+    Written, so that Spark sees its size and broadcasts a small one without shuffling packed texts.
+    """
     values = ["total", "centre", "covariance"]
     langs = own.where("level = 1").select("start", "cell_lang", *(F.col(c).alias(f"lang_{c}") for c in values))
     every = own.where("level = 2").select("start", *(F.col(c).alias(f"all_{c}") for c in values))
     cells = own.where("level = 0").select("start", "cell_lang", "cell_source", *values)
-    return cells.join(langs, ["start", "cell_lang"]).join(every, "start")
+    return stage(cells.join(langs, ["start", "cell_lang"]).join(every, "start"), "families")
 
 
 def _models(own: DataFrame) -> DataFrame:
