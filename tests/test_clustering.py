@@ -95,3 +95,18 @@ def test_repeated_points_and_empty_groups(spark):
     same = C.points_of(spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "user_id long, p array<double>"), "p")
     fit = C.fit_kmeans(same, [3], 2)[3]
     assert fit.inertia == 0.0 and np.allclose(fit.centers, [1.0, 2.0])
+
+
+def test_blocks_hold_all_points_and_give_the_same_steps(rows, cloud):
+    points = C.points_of(rows, "p")
+    blocks = C.packed(points)
+    assert blocks.count() <= 3  # one a partition of this table, not one a point
+    begun = [cloud[:k] for k in (2, 5, 5, 3)]
+    for (n, total, inertia), (other_n, other_total, other_inertia) in zip(C.lloyd_step(blocks, begun), C.lloyd_step(points, begun), strict=True):
+        assert n.sum() == len(cloud) and (n == other_n).all()
+        np.testing.assert_allclose(total, other_total, rtol=1e-12)
+        assert inertia == pytest.approx(other_inertia, rel=1e-12)
+    for centers, (n, total, inertia) in zip(begun, C.lloyd_step(blocks, begun), strict=True):
+        squares = ((cloud[:, None] - centers) ** 2).sum(2)
+        assert (n == np.bincount(squares.argmin(1), minlength=len(centers))).all()
+        assert inertia == pytest.approx(squares.min(1).sum(), rel=1e-12)
