@@ -134,3 +134,18 @@ def test_center_based_measures(spark, cloud):
     assert Q.inertia(df, 4).first()[0] == pytest.approx(within)
     assert Q.calinski_harabasz(df, 4).first()[0] == pytest.approx((between / 2) / (within / 117))
     assert Q.davies_bouldin(df, 4).first()[0] == pytest.approx(np.mean(worst))
+
+
+def test_silhouettes_of_several_groupings_share_their_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    values = rng.normal(size=(90, 3))
+    labels = np.stack([np.arange(90) % 2, np.arange(90) % 5, np.where(np.arange(90) == 7, 9, 0)], 1)
+    rows = [(k, [int(v) for v in g], [float(v) for v in p]) for k, (g, p) in enumerate(zip(labels, values))]
+    table = spark.createDataFrame(rows, "key long, clusters array<long>, point array<double>")
+    for limit in (1000, 11):  # one block; blocks of at most about 11 points
+        monkeypatch.setattr(Q, "BLOCK_LIMIT", limit)
+        monkeypatch.setattr(Q, "TILE", 8)
+        got = {r["grouping"]: r["silhouette"] for r in Q.silhouettes(table, 3).collect()}
+        assert set(got) == {0, 1, 2}
+        for g in range(3):
+            assert got[g] == pytest.approx(brute_silhouette(labels[:, g], values), abs=1e-9)
