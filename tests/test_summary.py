@@ -2,6 +2,7 @@ import math
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from editpulse.operators import summary as U
 
@@ -116,3 +117,17 @@ def test_days_are_partitioned_by_user_once(daily):
     plan = U.day_features(U.user_days(daily((1, "A", 0, 1))))._jdf.queryExecution().executedPlan().toString()
     initial = plan.split("Initial Plan")[-1]
     assert initial.count("Exchange hashpartitioning(user_id") <= 2 and initial.count("Window [") <= 1
+
+
+def test_labels_need_no_daily_table(spark):
+    start = date(2001, 1, 1)
+    edits = [(user, "A" if k % 2 else "B", start + timedelta(days=(user * 37 + k * user * 11) % 260)) for user in range(1, 30) for k in range(user % 5 + 1)]
+    rows = spark.createDataFrame([*edits, *edits[:9], (None, "A", start)], "user_id long, country string, edit_date date")
+    daily = rows.groupBy("user_id", "country", "edit_date").agg(F.count(F.lit(1)).alias("edit_count"))
+    daily = daily.select("*", *(F.lit(1).alias(name) for name in U.TOTALS if name != "edit_count"))
+    for source in (rows, daily):
+        expected = U.prediction_summary(daily, snapshot="2001-12-31").select("user_id", "left_early")
+        got = U.retention_labels(source, snapshot="2001-12-31")
+        assert sorted(got.collect()) == sorted(expected.collect()) and 0 < got.count() < 29
+        whole = U.categorization_summary(daily).select("user_id", "total_edits", "left_early")
+        assert sorted(U.lifetimes(source).drop("first_edit").collect()) == sorted(whole.collect())
