@@ -2,6 +2,8 @@ from datetime import datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from editpulse.functions import rules
 from editpulse.operators import daily as D
 from editpulse.operators import enrich as E
@@ -100,3 +102,18 @@ def test_changesets_read_once_without_a_join(spark, contribution):
     inputs = stage(D.daily_inputs(E.enrich(E.assign_countries(rows, boxes))), "inputs")
     plan = D.daily_changesets(inputs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3 and "Join" not in plan and plan.count("Scan") == 1
+
+
+def test_wide_rows_are_built_after_the_last_shuffle(spark, contribution, monkeypatch):
+    raw = contribution(*({"user": 1 + k % 7, "osm_id": k, "changeset": k // 2} for k in range(40)))
+    inputs = D.daily_inputs(E.enrich(raw.withColumn("country", F.lit("AAA"))))
+    monkeypatch.setattr(D, "TASK_ROWS", 10)
+    daily = D.daily_user_activity(inputs)
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # statistics of changesets are rows of the same groups
+    assert daily.rdd.getNumPartitions() == 4  # 10 contributions a task
+    got = {r["user_id"]: r for r in daily.collect()}
+    assert {u: r["edit_count"] for u, r in got.items()} == {u: 6 if u <= 5 else 5 for u in range(1, 8)}
+    changes = {r["user_id"]: r for r in D.daily_changesets(inputs).collect()}
+    for user, row in got.items():
+        assert {c: row[c] for c in D.CHANGESET_COLUMNS} == {c: changes[user][c] for c in D.CHANGESET_COLUMNS}
