@@ -1,7 +1,6 @@
 from datetime import datetime
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from editpulse.functions import rules
