@@ -116,3 +116,22 @@ def test_wide_rows_are_built_after_the_last_shuffle(spark, contribution, monkeyp
     changes = {r["user_id"]: r for r in D.daily_changesets(inputs).collect()}
     for user, row in got.items():
         assert {c: row[c] for c in D.CHANGESET_COLUMNS} == {c: changes[user][c] for c in D.CHANGESET_COLUMNS}
+
+
+def test_contributions_are_shuffled_twice_and_heavy_groups_give_the_same_table(spark, contribution, monkeypatch):
+    def row(k):
+        tags = ({"building": "yes", "ref": "1", "shop": "x"}, {"office": "a"}, None)[k % 3]
+        return {
+            "user": None if k % 11 == 0 else k % 4 // 2, "osm_id": k, "changeset": k // 3, "tags": tags, "tags_before": ({}, {"building": "no"}, None)[k % 5 % 3],
+            "valid_from": datetime(2020, 1, 1 + k % 3, 12), "closed": datetime(2020, 1, 1, 12, 10 + k % 2), "editor": ("JOSM/1", "iD 2", None)[k % 7 % 3],
+        }
+
+    raw = contribution(*map(row, range(60)), *map(row, range(20)))
+    rows = stage(D.daily_inputs(E.enrich(raw.withColumn("country", F.when(F.col("osm_id") % 13 != 0, "AAA")))), "inputs")
+    monkeypatch.setattr(D, "TASK_ROWS", 20)
+    for options, limit in (({}, 30), ({"per_day_changesets": True}, 1)):
+        light = D.daily_user_activity(rows, **options)
+        assert light._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        with monkeypatch.context() as m:
+            m.setattr(D, "GATHERED_ROWS", limit)
+            assert sorted(map(str, D.daily_user_activity(rows, **options).collect())) == sorted(map(str, light.collect()))
