@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from editpulse.operators import daily as D
 from editpulse.operators import enrich as E
@@ -38,8 +39,6 @@ def _log(contribution):
 
 @pytest.mark.parametrize("gathered_rows", [T.GATHERED_ROWS, 26])
 def test_lifetime_summary_equals_the_one_from_the_daily_table(spark, contribution, monkeypatch, gathered_rows):
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(T, "GATHERED_ROWS", gathered_rows)
     monkeypatch.setattr(D, "TASK_ROWS", 50)
     country = F.when(F.col("osm_id") % 13 == 0, None).otherwise(F.concat(F.lit("C"), F.col("osm_id") % 3))
@@ -60,3 +59,26 @@ def test_gathered_rows_are_shuffled_once_per_question(spark, contribution):
     for totals in (T.content_totals(rows), T.changeset_totals(rows)):
         plan = totals._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
+
+
+def _alike(found, expected):
+    pairs = list(zip(sorted(found.collect(), key=lambda r: str(r["user_id"])), sorted(expected.collect(), key=lambda r: str(r["user_id"])), strict=True))
+    for left, right in pairs:
+        assert left.asDict() == {k: pytest.approx(v, rel=1e-12) if isinstance(v, float) else v for k, v in right.asDict().items()}
+    return len(pairs)
+
+
+def test_first_days_and_totals_equal_those_from_the_daily_table(spark, contribution, monkeypatch):
+    """Some users begin too late, some are heavy, some changesets reach beyond the window, and some rows have no user."""
+    monkeypatch.setattr(T, "GATHERED_ROWS", 26)
+    monkeypatch.setattr(D, "TASK_ROWS", 50)
+    log = _log(contribution).withColumn("valid_from", F.expr("CASE WHEN user.id = 3 THEN valid_from + INTERVAL 400 DAYS ELSE valid_from END"))
+    country = F.when(F.col("osm_id") % 13 == 0, None).otherwise(F.concat(F.lit("C"), F.col("osm_id") % 3))
+    enriched = E.enrich(log.withColumn("country", country))
+    inputs = stage(T.lifetime_inputs(enriched), "in")
+    wide = stage(D.daily_user_activity(stage(D.daily_inputs(enriched), "in")).select(*D.DAY_KEY, *U.TOTALS), "daily")
+    options = {"horizon": 40, "snapshot": "2020-06-01", "milestones": (3, 5), "early": (4, 20)}
+    expected = U.prediction_summary(wide, **options)
+    found = T.prediction_summary(inputs, **options)
+    assert found.columns == expected.columns and _alike(found, expected) == 6
+    assert _alike(T.user_totals(inputs), U.user_totals(U.user_country_sums(wide))) == 8
