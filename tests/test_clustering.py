@@ -110,3 +110,15 @@ def test_blocks_hold_all_points_and_give_the_same_steps(rows, cloud):
         squares = ((cloud[:, None] - centers) ** 2).sum(2)
         assert (n == np.bincount(squares.argmin(1), minlength=len(centers))).all()
         assert inertia == pytest.approx(squares.min(1).sum(), rel=1e-12)
+
+
+def test_all_labels_come_from_one_scan_without_a_join(spark):
+    draw = np.random.default_rng(3)
+    cloud = draw.normal(size=(700, 3))
+    rows = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(cloud)], "user_id long, p array<double>")
+    fits = [C.KMeansFit(draw.normal(size=(k, 3)), 0.0, 1) for k in (2, 5)]
+    found = C.label_points(rows, fits, "p")
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    for row in found.collect():
+        nearest = [int(((cloud[row["key"]] - fit.centers) ** 2).sum(1).argmin()) for fit in fits]
+        assert row["clusters"] == nearest and row["point"] == cloud[row["key"]].tolist()
