@@ -122,3 +122,21 @@ def test_all_labels_come_from_one_scan_without_a_join(spark):
     for row in found.collect():
         nearest = [int(((cloud[row["key"]] - fit.centers) ** 2).sum(1).argmin()) for fit in fits]
         assert row["clusters"] == nearest and row["point"] == cloud[row["key"]].tolist()
+
+
+def test_moments_take_every_product_once(spark, monkeypatch):
+    """A step over several blocks against weighted moments computed directly."""
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(1300, 4))
+    widths = []
+    monkeypatch.setattr(C, "_summed", lambda points, size, task: widths.append(len(task(points)[0])) or task(points))
+    fit = C.MixtureFit(np.array([0.3, 0.7]), draw.normal(size=(2, 4)), np.array([np.eye(4), 2 * np.eye(4)]), 0.0, 0)
+    (moved,) = C.mixture_step(x, [fit])
+    density = np.stack([w * np.exp(-0.5 * ((x - m) ** 2).sum(1) / s) / (2 * np.pi * s) ** 2 for w, m, s in zip(fit.weights, fit.means, (1, 2))], 1)
+    share = density / density.sum(1, keepdims=True)
+    assert widths == [1 + 4 + 10 + 1]  # weight, means, ten products, likelihood
+    assert moved.log_likelihood == pytest.approx(np.log(density.sum(1)).sum())
+    for c in range(2):
+        mean = share[:, c] @ x / share[:, c].sum()
+        assert moved.means[c] == pytest.approx(mean)
+        assert moved.covariances[c] == pytest.approx((share[:, c, None] * x).T @ x / share[:, c].sum() - np.outer(mean, mean) + C.RIDGE * np.eye(4))
