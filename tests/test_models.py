@@ -53,6 +53,11 @@ def test_search_and_learning_curve(spark, summary):
     assert len(curve) == 2 and all(r["validation_mean"] > 0.8 for r in curve)
 
 
+def test_scaled_rows_are_not_written_again(summary):
+    scaled, names, _ = M.linear_rows(summary, 3)
+    assert len(names) == 3 and all("editpulse-training-linear" in path for path in scaled.inputFiles())
+
+
 def test_linear_pipeline(spark, summary):
     draws = [L.Draw("log_loss", alpha, "l2", 0.0, (4.0, 1.0), False, 1e-4) for alpha in (1e-3, 10.0)]
     fitted = M.linear_pipeline(summary, draws, k=3)
